@@ -46,7 +46,7 @@ OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), spans AS (
   SELECT doc_id, i, list_aggregate(list_slice(words, i, i + 4), 'string_agg', ' ') AS w
