@@ -1,0 +1,36 @@
+"""Connected components by alternating large and small stars, on tables in the shared folder."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """u, least: the smallest of u and its neighbours (partial minima first, so a hub is no hot key)."""
+    return edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("least"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, component (the smallest id reachable) of every id in ``links`` (columns a, b), as a written table.
+
+    Stars are joined with their minima rather than gathered, so that the join of a hub can be split.
+    The rounds grow with the logarithm of the longest shortest path."""
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        large = written(large, "cc-large")
+        least = _least(large)
+        small = large.join(least, "u")
+        small = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
+        edges = written(small.where("u <> v").distinct(), "cc-small")
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum("v")).first())
+        if now == state:
+            break
+        state = now
+    ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return written(ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")

@@ -140,8 +140,6 @@ def mix(docs: DataFrame, sources: str = "source", seed: int = 7, max_patterns: i
     rows = rows.join(plan, F.col("pattern").eqNullSafe(F.col("p"))).drop("p")
     chosen = _select(rows.where("rest > 0 and size > 0"))
     if chosen is not None:
-        key = [F.coalesce(F.to_json("pattern"), F.lit("")).alias("k"), F.lit(0)]
-        del key
         rows = rows.join(F.broadcast(chosen), rows["pattern"].eqNullSafe(chosen["q"]), "left").withColumn("extra", F.coalesce(_within("cuts"), F.lit(False))).drop("q", "cuts")
     else:
         rows = rows.withColumn("extra", F.lit(False))
