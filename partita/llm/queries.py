@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from . import ann, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from .common import table
 
 #: The vocabulary file of the packing query, by the name that public_tokenizers knows.
@@ -51,12 +51,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op4_host_rules, op5_pii, op6_pack, op7_quality, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op4_host_rules, op5_pii, op6_pack, op7_quality, op9_cross_polytope, op10_near_dedup)}
 
 
 OP4_SQL = r"""
