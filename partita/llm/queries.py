@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from . import ann, lm_scoring, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from .common import table
 
 #: The vocabulary file of the packing query, by the name that public_tokenizers knows.
@@ -25,6 +25,12 @@ def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = quality_classifier.remainder(5) == 1
+    scored = lm_scoring.score(table(spark, sf_dir, "documents"), held_out)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,7 +66,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op3_mix_sources, op4_host_rules, op5_pii, op6_pack, op7_quality, op9_cross_polytope, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_class_bigrams, op3_mix_sources, op4_host_rules, op5_pii, op6_pack, op7_quality, op9_cross_polytope, op10_near_dedup)}
 
 
 OP4_SQL = r"""
