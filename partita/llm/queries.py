@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, lm_scoring, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from . import ann, html_extract, lm_scoring, mixing, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from .common import table
 
 #: The vocabulary file of the packing query, by the name that public_tokenizers knows.
@@ -57,6 +57,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -66,7 +71,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_kd_shards, op2_class_bigrams, op3_mix_sources, op4_host_rules, op5_pii, op6_pack, op7_quality, op9_cross_polytope, op10_near_dedup)}
+    return {f.__name__: f for f in (op1_kd_shards, op2_class_bigrams, op3_mix_sources, op4_host_rules, op5_pii, op6_pack, op7_quality, op8_main_text, op9_cross_polytope, op10_near_dedup)}
 
 
 OP4_SQL = r"""
