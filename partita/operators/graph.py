@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .tables import written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def _least(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) of every id in ``links`` (columns a, b), as a written table.
+    """id, component (the smallest id reachable) of every id in ``links`` (columns a, b of any type that
+    sorts), as a written table.
 
     Stars are joined with their minima rather than gathered, so that the join of a hub can be split.
     The rounds grow with the logarithm of the longest shortest path."""
@@ -28,7 +29,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
         edges = written(small.where("u <> v").distinct(), "cc-small")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum("v")).first())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
