@@ -13,6 +13,7 @@ ignored; a text of any length is encoded whole.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
@@ -33,29 +34,57 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class Encoder:
-    """Ids of whole texts. ASCII spaces always end a token of this kind of tokenizer, so a text's ids are
-    its space-separated strings' ids in turn, and each distinct string is encoded once for each cache."""
+    """Ids of whole texts by a tokenizer that splits at spaces, lower-cases and marks the ends of words.
 
-    def __init__(self, path: str, keep: int = 400_000):
-        from tokenizers import Tokenizer
+    Such a tokenizer ends a token at every space and between a letter and the punctuation after it, so a
+    text is taken apart there and each distinct string is encoded once (as long as it is remembered).
+    Strings of lower-case letters need no splitting: many are encoded in one call by the same model, and
+    the end-of-word mark tells them apart again."""
+
+    #: Letters that stay letters in lower case, before marks that no special token's string holds.
+    CUT = (r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?#$%&*])", r"\1 \2")
+
+    def __init__(self, path: str, keep: int = 250_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
-        self.known: dict[str, np.ndarray] = {}
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary, mark = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
+        if not mark:
+            raise ValueError("a tokenizer that marks the ends of words is needed")
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(mark)]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        plain = [w for w in words if w.isalpha() and w == w.lower() and unicodedata.is_normalized("NFC", w)]
+        for i in range(0, len(plain), 2048):
+            part = plain[i : i + 2048]
+            ids = np.array(self.plain.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            self.known.update(zip(part, (raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)), strict=True))
+        others = [w for w in words if w not in self.known]
+        for i in range(0, len(others), 1024):
+            part = others[i : i + 1024]
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found, strict=True))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end up: rows + 1 offsets."""
-        lists = pc.split_pattern(texts, " ")
+        apart = pc.replace_substring_regex(pc.ascii_lower(texts), *self.CUT)
+        lists = pc.split_pattern(pc.replace_substring(apart, "\n", " "), " ")
         flat, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
         coded = pc.dictionary_encode(flat)
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.keep:
             self.known, new = {}, words
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, dtype=np.uint32)
+        self._learn(new)
         own = [self.known[w] for w in words]
-        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own))
-        pool, at = np.concatenate([*own, np.empty(0, np.uint32)]), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        pool, at = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
         codes = coded.indices.to_numpy(zero_copy_only=False)
         n = sizes[codes]
         upto = np.concatenate([[0], np.cumsum(n)])
