@@ -129,7 +129,7 @@ def _compared(members: DataFrame, dim: int, k: int) -> DataFrame:
 
     def run(batches):
         parts, held = [], 0
-        for table in whole_groups(batches, 0):
+        for table in whole_groups(batches):
             path = table.column("path").to_numpy()
             cuts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])).tolist() + [len(path)]
             ids, asks = table.column("id").to_numpy(), table.column("asks").to_numpy()

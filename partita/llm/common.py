@@ -1,13 +1,12 @@
-"""Shared folders, tables written between jobs, and gapless numbering."""
+"""Tables by name and gapless numbering."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.tables import shared_dir, written  # noqa: F401
+
 #: Rows that one numbering bucket holds on average.
 ROWS_PER_BUCKET = 20_000
 
@@ -16,27 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests) a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    root = spark.sparkContext.getCheckpointDir()
-    if root is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back: later jobs start from the files, so a lost
-    executor costs no more than its running tasks."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def gapless(df: DataFrame, group: str, order: list[Column], name: str, rows: int) -> DataFrame:
     """Numbers the rows of each group from 0 without gaps, however large a group is.
 

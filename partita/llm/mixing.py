@@ -102,25 +102,27 @@ def route(patterns: list[tuple[tuple, int]], target: dict, most: int = MAX_USES)
     return given
 
 
-def mix(docs: DataFrame, sources: str = "source", seed: int = 7, max_patterns: int = MAX_PATTERNS) -> DataFrame:
-    """doc_id, source columns, size, source_size, target, uses, taken: every row and how often the mix takes it.
+def _measured(docs: DataFrame, sources: str, seed: int) -> DataFrame:
+    """``docs`` with __pattern, __size and __ticket (a seeded hash of doc_id)."""
+    member = F.col(sources) if dict(docs.dtypes)[sources].startswith("array") else F.array(sources)
+    return docs.withColumns(
+        {
+            "__pattern": F.array_sort(F.array_distinct(member)),
+            "__size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
+            "__ticket": F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 48)),
+        }
+    )
+
 
-    ``sources`` names a string column, or an array of the sources that hold the document. source_size
-    and target are sums over the row's sources."""
+def planned(docs: DataFrame, sources: str = "source", seed: int = 7, max_patterns: int = MAX_PATTERNS) -> DataFrame:
+    """``docs`` with __size, __source_size, __target and __uses: how often the mix takes each row.
+
+    ``sources`` names a string column, or an array of the sources that hold the document; __source_size
+    and __target are sums over them. The plan is made from a written table of sizes and has one row for
+    each pattern, so the documents themselves are never shuffled."""
     spark = docs.sparkSession
-    member = F.col(sources)
-    if dict(docs.dtypes)[sources] == "string":
-        member = F.array(member)
-    rows = written(
-        docs.select(
-            "doc_id",
-            F.array_sort(F.array_distinct(member)).alias("pattern"),
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 48)).alias("ticket"),
-        ),
-        "mix-rows",
-    )
-    summed = rows.groupBy("pattern").agg(F.sum("size").alias("size"))
+    rows = written(_measured(docs, sources, seed).select("__pattern", "__size", "__ticket"), "mix-rows")
+    summed = rows.groupBy("__pattern").agg(F.sum("__size").alias("size"))
     patterns = [(tuple(r[0] or ()), r[1]) for r in summed.limit(max_patterns + 1).collect()]
     if len(patterns) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns; raise max_patterns")
@@ -131,62 +133,59 @@ def mix(docs: DataFrame, sources: str = "source", seed: int = 7, max_patterns: i
             sizes[s] = sizes.get(s, 0) + size
     # A document of several sources counts in full for each; the budget counts it once.
     target = quotas(sizes, budget=sum(size for _, size in patterns))
-    given = route(patterns, target)
     plan = [
         (list(held), sum(sizes[s] for s in held), float(sum(target[s] for s in held)), min(MAX_USES, g // size) if size else 0, g % size if size and g < MAX_USES * size else 0)
-        for (held, size), g in zip(patterns, given, strict=True)
+        for (held, size), g in zip(patterns, route(patterns, target), strict=True)
     ]
-    plan = F.broadcast(spark.createDataFrame(plan, "p array<string>, source_size long, target double, uses int, rest long"))
-    rows = rows.join(plan, F.col("pattern").eqNullSafe(F.col("p"))).drop("p")
-    chosen = _select(rows.where("rest > 0 and size > 0"))
-    if chosen is not None:
-        rows = rows.join(F.broadcast(chosen), rows["pattern"].eqNullSafe(chosen["q"]), "left").withColumn("extra", F.coalesce(_within("cuts"), F.lit(False))).drop("q", "cuts")
-    else:
-        rows = rows.withColumn("extra", F.lit(False))
-    uses = (F.col("uses") + F.col("extra").cast("int")).cast("int")
-    return rows.select("doc_id", "pattern", "size", "source_size", "target", uses.alias("uses"), (F.col("size") * uses).alias("taken"))
+    table = spark.createDataFrame(plan, "__p array<string>, __source_size long, __target double, __base int, __rest long")
+    open_ = rows.join(F.broadcast(table), F.col("__pattern").eqNullSafe(F.col("__p"))).where("__rest > 0 and __size > 0")
+    cuts = _select(open_)
+    full = [(*p, cuts.get(tuple(p[0]), [])) for p in plan]
+    table = spark.createDataFrame(full, "__p array<string>, __source_size long, __target double, __base int, __rest long, __cuts array<struct<most: long, bin: long>>")
+    joined = _measured(docs, sources, seed).join(F.broadcast(table), F.col("__pattern").eqNullSafe(F.col("__p")))
+    uses = (F.col("__base") + _within("__cuts").cast("int")).cast("int")
+    return joined.withColumn("__uses", F.when(F.col("__size") > 0, uses).otherwise(0)).drop("__p", "__base", "__rest", "__cuts", "__pattern", "__ticket")
+
+
+def mix(docs: DataFrame, sources: str = "source", seed: int = 7) -> DataFrame:
+    """doc_id, size, source_size, target, uses, taken: every row, how often the mix takes it and the words it takes."""
+    own = ("size", "source_size", "target", "uses")
+    return planned(docs, sources, seed).select("doc_id", *(F.col(f"__{c}").alias(c) for c in own), (F.col("__size") * F.col("__uses")).alias("taken"))
+
+
+def _bin():
+    return F.floor(F.col("__ticket") / ((1 << 48) // BINS))
 
 
 def _within(cuts: str):
     """True where a row falls under one of its pattern's cuts (largest size, first bin that stays out)."""
-    bin_ = F.floor(F.col("ticket") / ((1 << 48) // BINS))
-    return F.exists(cuts, lambda c: (F.col("size") <= c["most"]) & (bin_ < c["bin"]))
+    return F.exists(cuts, lambda c: (F.col("__size") <= c["most"]) & (_bin() < c["bin"]))
 
 
-def _select(rows: DataFrame) -> DataFrame | None:
-    """q (pattern), cuts: which seeded documents fill each pattern's remainder.
+def _select(rows: DataFrame) -> dict[tuple, list[tuple[int, int]]]:
+    """The cuts of each pattern: which seeded documents fill its remainder.
 
     The first round takes documents by ticket as long as they fit; each further round does so with the
     documents that are small enough for what is left. One row for each pattern comes to the driver."""
-    spark, cuts, left = rows.sparkSession, {}, None
-    bin_ = F.floor(F.col("ticket") / ((1 << 48) // BINS)).alias("bin")
+    spark, cuts = rows.sparkSession, {}
+    now, first = rows.withColumn("__left", F.col("__rest")), True
     for _ in range(ROUNDS):
-        if left is None:
-            now = rows.withColumn("left", F.col("rest"))
-        else:
-            state = [(list(p), left[p], [(m, b) for m, b in cuts[p]]) for p in left if left[p] > 0]
-            if not state:
-                break
-            table = F.broadcast(spark.createDataFrame(state, "q array<string>, left long, cuts array<struct<most: long, bin: long>>"))
-            now = rows.join(table, F.col("pattern").eqNullSafe(F.col("q"))).where((F.col("size") <= F.col("left")) & ~_within("cuts"))
-        binned = now.groupBy("pattern", "left", bin_).agg(F.sum("size").alias("size"))
-        upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("bin"))
-        fit = binned.withColumn("upto", upto).groupBy("pattern", "left").agg(
-            F.min(F.when(F.col("upto") > F.col("left"), F.col("bin"))).alias("bin"),
-            F.coalesce(F.max(F.when(F.col("upto") <= F.col("left"), F.col("upto"))), F.lit(0)).alias("got"),
+        binned = now.groupBy("__pattern", "__left", _bin().alias("bin")).agg(F.sum("__size").alias("size"))
+        upto = F.sum("size").over(Window.partitionBy("__pattern").orderBy("bin"))
+        fit = binned.withColumn("upto", upto).groupBy("__pattern", "__left").agg(
+            F.coalesce(F.min(F.when(F.col("upto") > F.col("__left"), F.col("bin"))), F.lit(BINS)).alias("bin"),
+            F.coalesce(F.max(F.when(F.col("upto") <= F.col("__left"), F.col("upto"))), F.lit(0)).alias("got"),
         )
-        found = fit.collect()
-        left, before = left or {}, left
-        for r in found:
-            p = tuple(r["pattern"])
-            # A document that was chosen before can't be met again: its cut covers it.
-            cuts.setdefault(p, []).append((r["left"] if before is not None else (1 << 62), r["bin"] if r["bin"] is not None else BINS))
-            left[p] = r["left"] - r["got"]
-        if before is not None:
-            met = {tuple(r["pattern"]) for r in found}
-            left = {p: v for p, v in left.items() if p in met}
-        if not found:
+        state = []
+        for r in fit.collect():
+            p = tuple(r["__pattern"])
+            # A document that was chosen can't be met again: its cut covers it.
+            cuts.setdefault(p, []).append((1 << 62 if first else r["__left"], r["bin"]))
+            if r["__left"] > r["got"]:
+                state.append((list(p), r["__left"] - r["got"], cuts[p]))
+        if not state:
             break
-    if not cuts:
-        return None
-    return spark.createDataFrame([(list(p), c) for p, c in cuts.items()], "q array<string>, cuts array<struct<most: long, bin: long>>")
+        first = False
+        table = F.broadcast(spark.createDataFrame(state, "__q array<string>, __left long, __cuts array<struct<most: long, bin: long>>"))
+        now = rows.join(table, F.col("__pattern").eqNullSafe(F.col("__q"))).where((F.col("__size") <= F.col("__left")) & ~_within("__cuts"))
+    return cuts

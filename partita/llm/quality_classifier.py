@@ -181,3 +181,15 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(document_scores(batch.column(1), model))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+
+
+def accepted(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``threshold``, with all their columns; nothing is shuffled."""
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            keep = document_scores(batch.column(place), model) >= threshold
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
