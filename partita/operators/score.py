@@ -82,4 +82,6 @@ def pitch_range(notes: DataFrame, pages: DataFrame) -> DataFrame:
     pad = F.greatest(F.lit(0), 24 - (F.col("hi") - F.col("lo"))) / 2
     low = F.greatest(F.lit(music.LOWEST), half_up(F.col("lo") - pad - 2))
     high = F.least(F.lit(music.HIGHEST), half_up(F.col("hi") + pad + 2))
-    return pages.select("page_id").join(found, "page_id", "left").select("page_id", F.coalesce(low, F.lit(48)).cast("int").alias("low"), F.coalesce(high, F.lit(84)).cast("int").alias("high"))
+    empty = F.col("lo").isNull()
+    bounds = [F.when(empty, none).otherwise(v).cast("int").alias(c) for c, v, none in (("low", low, 48), ("high", high, 84))]
+    return pages.select("page_id").join(found, "page_id", "left").select("page_id", *bounds)

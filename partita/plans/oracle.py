@@ -175,8 +175,8 @@ ORACLE = {
       CASE WHEN event_id % 6 = 1 THEN 1.0 ELSE confidence END AS confidence) FROM p)""",
     "score_rekey": f"""WITH {NOTE}, p AS ({PLAIN}) {EDIT} (SELECT p.* REPLACE (CASE WHEN diatonic IS NOT NULL AND explicit_alter IS NULL THEN {pitch('diatonic', altered('fifths', '(diatonic % 7)'))} ELSE midi END AS midi) FROM p JOIN score USING (page_id))""",
     "pitch_range": f"""WITH {NOTE}, r AS (SELECT page_id, min(midi) AS lo, max(midi) AS hi FROM note WHERE emit_seq % 30 < 2 AND event_id % 3 = 0 GROUP BY page_id)
-      SELECT c_custkey AS page_id, coalesce(greatest(21, floor(lo - greatest(0, 24 - (hi - lo)) / 2.0 - 2 + 0.5)), 48)::BIGINT AS low,
-        coalesce(least(108, floor(hi + greatest(0, 24 - (hi - lo)) / 2.0 + 2 + 0.5)), 84)::BIGINT AS high FROM customer LEFT JOIN r ON page_id = c_custkey""",
+      SELECT c_custkey AS page_id, (CASE WHEN lo IS NULL THEN 48 ELSE greatest(21, floor(lo - greatest(0, 24 - (hi - lo)) / 2.0 - 2 + 0.5)) END)::BIGINT AS low,
+        (CASE WHEN lo IS NULL THEN 84 ELSE least(108, floor(hi + greatest(0, 24 - (hi - lo)) / 2.0 + 2 + 0.5)) END)::BIGINT AS high FROM customer LEFT JOIN r ON page_id = c_custkey""",
     "library_upsert": """WITH p AS (SELECT o_custkey AS owner, 'p' || o_orderkey AS id, 'T' || o_orderkey AS title, epoch_ms(o_orderdate) AS created_at, o_orderkey % 90 AS notes FROM orders),
       s AS (SELECT owner, id, title || ' again' AS title, 2000000000000 + notes AS created_at, notes FROM p WHERE notes % 9 = 0),
       u AS (SELECT * FROM p ANTI JOIN s USING (owner, id) UNION ALL SELECT * FROM s)
