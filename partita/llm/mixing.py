@@ -68,8 +68,8 @@ def route(patterns: list[tuple[tuple, int]], target: dict, most: int = MAX_USES)
     for level in range(1, most + 1):
         for p, (sources, size) in enumerate(patterns):
             while given[p] < level * size:
-                before, seen, queue, end = {}, {p}, deque([p]), None
-                while queue and end is None:
+                before, seen, queue, end = {}, {p}, deque([p]), ()  # a source may be None
+                while queue and end == ():
                     q = queue.popleft()
                     for s in patterns[q][0]:
                         if ("s", s) in before:
@@ -83,7 +83,7 @@ def route(patterns: list[tuple[tuple, int]], target: dict, most: int = MAX_USES)
                                 seen.add(r)
                                 before[r] = s
                                 queue.append(r)
-                if end is None:
+                if end == ():
                     break
                 path, s = [], end
                 while True:
@@ -139,12 +139,13 @@ def planned(docs: DataFrame, sources: str = "source", seed: int = 7, max_pattern
     ]
     table = spark.createDataFrame(plan, "__p array<string>, __source_size long, __target double, __base int, __rest long")
     open_ = rows.join(F.broadcast(table), F.col("__pattern").eqNullSafe(F.col("__p"))).where("__rest > 0 and __size > 0")
-    cuts = _select(open_)
-    full = [(*p, cuts.get(tuple(p[0]), [])) for p in plan]
-    table = spark.createDataFrame(full, "__p array<string>, __source_size long, __target double, __base int, __rest long, __cuts array<struct<most: long, bin: long>>")
+    cuts, picks = _select(open_)
+    full = [(*p, cuts.get(tuple(p[0]), []), picks.get(tuple(p[0]))) for p in plan]
+    table = spark.createDataFrame(full, "__p array<string>, __source_size long, __target double, __base int, __rest long, __cuts array<struct<most: long, bin: long>>, __pick long")
     joined = _measured(docs, sources, seed).join(F.broadcast(table), F.col("__pattern").eqNullSafe(F.col("__p")))
-    uses = (F.col("__base") + _within("__cuts").cast("int")).cast("int")
-    return joined.withColumn("__uses", F.when(F.col("__size") > 0, uses).otherwise(0)).drop("__p", "__base", "__rest", "__cuts", "__pattern", "__ticket")
+    chosen = _within("__cuts") | F.coalesce(F.col("__ticket") == F.col("__pick"), F.lit(False))
+    uses = (F.col("__base") + chosen.cast("int")).cast("int")
+    return joined.withColumn("__uses", F.when(F.col("__size") > 0, uses).otherwise(0)).drop("__p", "__base", "__rest", "__cuts", "__pick", "__pattern", "__ticket")
 
 
 def mix(docs: DataFrame, sources: str = "source", seed: int = 7) -> DataFrame:
@@ -162,12 +163,13 @@ def _within(cuts: str):
     return F.exists(cuts, lambda c: (F.col("__size") <= c["most"]) & (_bin() < c["bin"]))
 
 
-def _select(rows: DataFrame) -> dict[tuple, list[tuple[int, int]]]:
-    """The cuts of each pattern: which seeded documents fill its remainder.
+def _select(rows: DataFrame) -> tuple[dict[tuple, list[tuple[int, int]]], dict[tuple, int]]:
+    """The cuts and the pick of each pattern: which seeded documents fill its remainder.
 
     The first round takes documents by ticket as long as they fit; each further round does so with the
-    documents that are small enough for what is left. One row for each pattern comes to the driver."""
-    spark, cuts = rows.sparkSession, {}
+    documents that are small enough for what is left. At last one document more is picked where going over
+    by it comes nearer than stopping short. One row for each pattern comes to the driver."""
+    spark, cuts, state = rows.sparkSession, {}, []
     now, first = rows.withColumn("__left", F.col("__rest")), True
     for _ in range(ROUNDS):
         binned = now.groupBy("__pattern", "__left", _bin().alias("bin")).agg(F.sum("__size").alias("size"))
@@ -187,5 +189,11 @@ def _select(rows: DataFrame) -> dict[tuple, list[tuple[int, int]]]:
             break
         first = False
         table = F.broadcast(spark.createDataFrame(state, "__q array<string>, __left long, __cuts array<struct<most: long, bin: long>>"))
-        now = rows.join(table, F.col("__pattern").eqNullSafe(F.col("__q"))).where((F.col("__size") <= F.col("__left")) & ~_within("__cuts"))
-    return cuts
+        others = rows.join(table, F.col("__pattern").eqNullSafe(F.col("__q"))).where(~_within("__cuts"))
+        now = others.where(F.col("__size") <= F.col("__left"))
+    picks: dict[tuple, int] = {}
+    if state:
+        over = others.where((F.col("__size") > F.col("__left")) & (F.col("__size") < 2 * F.col("__left")))
+        near = over.groupBy("__pattern").agg(F.min(F.struct("__size", "__ticket"))["__ticket"].alias("ticket")).collect()
+        picks = {tuple(r["__pattern"]): r["ticket"] for r in near}
+    return cuts, picks

@@ -114,11 +114,12 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
     total, n_rows = groups.agg(F.sum("weight"), F.sum("n")).first()
     total, n_rows = total or 0, n_rows or 0
     leaf = total / shards
-    heavy = groups.where(F.col("weight") > leaf * HEAVY).select("key", "weight").orderBy(F.desc("weight"), "key").collect() if total else []
+    heavy = groups.where(F.col("weight") > leaf * HEAVY).select("key", "weight", "n").orderBy(F.desc("weight"), "key").collect() if total else []
     light = groups.where(F.col("weight") <= leaf * HEAVY).withColumn("node", F.lit(0))
-    pieces = [max(1, -(-8 * int(w) // max(1, int(leaf)))) if w > leaf else 1 for _, w in heavy]
-    atoms = sorted(((w / k, i) for i, ((_, w), k) in enumerate(zip(heavy, pieces, strict=True)) for _ in range(k)), key=lambda x: (-x[0], x[1]))
-    level = [Node(0, 0, shards, total - sum(w for _, w in heavy), atoms)]
+    # A text that outweighs a shard falls into pieces of an eighth of it, but of 16 rows each at least.
+    pieces = [max(1, min(-(-8 * int(w) // max(1, int(leaf))), n // 16)) if w > leaf else 1 for _, w, n in heavy]
+    atoms = sorted(((w / k, i) for i, ((_, w, _), k) in enumerate(zip(heavy, pieces, strict=True)) for _ in range(k)), key=lambda x: (-x[0], x[1]))
+    level = [Node(0, 0, shards, total - sum(w for _, w, _ in heavy), atoms)]
     done: list[Node] = []
     while any(n.leaves > 1 for n in level):
         done += [n for n in level if n.leaves == 1]
@@ -145,7 +146,7 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
         for n in level:
             for _, i in n.atoms:
                 where.setdefault(i, []).append(n.first)
-        dealt = F.broadcast(spark.createDataFrame([(bytearray(k), sorted(where[i])) for i, (k, _) in enumerate(heavy)], "key binary, shards array<int>"))
+        dealt = F.broadcast(spark.createDataFrame([(bytearray(k), sorted(where[i])) for i, (k, _, _) in enumerate(heavy)], "key binary, shards array<int>"))
         piece = F.pmod(F.xxhash64("doc_id"), F.size("shards")).cast("int")
         hot = rows.join(dealt, "key").withColumn("shard", F.get("shards", piece)).drop("shards")
         placed = rows.join(dealt, "key", "left_anti").join(light.join(F.broadcast(leaves), "node").select("key", "shard"), "key").unionByName(hot)
