@@ -46,16 +46,42 @@ def smallest_area(space: Column) -> Column:
     return F.greatest(F.lit(4), F.floor(space * space * 0.06 + 0.5))
 
 
-def window_fill(windows: DataFrame, totals: DataFrame) -> DataFrame:
-    """``windows`` (page_id, window_id, wx0, wy0, wx1, wy1 half-open, already clipped) with sum, area and fill.
+def mask_totals(ink: DataFrame, blobs: DataFrame) -> DataFrame:
+    """page_id, blob_id, x, y, total: each blob's own summed-area table, in blob coordinates.
 
-    Four equi-joined corners of the summed-area table (page_id, x, y, total); an empty window is 0."""
+    ``ink`` has page_id, blob_id, x, y in page coordinates."""
+    boxes = blobs.select("page_id", "blob_id", "x0", "y0", F.explode(F.sequence(F.lit(0), (F.col("width") - 1).cast("int"))).alias("x"), "height")
+    grid = boxes.select("page_id", "blob_id", "x0", "y0", "x", F.explode(F.sequence(F.lit(0), (F.col("height") - 1).cast("int"))).alias("y"))
+    own = ink.join(blobs.select("page_id", "blob_id", "x0", "y0"), ["page_id", "blob_id"]).select("page_id", "blob_id", (F.col("x") - F.col("x0")).alias("x"), (F.col("y") - F.col("y0")).alias("y"), F.lit(1).alias("v"))
+    dense = grid.join(own, ["page_id", "blob_id", "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    upto = (Window.unboundedPreceding, 0)
+    across = F.sum("v").over(Window.partitionBy("page_id", "blob_id", "y").orderBy("x").rowsBetween(*upto))
+    total = F.sum("__row").over(Window.partitionBy("page_id", "blob_id", "x").orderBy("y").rowsBetween(*upto))
+    return dense.withColumn("__row", across).withColumn("total", total).select("page_id", "blob_id", "x", "y", "total")
+
+
+def symbol_ink(runs: DataFrame, blobs: DataFrame) -> DataFrame:
+    """page_id, blob_id, x, y: the ink of each symbol, opened from its runs."""
+    own = runs.join(blobs.select("page_id", "first", "blob_id"), ["page_id", "first"])
+    return own.select("page_id", "blob_id", F.explode(F.sequence("from", "to")).alias("x"), F.col("fixed").alias("y"))
+
+
+def clipped(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> dict[str, Column]:
+    """The half-open window of size w by h around a centre, edges rounded half up and held within the area."""
+    edge = lambda c, half, most: F.least(most, F.greatest(F.lit(0), F.floor(c + half + 0.5))).cast("int")
+    return {"wx0": edge(cx, -w / 2, width), "wy0": edge(cy, -h / 2, height), "wx1": edge(cx, w / 2, width), "wy1": edge(cy, h / 2, height)}
+
+
+def window_fill(windows: DataFrame, totals: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``windows`` (keys, window_id, wx0, wy0, wx1, wy1 half-open, clipped) with sum, area and fill.
+
+    Four equi-joined corners of the summed-area table (keys, x, y, total); an empty window is 0."""
     corner = lambda n, x, y: F.struct(F.lit(n).alias("sign"), (x - 1).alias("x"), (y - 1).alias("y"))
     x0, y0, x1, y1 = (F.col(c) for c in ("wx0", "wy0", "wx1", "wy1"))
-    corners = windows.select("page_id", "window_id", F.explode(F.array(corner(1, x1, y1), corner(-1, x0, y1), corner(-1, x1, y0), corner(1, x0, y0))).alias("c"))
-    sums = corners.select("page_id", "window_id", "c.sign", "c.x", "c.y").join(totals.select("page_id", "x", "y", "total"), ["page_id", "x", "y"])
-    sums = sums.groupBy("page_id", "window_id").agg(F.sum(F.col("sign") * F.col("total")).alias("sum"))
+    corners = windows.select(*keys, "window_id", F.explode(F.array(corner(1, x1, y1), corner(-1, x0, y1), corner(-1, x1, y0), corner(1, x0, y0))).alias("c"))
+    sums = corners.select(*keys, "window_id", "c.sign", "c.x", "c.y").join(totals.select(*keys, "x", "y", "total"), [*keys, "x", "y"])
+    sums = sums.groupBy(*keys, "window_id").agg(F.sum(F.col("sign") * F.col("total")).alias("sum"))
     area = F.greatest(F.lit(0), x1 - x0) * F.greatest(F.lit(0), y1 - y0)
-    out = windows.join(sums, ["page_id", "window_id"], "left").withColumn("area", area)
+    out = windows.join(sums, [*keys, "window_id"], "left").withColumn("area", area)
     out = out.withColumn("sum", F.when(F.col("area") > 0, F.coalesce("sum", F.lit(0))).otherwise(F.lit(0)))
     return out.withColumn("fill", F.coalesce(F.col("sum") / F.nullif("area", F.lit(0)), F.lit(0.0)))

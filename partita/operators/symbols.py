@@ -87,9 +87,9 @@ def header_ends(blobs: DataFrame, staves: DataFrame, found: DataFrame) -> DataFr
     return joined.select("page_id", "staff", header.alias("header_end"))
 
 
-def rests(blobs: DataFrame, staves: DataFrame, used: DataFrame) -> DataFrame:
+def rests(blobs: DataFrame, staves: DataFrame, used: DataFrame, on: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """page_id, staff, blob_id, cx, cy, base: blobs without noteheads, by size and place; the first rule wins."""
-    both = centre(blobs.join(used, ["page_id", "blob_id"], "left_anti")).join(staves, "page_id")
+    both = centre(blobs.join(used, ["page_id", "blob_id"], "left_anti")).join(staves, list(on))
     both = both.where(F.col("cy").between(F.col("top") - F.col("space"), F.col("bottom") + F.col("space")))
     w, h, full = F.col("width") / F.col("space"), F.col("height") / F.col("space"), F.col("area") / (F.col("width") * F.col("height"))
     within = lambda v, a, b: (v > a) & (v < b)
@@ -124,12 +124,12 @@ def silhouette(ink: DataFrame, blobs: DataFrame) -> DataFrame:
     return found.select("page_id", "blob_id", wide("tl", "tr").alias("top_width"), mid("tl", "tr").alias("top_centre"), wide("fl", "fr").alias("foot_width"), mid("fl", "fr").alias("foot_centre"))
 
 
-def accidentals(heads: DataFrame, blobs: DataFrame) -> DataFrame:
+def accidentals(heads: DataFrame, blobs: DataFrame, on: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``heads`` (page_id, head_id, cx, cy, space) with ``kind``: the nearest accidental to the left, the
     smaller blob_id on ties, or null. ``blobs`` carry their kind."""
-    b = blobs.where("kind is not null").select("page_id", "blob_id", "x1", "y0", "y1", "width", "height", "kind")
+    b = blobs.where("kind is not null").select(*on, "blob_id", "x1", "y0", "y1", "width", "height", "kind")
     gap, off = F.col("cx") - F.col("x1"), F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("cy"))
     fits = gap.between(F.col("space") * 0.1, F.col("space") * 1.9) & F.col("height").between(F.col("space") * 1.2, F.col("space") * 3.2) & (F.col("width") <= F.col("space") * 1.05) & (off <= F.col("space") * 1.2)
     order = Window.partitionBy("page_id", "head_id").orderBy(gap, "blob_id")
-    best = heads.join(b, "page_id").where(fits).withColumn("__n", F.row_number().over(order)).where("__n = 1").select("page_id", "head_id", "blob_id", "kind")
+    best = heads.join(b, list(on)).where(fits).withColumn("__n", F.row_number().over(order)).where("__n = 1").select("page_id", "head_id", "blob_id", "kind")
     return heads.join(best, ["page_id", "head_id"], "left")

@@ -11,6 +11,7 @@ from ..functions import music
 from ..operators import assembly, components, display, noteheads, pixels, score, staves, symbols, synthesis, transport
 from ..sources import library, midi, shorthand
 from . import views
+from .recognize import recognize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -449,5 +450,11 @@ def head_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stem_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.page_images(spark, sf_dir)
-    heads = pages.select("page_id", F.col("page_id").alias("head_id"), (8.0 + F.col("page_id") % 20).alias("cx"), (12.0 + F.col("page_id") * 7 % 20).alias("cy"), F.lit(2.0).alias("space"))
-    return longs(noteheads.stems(heads, _ink(spark, sf_dir)), "stem_x", "ink")
+    heads = pages.select("page_id", F.col("page_id").alias("head_id"), (8.0 + F.col("page_id") % 20).alias("cx"), (12 + F.col("page_id") * 7 % 20).alias("cy"), F.lit(2.0).alias("space"))
+    return doubles(noteheads.stems(heads, _ink(spark, sf_dir)), "stem_x", "tip")
+
+
+@query
+def recognize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every small page from pixels to timed notes."""
+    return longs(recognize(_bitmap(spark, sf_dir), views.page_images(spark, sf_dir)), "staff", "measure", "midi", "diatonic")
