@@ -247,3 +247,15 @@ ORACLE["window_fill"] = f"""WITH {PIXEL} SELECT page_id, x // 8 + y // 12 * 5 AS
 ORACLE["library_json"] = """WITH p AS (SELECT o_custkey AS owner, 'p' || o_orderkey AS id, 'T' || o_orderkey AS title, epoch_ms(o_orderdate) AS t, o_orderkey % 90 AS notes FROM orders),
   k AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY t DESC, id) AS n FROM p QUALIFY n <= 24)
   SELECT owner, '[' || string_agg('{"id":"' || id || '","title":"' || title || '","created_at":' || t::BIGINT || ',"notes":' || notes || '}', ',' ORDER BY n) || ']' AS json FROM k GROUP BY owner"""
+ORACLE["page_downscale"] = f"WITH {PIXEL} SELECT page_id, x // 2 AS x, y // 2 AS y, round_even(avg(g), 0)::BIGINT AS g FROM pixel GROUP BY ALL"
+ORACLE["deskew_apply"] = f"""WITH best AS ({ORACLE['deskew']}), {PIXEL},
+  moved AS (SELECT page_id, x, CASE WHEN abs(tan(radians(angle))) < 1e-4 THEN y ELSE y - floor(tan(radians(angle)) * (x - 20) + 0.5)::BIGINT END AS y FROM pixel JOIN best USING (page_id) WHERE ink = 1)
+  SELECT page_id, x::BIGINT AS x, y::BIGINT AS y FROM moved WHERE y BETWEEN 0 AND 47"""
+ORACLE["stave_groups"] = f"""WITH {PIXEL}, {BAND} SELECT page_id, 0::BIGINT AS staff, round(min(center), 6) AS top, round(max(center), 6) AS bottom, min(l)::BIGINT AS "left", max(r)::BIGINT AS "right",
+  round((max(center) - min(center)) / 4, 6) AS space, 0::BIGINT AS system, 0::BIGINT AS index_in_system FROM band GROUP BY page_id HAVING count(*) = 5"""
+ORACLE["line_erase"] = f"""WITH {PIXEL}, {BAND}, {HRUN}, staff AS (SELECT page_id, (max(center) - min(center)) / 4 AS space FROM band GROUP BY page_id HAVING count(*) = 5),
+  rows AS (SELECT DISTINCT page_id, unnest(range(floor(center - reach + 0.5)::BIGINT, floor(center + reach + 0.5)::BIGINT + 1)) AS y, space FROM (
+    SELECT band.page_id, center, space, greatest(1, floor(th * 0.8 + 0.5)) AS reach FROM band JOIN staff USING (page_id) JOIN scale USING (page_id))),
+  gone AS (SELECT thin.page_id, x, thin.y FROM thin JOIN rows ON rows.page_id = thin.page_id AND rows.y = thin.y
+    JOIN hrun ON hrun.page_id = thin.page_id AND hrun.y = thin.y AND x BETWEEN hrun.f AND hrun.t WHERE n <= th * 2 + 1 AND hrun.t - hrun.f + 1 >= space * 1.2)
+  SELECT page_id, x::BIGINT AS x, y::BIGINT AS y FROM pixel ANTI JOIN gone USING (page_id, x, y) WHERE ink = 1"""
