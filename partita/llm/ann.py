@@ -217,11 +217,11 @@ def _probes_needed(known: DataFrame, asking: DataFrame, hashing: Hashing, k: int
     most = min(MOST_PROBES, max(1, 2 * hashing.first * max(1, 2 * hashing.second)))
     rank = np.full(len(found), most)
     for t in range(hashing.tables):
-        order = hashing.probes(ask, t, most)
-        place = np.argsort(order, axis=1, kind="stable") if (order >= 0).all() else None
-        code = hashing.probes(near, t, 1)[:, 0]
-        at = place[q, code] if place is not None and place.shape[1] > code.max() else np.array([(np.flatnonzero(order[i] == c)[:1].tolist() or [most])[0] for i, c in zip(q, code, strict=True)])
-        rank = np.minimum(rank, at)
+        order, code = hashing.probes(ask, t, most), hashing.probes(near, t, 1)
+        for i in range(len(ask)):
+            own = np.flatnonzero(q == i)
+            hit = order[i] == code[own]
+            rank[own] = np.minimum(rank[own], np.where(hit.any(axis=1), hit.argmax(axis=1), most))
     return min(most, int(np.sort(rank)[min(len(rank) - 1, int(target * len(rank)))]) + 1)
 
 

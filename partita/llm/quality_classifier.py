@@ -157,7 +157,8 @@ def document_scores(texts: pa.Array, model: dict | None) -> np.ndarray:
 
 
 def remainder(mod: int, doc_id: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(mod))
+    """crc32 of doc_id as text, modulo ``mod``; a null id counts as the empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), F.lit(mod))
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "quality", sample: int = SAMPLE) -> dict | None:
