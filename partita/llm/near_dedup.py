@@ -2,11 +2,12 @@
 
 A document is its set of distinct 5-word shingles. Equal sets are one vertex from the start. Vertices
 branch into tree nodes by selected minwise tokens: in each of TREES independent trees a node splits its
-members by BRANCHES of their minwise values. Nodes of a few members are compared exhaustively, on
-sketches; larger ones are compared with pivots and branch again. Whatever passes the sketch filter is
-confirmed on the full sets. A node whose members are all of one component already says nothing new and
-is left, which is what keeps large groups of copies cheap; nodes that are still large after DEPTH levels
-are compared block by block, so no partner is ever dropped.
+members by BRANCHES of their minwise values. Nodes of up to SMALL members are compared exhaustively:
+first on sketches, then, for members with some promising partner, on the full sets. Larger nodes branch
+again, unless a branch keeps most of their members together or DEPTH is reached; those are compared block
+by block, so no partner is ever dropped. Before that, each vertex is tried with its most likely partner;
+a node whose members are all of one component says nothing new and is left, and only members of
+different components are compared, which is what keeps large groups of copies cheap.
 
 A pair at the threshold meets in a first-level node but with a probability of 0.25 ** (TREES * BRANCHES)
 (6e-8) and passes the filter but with a probability of about 4e-5 (four standard deviations).
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import written
-from .components import components
 from .words import encode, hashes, mix
 
 SHINGLE = 5
@@ -34,10 +35,13 @@ TREES, BRANCHES = 6, 2
 SKETCH = 128
 #: Sketches must agree in this share for a pair to be confirmed.
 FILTER = 0.60
-SMALL = 48
-PIVOTS = 12
+SMALL = 256
+#: A node whose branch keeps more than this share of it together is compared rather than branched on.
+DENSE = 0.5
 DEPTH = 7
-BLOCK = 400
+BLOCK = 512
+#: Ids (8 bytes each) that are sent to every task at most.
+BROADCAST = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,18 +88,18 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 low = np.minimum(low, least)
         low = (low ^ (low >> np.uint32(15))) * np.uint32(0x9E3779B1)
         paths = mix(s[at] + salts).view(np.int64)
-        return len(s), int(s.sum().view(np.int64)), int(mix(s ^ PRIME).sum().view(np.int64)), paths.tolist(), (low >> np.uint32(24)).astype(np.uint8).tobytes()
+        return len(s), int(s.sum().view(np.int64)), int(mix(s ^ PRIME).sum().view(np.int64)), paths.tobytes(), (low >> np.uint32(24)).astype(np.uint8).tobytes()
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("paths", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("paths", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            rows = [one(s) if len(s) else (0, 0, 0, [], b"") for s in shingle_sets(batch.column(1))]
+            rows = [one(s) if len(s) else (0, 0, 0, b"", b"") for s in shingle_sets(batch.column(1))]
             if rows:
                 cols = [batch.column(0), *zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, paths array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, paths binary, sketch binary")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -107,8 +111,8 @@ def _full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, whole binary")
 
 
-def _groups(batches, most: int):
-    """Whole nodes from batches sorted by path: (start, size) arrays with the columns they index."""
+def _groups(batches):
+    """Tables of whole nodes from batches that are sorted by path."""
     held = None
     for batch in batches:
         table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
@@ -123,88 +127,163 @@ def _groups(batches, most: int):
 
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-    return table.column("path").to_numpy(), table.column("id").to_numpy(), table.column("label").to_numpy(), sketch
+    return tuple(table.column(c).to_numpy() for c in ("path", "id", "label", "size")) + (sketch,)
 
 
-def _pairs(members: DataFrame, star: bool) -> DataFrame:
-    """a, b: pairs of nodes' members of different labels whose sketches pass the filter.
+def _opened(batches):
+    """path, id: a row for each first-level node of each vertex."""
+    for batch in batches:
+        paths = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+        ids = batch.column(0).take(pa.array(np.arange(len(paths)) // (TREES * BRANCHES)))
+        yield pa.RecordBatch.from_arrays([pa.array(paths), ids], names=["path", "id"])
+
+
+def _with_nodes(now: DataFrame) -> DataFrame:
+    """``now`` with ``nodes``: all nodes in which the member is compared at this level, in order."""
+    lists = now.select("id", "node").distinct().groupBy("id").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    return now.join(lists, "id")
+
+
+def _node_table(table: pa.Table) -> np.ndarray:
+    """The members' nodes as rows of equal width; the padding comes last and is never the first match."""
+    column = table.column("nodes").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    ends = column.offsets.to_numpy().astype(np.int64)
+    n = np.diff(ends)
+    out = np.full((len(n), int(n.max())), np.iinfo(np.int64).max)
+    row = np.repeat(np.arange(len(n)), n)
+    out[row, np.arange(len(row)) - np.repeat(ends[:-1] - ends[0], n)] = column.flatten().to_numpy()
+    return out
+
+
+def _may_link(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Sets of such sizes can reach the similarity at all."""
+    return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+
+def _cross(table: pa.Table, top: bool):
+    """Pairs (a, b, like) of row numbers within a node, of different labels, whose sizes and sketches allow the
+    similarity: one batch for the nodes of each size, a few MB at a time. At the top level a pair is only
+    taken in the first of the nodes that both are in."""
+    path, _, label, n, sketch = _columns(table)
+    if top:
+        own, node = _node_table(table), table.column("node").to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [len(path)]]))
+    for size in np.unique(sizes[sizes > 1]).tolist():
+        first = starts[sizes == size]
+        i, j = np.triu_indices(size, 1)
+        step = max(1, 250_000 // len(i))
+        for at in range(0, len(first), step):
+            base = first[at : at + step, None]
+            a, b = (base + i).ravel(), (base + j).ravel()
+            keep = (label[a] != label[b]) & _may_link(n[a], n[b])
+            a, b = a[keep], b[keep]
+            if top and len(a):
+                keep = np.concatenate([_is_first(own[a[k : k + 50_000]], own[b[k : k + 50_000]], node[a[k : k + 50_000]]) for k in range(0, len(a), 50_000)])
+                a, b = a[keep], b[keep]
+            like = np.concatenate([np.empty(0, np.int64), *((sketch[a[k : k + 100_000]] == sketch[b[k : k + 100_000]]).sum(axis=1) for k in range(0, len(a), 100_000))])
+            keep = like >= FILTER * SKETCH
+            if keep.any():
+                yield a[keep], b[keep], like[keep]
+
+
+def _is_first(x: np.ndarray, y: np.ndarray, node: np.ndarray) -> np.ndarray:
+    first = (x[:, :, None] == y[:, None, :]).any(axis=2).argmax(axis=1)
+    return x[np.arange(len(x)), first] == node
+
+
+def _ordered(members: DataFrame, *more: str) -> DataFrame:
+    return members.select("path", "node", "id", "label", "size", "sketch", "nodes", *more).repartition("path").sortWithinPartitions("path", "id")
+
+
+def _best_partners(members: DataFrame, top: bool = True) -> DataFrame:
+    """a, b: for each id the member before it (by id) that is most like it, over all its nodes.
+
+    A node gives a row for each member at most; these pairs join most of what belongs together."""
+
+    def run(batches):
+        for table in _groups(batches):
+            ids = table.column("id").to_numpy()
+            for a, b, like in _cross(table, top):
+                order = np.lexsort((a, -like, b))
+                a, b, like = a[order], b[order], like[order]
+                keep = np.concatenate([[True], b[1:] != b[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(like[keep].astype(np.int32))], names=["a", "b", "like"])
 
-    With ``star`` only each member's best earlier partner: enough to join most of a group; what it misses
-    is asked for later without it."""
+    found = _ordered(members).mapInArrow(run, "a long, b long, like int")
+    return found.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b")
+
+
+def _promising(members: DataFrame, top: bool) -> DataFrame:
+    """path, id: the members of a node that may be similar to some member of another label."""
 
     def run(batches):
-        for table in _groups(batches, SMALL):
-            path, ids, label, sketch = _columns(table)
-            starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]]))
-            sizes = np.diff(np.concatenate([starts, [len(path)]]))
-            for size in np.unique(sizes[sizes > 1]).tolist():
-                first = starts[sizes == size]
-                i, j = np.triu_indices(size, 1)
-                step = max(1, (32 << 20) // (len(i) * SKETCH))
-                for at in range(0, len(first), step):
-                    base = first[at : at + step, None]
-                    a, b = (base + i).ravel(), (base + j).ravel()
-                    keep = label[a] != label[b]
-                    a, b = a[keep], b[keep]
-                    if not len(a):
-                        continue
-                    like = np.concatenate([(sketch[a[k : k + 250_000]] == sketch[b[k : k + 250_000]]).sum(axis=1) for k in range(0, len(a), 250_000)])
-                    keep = like >= FILTER * SKETCH
-                    a, b, like = a[keep], b[keep], like[keep]
-                    if star and len(a):
-                        order = np.lexsort((a, -like, b))
-                        a, b = a[order], b[order]
-                        keep = np.concatenate([[True], b[1:] != b[:-1]])
-                        a, b = a[keep], b[keep]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[a], ids[b])), pa.array(np.maximum(ids[a], ids[b]))], names=["a", "b"])
-
-    return members.select("path", "id", "label", "sketch").repartition("path").sortWithinPartitions("path", "id").mapInArrow(run, "a long, b long").distinct()
-
-
-def _pivot_pairs(members: DataFrame) -> DataFrame:
-    """a, b: each member of a large node with the pivot of another label that is most like it.
-
-    A node's pivots are members with the smallest hashes, about PIVOTS of them whatever its size; members
-    are joined with them one by one, so no task holds a node."""
-    ticket = F.pmod(F.xxhash64("path", "id"), F.lit(1 << 40)) / (1 << 40)
-    pivots = members.where(ticket < PIVOTS / F.col("n")).groupBy("path").agg(F.collect_list(F.struct("id", "label", "sketch")).alias("pivots"))
+        for table in _groups(batches):
+            hit = np.zeros(table.num_rows, bool)
+            for a, b, _ in _cross(table, top):
+                hit[a] = hit[b] = True
+            if hit.any():
+                yield from table.select(["path", "id"]).filter(pa.array(hit)).to_batches()
+
+    return _ordered(members).mapInArrow(run, "path long, id long")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    n = len(x) + len(y)
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) and len(y) else 0
+    return n > 0 and 100 * both >= PERCENT * (n - both)
+
+
+def _links(members: DataFrame, top: bool) -> DataFrame:
+    """a, b: links between members of different labels, confirmed on the full sets that the members carry.
+
+    Likely pairs come first, and what a link has joined is not asked again, so a node gives fewer links
+    than it has members."""
 
     def run(batches):
-        for batch in batches:
-            _, ids, label, sketch = _columns(pa.Table.from_batches([batch]))
+        for table in _groups(batches):
+            ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in table.column("whole").to_pylist()]
+            path = table.column("path").to_numpy()
+            joined: dict[tuple[int, int], tuple[int, int]] = {}
+
+            def root(i: int) -> tuple[int, int]:
+                k = (int(path[i]), int(label[i]))
+                while k in joined:
+                    k = joined[k]
+                return k
+
             out = []
-            for k, pivots in enumerate(batch.column("pivots").to_pylist()):
-                rest = [p for p in pivots if p["label"] != label[k]]
-                if rest:
-                    other = np.frombuffer(b"".join(p["sketch"] for p in rest), np.uint8).reshape(-1, SKETCH)
-                    like = (other == sketch[k]).sum(axis=1)
-                    best = int(like.argmax())
-                    if like[best] >= FILTER * SKETCH:
-                        out.append((min(int(ids[k]), rest[best]["id"]), max(int(ids[k]), rest[best]["id"])))
+            for a, b, like in _cross(table, top):
+                for k in np.argsort(-like, kind="stable").tolist():
+                    i, j = int(a[k]), int(b[k])
+                    r, s = root(i), root(j)
+                    if r != s and _similar(sets[i], sets[j]):
+                        joined[max(r, s)] = min(r, s)
+                        out.append((int(ids[i]), int(ids[j])))
             if out:
-                a, b = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return members.select("path", "id", "label", "sketch").join(pivots, "path").mapInArrow(run, "a long, b long").distinct()
+    return _ordered(members, "whole").mapInArrow(run, "a long, b long").distinct()
 
 
 def _children(members: DataFrame) -> DataFrame:
-    """The next level: members of a node are split by BRANCHES of their minwise values, chosen by the node."""
+    """path, id, parent, branch: members of a node by BRANCHES of their minwise values, chosen by the node."""
     kids = []
     for k in range(BRANCHES):
         at = F.pmod(F.xxhash64("path", F.lit(k)), F.lit(SKETCH)).cast("int")
-        kids.append(F.xxhash64("path", at, F.substring("sketch", at + 1, F.lit(1))))
-    return members.select(F.explode(F.array(*kids)).alias("path"), "id", "sketch").distinct()
+        kids.append(F.struct(F.xxhash64("path", at, F.substring("sketch", at + 1, F.lit(1))).alias("path"), F.lit(k).alias("branch")))
+    return members.select("id", F.col("path").alias("parent"), F.explode(F.array(*kids)).alias("c")).select("c.path", "id", "parent", "c.branch")
 
 
-def _blocks(members: DataFrame) -> DataFrame:
-    """Nodes that never became small: members meet in every pair of blocks of about BLOCK members."""
+def _blocks(level: DataFrame) -> DataFrame:
+    """Members meet in every pair of blocks of about BLOCK members: exhaustive, without a task for a whole node."""
     n = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1)).alias("o")
-    both = members.select("path", "id", "label", "sketch", own.alias("i"), other)
-    return both.select(F.xxhash64("path", F.least("i", "o"), F.greatest("i", "o")).alias("path"), "id", "label", "sketch")
+    both = level.select("path", "id", "label", own.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
+    return both.select(F.xxhash64("path", F.least("i", "o"), F.greatest("i", "o")).alias("path"), F.col("path").alias("node"), "id", "label")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -212,12 +291,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                n = len(x) + len(y)
-                both = n - len(np.unique(np.concatenate([x, y])))
-                keep.append(100 * both >= PERCENT * (n - both) and n > 0)
+            sets_ = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sets_]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("whole").alias("y")), "b")
@@ -225,13 +300,34 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Nodes of two members at least that are not of one component: path, id, label, sketch, n."""
+    """path, id, label, n: nodes of two members at least that are not of one component already."""
     if labels is None:
         nodes = nodes.withColumn("label", F.col("id"))
     else:
         nodes = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     mixed = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    return nodes.select("path", "id", "label", "sketch").join(mixed.select("path", "n"), "path")
+    return nodes.select("path", "id", "label").join(mixed.select("path", "n"), "path")
+
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """The components of what is joined already and the links found now."""
+    if found.isEmpty():
+        return labels
+    return components(found if labels is None else found.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
+
+def _compact(level: DataFrame) -> DataFrame:
+    """Large nodes dealt into parts of SMALL members on average: enough for a first look for partners."""
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / SMALL))
+    return level.select(F.when(F.col("n") > SMALL, F.xxhash64("path", part)).otherwise(F.col("path")).alias("path"), F.col("path").alias("node"), "id", "label")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, whole: the full sets of ``ids``. Up to BROADCAST ids travel to the documents; more are joined."""
+    ids = ids.withColumnRenamed("id", "doc_id")
+    if ids.count() <= BROADCAST:
+        ids = F.broadcast(ids)
+    return _full_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["id", "whole"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -239,36 +335,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(_sketches(docs), "sketches")
     keys = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     keys = written(keys, "vertices")
-    reps = rows.join(keys.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi").dropDuplicates(["doc_id", "n_shingles", "k1", "k2"])
+    own = rows.select("doc_id", "n_shingles", "k1", "k2", "paths").join(
+        keys.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi"
+    )
     # First level: only nodes with company go on, before any sketch is moved.
-    nodes = reps.select(F.explode("paths").alias("path"), F.col("doc_id").alias("id"))
-    company = nodes.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
-    nodes = written(nodes.join(company, "path"), "nodes")
-    ids = nodes.select("id").distinct()
-    sketches = reps.select(F.col("doc_id").alias("id"), "sketch").join(ids, "id", "left_semi")
-    nodes = written(nodes.join(sketches, "id"), "members")
-    sets = written(_full_sets(docs.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")).dropDuplicates(["id", "whole"]), "sets")
-    links, labels, star = None, None, True
-    for depth in range(DEPTH + 1):
-        for star in (True, False) if depth == 0 else (False,):
-            members = written(_labelled(nodes, labels), "level")
-            small = members.where(F.col("n") <= SMALL)
-            large = members.where(F.col("n") > SMALL)
-            pairs = _pairs(small, star).unionByName(_pivot_pairs(large) if depth < DEPTH else _pairs(_blocks(large), False)).distinct()
-            found = written(_confirmed(pairs, sets), "links")
-            if not found.isEmpty():
-                if links is not None:
-                    found = found.unionByName(links)
-                labels = components(found)
-                links = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
-        # Small nodes are settled; large ones branch.
-        if depth == DEPTH or large.isEmpty():
-            break
-        nodes = _children(large)
+    nodes = own.select(F.col("doc_id").alias("id"), F.col("paths")).mapInArrow(_opened, "path long, id long").distinct()
+    nodes = written(_labelled(nodes, None), "nodes").select("path", "id")
+    ids = written(nodes.select("id").distinct(), "ids")
+    sketches = rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").where("size > 0")
+    sketches = written(sketches.join(ids, "id", "left_semi").dropDuplicates(), "members")
+    pairs = written(_best_partners(_with_nodes(_compact(_labelled(nodes, None))).join(sketches, "id")), "pairs")
+    labels = None
+    if not pairs.isEmpty():
+        sets = written(_sets_of(docs, ids), "sets")
+        labels = _merged(labels, written(_confirmed(pairs, sets), "links"))
+        for depth in range(DEPTH + 1):
+            level = written(_labelled(nodes, labels), "level")
+            if level.isEmpty():
+                break
+            # Large nodes branch, unless a branch keeps most of them together: those are compared now.
+            now, nodes = level.where(F.col("n") <= SMALL).select("path", F.col("path").alias("node"), "id", "label"), None
+            large = level.where(F.col("n") > SMALL)
+            if not large.isEmpty():
+                kids = written(_children(large.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id")), "children")
+                sizes = kids.groupBy("parent", "branch", "path").agg(F.count("*").alias("m")).groupBy(F.col("parent").alias("path")).agg(F.max("m").alias("m"))
+                large = written(large.join(sizes, "path").withColumn("dense", (F.col("m") > DENSE * F.col("n")) | F.lit(depth == DEPTH)), "large")
+                now = now.unionByName(_blocks(large.where("dense")))
+                parents = large.where("not dense").select(F.col("path").alias("parent")).distinct()
+                nodes = kids.join(parents, "parent", "left_semi").select("path", "id").distinct()
+            now = _with_nodes(now)
+            members = written(now.join(_promising(now.join(sketches, "id"), depth == 0), ["path", "id"]), "promising")
+            labels = _merged(labels, written(_links(members.join(sketches, "id").join(sets, "id"), depth == 0), "links"))
+            if nodes is None:
+                break
+            nodes = written(nodes, "nodes")
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(keys, ["n_shingles", "k1", "k2"], "left")
     out = out.withColumn("__v", F.coalesce("rep", "doc_id"))
-    # Copies of one set may link sets further through a doc_id that they share.
     if labels is not None:
         out = out.join(labels.withColumnRenamed("id", "__v"), "__v", "left").withColumn("__v", F.coalesce("component", "__v"))
     component = F.when(F.col("doc_id").isNotNull(), F.col("__v"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each component, with all its columns; rows without a doc_id stay."""
+    found = written(near_duplicates(docs), "near-dups")
+    dropped = found.where(~F.col("kept")).select("doc_id").distinct()
+    if dropped.count() <= BROADCAST:
+        dropped = F.broadcast(dropped)
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    n, distinct = found.where("kept and doc_id is not null").agg(F.count("*"), F.count_distinct("doc_id")).first()
+    if n > distinct:  # rows that repeat a doc_id
+        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
