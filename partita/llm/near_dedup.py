@@ -322,12 +322,14 @@ def _compact(level: DataFrame) -> DataFrame:
     return level.select(F.when(F.col("n") > SMALL, F.xxhash64("path", part)).otherwise(F.col("path")).alias("path"), F.col("path").alias("node"), "id", "label")
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, whole: the full sets of ``ids``. Up to BROADCAST ids travel to the documents; more are joined."""
-    ids = ids.withColumnRenamed("id", "doc_id")
+def _sets_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
+    """id, whole: the full sets of ``ids``, made from the texts when they are asked for, so that neither all
+    sets nor all texts are ever moved. Up to BROADCAST ids travel to the documents; more are joined."""
+    ids = written(ids.distinct().withColumnRenamed("id", "doc_id"), "ids")
     if ids.count() <= BROADCAST:
         ids = F.broadcast(ids)
-    return _full_sets(docs.join(ids, "doc_id", "left_semi")).dropDuplicates(["id", "whole"])
+    sets = _full_sets(docs.join(ids, "doc_id", "left_semi"))
+    return sets.dropDuplicates(["id", "whole"]) if repeated else sets
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -335,6 +337,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = written(_sketches(docs), "sketches")
     keys = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
     keys = written(keys, "vertices")
+    n, distinct = rows.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    repeated = n > distinct
     own = rows.select("doc_id", "n_shingles", "k1", "k2", "paths").join(
         keys.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi"
     )
@@ -347,8 +351,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(_best_partners(_with_nodes(_compact(_labelled(nodes, None))).join(sketches, "id")), "pairs")
     labels = None
     if not pairs.isEmpty():
-        sets = written(_sets_of(docs, ids), "sets")
-        labels = _merged(labels, written(_confirmed(pairs, sets), "links"))
+        asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        labels = _merged(labels, written(_confirmed(pairs, written(_sets_of(docs, asked, repeated), "sets")), "links"))
         for depth in range(DEPTH + 1):
             level = written(_labelled(nodes, labels), "level")
             if level.isEmpty():
@@ -365,6 +369,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 nodes = kids.join(parents, "parent", "left_semi").select("path", "id").distinct()
             now = _with_nodes(now)
             members = written(now.join(_promising(now.join(sketches, "id"), depth == 0), ["path", "id"]), "promising")
+            sets = _sets_of(docs, members.select("id"), repeated)
             labels = _merged(labels, written(_links(members.join(sketches, "id").join(sets, "id"), depth == 0), "links"))
             if nodes is None:
                 break
