@@ -3,8 +3,8 @@
 Documents become token ids and one end id; longer ones than a sequence are cut. The histogram of lengths
 (at most one bin for each length) is all that the driver sees. A configuration is a multiset of lengths
 that fits a sequence. Multiplicative weights over the lengths price configurations by a knapsack dynamic
-program; the weighted configurations, rounded down, are used whole, and the pieces left over go best fit
-by decreasing length. Pieces then find their places by their rank among pieces of equal length.
+program; each is used a whole number of times, within the copies left, and the pieces left over go best
+fit by decreasing length. Pieces then find their places by their rank among pieces of equal length.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are separate documents; ties in
 length are ordered by doc_id and piece; an empty table gives an empty result; further columns are
@@ -30,6 +30,13 @@ from .words import chunks
 LENGTH = 4096
 END_ID = 1
 ROUNDS = 160
+#: How fast dual weights follow the coverage, and the power of a length that they start from.
+RATE = 0.1
+DEAR = 3.0
+#: The most of a sequence that a priced configuration may leave unused.
+SLACK = 1 / 2048
+#: The share of each length's copies that are left to fill the gaps of the rounding's rest.
+SPARE = 0.1
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,56 +126,93 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
-def _knapsack(value: np.ndarray, length: int, fits: np.ndarray) -> list[int]:
-    """The lengths of a configuration of the largest value that fits; ``fits`` are the lengths on offer."""
-    best, choice = np.zeros(length + 1), np.zeros(length + 1, dtype=np.int64)
-    for room in range(1, length + 1):
-        k = np.searchsorted(fits, room, "right")
-        best[room] = best[room - 1]
-        if k:
-            gains = best[room - fits[:k]] + value[:k]
-            i = int(gains.argmax())
-            if gains[i] > best[room]:
-                best[room], choice[room] = gains[i], fits[i]
-    out, room = [], length
-    while room > 0:
-        if choice[room]:
-            out.append(int(choice[room]))
-            room -= int(choice[room])
-        else:
-            room -= 1
-    return out
+class Knapsack:
+    """The most valuable configurations of a sequence, with no more copies of a length than there are.
 
+    ``lengths`` ascend; the copies of a length are dealt into items of 1, 2, 4, ... of them, so that every
+    number up to ``copies`` can be taken."""
 
-def configurations(counts: dict[int, int], length: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): sequences that hold every counted piece exactly once.
-
-    The covering program asks for as few sequences as can be with each length covered. In each round the
-    weights, which fall for the lengths covered so far, price the lengths; the knapsack's best
-    configuration is used as often as its scarcest length allows, but at most a share of what is left."""
-    left = {k: n for k, n in counts.items() if n > 0}
-    used: Counter = Counter()
-    demand = dict(left)
-    covered = dict.fromkeys(left, 0)
+    def __init__(self, lengths: np.ndarray, value: np.ndarray, copies: np.ndarray, length: int):
+        self.length, self.items = length, []
+        for at, (k, n) in enumerate(zip(lengths.tolist(), np.minimum(copies, length // lengths).tolist(), strict=True)):
+            size = 1
+            while n:
+                self.items.append((at, min(size, n), min(size, n) * k))
+                n -= min(size, n)
+                size *= 2
+        #: By item and room: the item itself or the last one before it that its best filling takes (-1: none).
+        self.last = np.full((len(self.items), length + 1), -1, dtype=np.int16 if len(self.items) < 1 << 15 else np.int32)
+        #: By item: the value of the best filling whose last item it is.
+        self.worth = np.empty(len(self.items))
+        best = np.zeros(length + 1)
+        for i, (at, n, weight) in enumerate(self.items):
+            if i:
+                self.last[i] = self.last[i - 1]
+            gains = best[: length + 1 - weight] + n * value[at]
+            self.worth[i] = gains[-1]
+            self.last[i, weight:][gains > best[weight:]] = i
+            np.maximum(best[weight:], gains, out=best[weight:])
+
+    def filling(self, i: int) -> dict[int, int]:
+        """Copies by place in ``lengths`` of the best configuration whose last item is ``i``."""
+        out: dict[int, int] = {}
+        room = self.length
+        while i >= 0:
+            at, n, weight = self.items[i]
+            out[at] = out.get(at, 0) + n
+            room -= weight
+            i = int(self.last[i - 1, room]) if i else -1
+        return out
+
+
+def priced(counts: dict[int, int], length: int = LENGTH, rounds: int = ROUNDS) -> tuple[Counter, dict[int, int]]:
+    """Configurations with the times that each is used, and the copies of each length that they leave over.
+
+    The covering program asks for as few sequences as can be with each length covered. Its dual weights are
+    multiplied in each round by how far a length's coverage lags behind the tokens' as a whole, and the
+    knapsack prices configurations by them: for each length the best one that ends with it, within the copies
+    left. In the order of their value they are used as often as their scarcest length allows; in the first
+    half of the rounds only those near the best one's value, and at most half as often, so that later weights
+    have a say. One that can't be used, or leaves more than SLACK of a sequence unused, is skipped. SPARE of
+    the copies are left over on purpose."""
+    lengths = np.array(sorted(k for k, n in counts.items() if n > 0), dtype=np.int64)
+    demand = np.array([counts[k] for k in lengths.tolist()], dtype=np.int64)
+    spare = (demand * SPARE).astype(np.int64)
+    left, used = demand - spare, Counter()
+    weight = (lengths / length) ** DEAR  # few configurations hold a long piece: it starts dear
     for r in range(rounds):
-        fits = np.array(sorted(k for k, n in left.items() if n > 0), dtype=np.int64)
-        if not len(fits):
+        on = np.flatnonzero(left)
+        if not len(on):
             break
-        share = np.array([covered[k] / demand[k] for k in fits])
-        value = fits / length * np.exp(-2.0 * (share - share.min()))
-        best = Counter(_knapsack(value, length, fits))
-        times = min(left[k] // n for k, n in best.items())
-        if times == 0:  # only some copies are left: the rest is rounding's
-            best = Counter({k: min(n, left[k]) for k, n in best.items()})
-            if length - sum(k * n for k, n in best.items()) > length // 50:
+        sack = Knapsack(lengths[on], weight[on], left[on], length)
+        placed, least = 0, sack.worth.max() * (1 - max(1, r) / rounds) if r < rounds // 2 else 0
+        for i in np.argsort(-sack.worth, kind="stable").tolist():
+            at = sack.items[i][0]
+            if sack.worth[i] < least:
                 break
-            times = 1
-        take = max(1, min(times, -(-times // 2) if r < rounds // 2 else times))
-        used[tuple(sorted(best.elements(), reverse=True))] += take
-        for k, n in best.items():
-            left[k] -= take * n
-            covered[k] += take * n
-    return [*used.items(), *best_fit({k: n for k, n in left.items() if n}, length).items()]
+            if not left[on[at]]:
+                continue
+            filling = sack.filling(i)
+            places, n = on[list(filling)], np.fromiter(filling.values(), np.int64, len(filling))
+            times = int((left[places] // n).min())
+            if not times or length - int(lengths[places] @ n) > length * SLACK:
+                continue
+            if r < rounds // 2:
+                times = -(-times // 2)
+            left[places] -= times * n
+            used[tuple(sorted((int(k) for k, c in zip(lengths[places], n, strict=True) for _ in range(c)), reverse=True))] += times
+            placed += times
+        if not placed and r >= rounds // 2:
+            break
+        share = 1 - left / demand
+        weight *= np.exp(RATE * ((share * lengths * demand).sum() / (lengths * demand).sum() - share))
+    return used, {int(k): int(n) for k, n in zip(lengths, left + spare, strict=True) if n}
+
+
+def configurations(counts: dict[int, int], length: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, times): sequences that hold every counted piece exactly once: priced ones, then the rest's best fit."""
+    used, left = priced(counts, length, rounds)
+    return [*used.items(), *best_fit(left, length).items()]
 
 
 def best_fit(left: dict[int, int], length: int) -> Counter:

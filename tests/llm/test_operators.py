@@ -234,6 +234,34 @@ def test_configurations_hold_each_piece_once():
     assert sum(t for _, t in found) <= math.ceil(sum(k * n for k, n in counts.items()) / 64) * 1.01 + 1
 
 
+def test_most_pieces_come_from_priced_configurations():
+    rng = random.Random(3)
+    counts = Counter(min(1024, max(3, int(rng.lognormvariate(5, 1.2)))) for _ in range(4000))  # the shortest has few copies
+    used, left = packing.priced(dict(counts), 1024)
+    held = Counter(left)
+    for config, times in used.items():
+        assert sum(config) <= 1024 and times > 0
+        for k in config:
+            held[k] += times
+    assert held == counts
+    assert sum(left.values()) < 0.2 * sum(counts.values())
+    assert sum(t for _, t in packing.configurations(dict(counts), 1024)) <= math.ceil(sum(k * n for k, n in counts.items()) / 1024) * 1.002 + 1
+
+
+def test_the_knapsack_is_optimal_within_its_copies():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        lengths, length = np.sort(rng.choice(np.arange(1, 13), 4, replace=False)), 20
+        value, copies = rng.random(4), rng.integers(1, 5, 4)
+        sack = packing.Knapsack(lengths, value, copies, length)
+        best = max(float(value @ n) for n in np.ndindex(*(copies + 1)) if lengths @ n <= length)
+        assert max(sack.worth) == pytest.approx(best)
+        for i, worth in enumerate(sack.worth):
+            filling = sack.filling(i)
+            assert sum(lengths[at] * n for at, n in filling.items()) <= length and all(n <= copies[at] for at, n in filling.items())
+            assert sum(value[at] * n for at, n in filling.items()) == pytest.approx(worth)
+
+
 def test_encoder_equals_the_tokenizer_on_odd_texts():
     rng = random.Random(1)
     alphabet = "aAbZéÉß'sst rell\n\t.,;:!?#$%&*|<>0129  İ́eΑΣ中🎉\x85 "
