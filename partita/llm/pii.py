@@ -4,8 +4,9 @@ The patterns' spans are the base and always stay. The field labels the tokens th
 data at all (those with a digit or an at-sign; every other token is plain by definition) as email, ip,
 card, phone or plain. Neighbouring candidates share a chain potential; occurrences of the same token
 anywhere in the document, and of similar ones (equal digits or equal local parts), share a skip
-potential, and loopy message passing spreads what one occurrence makes clear to the others. Tokens of a
-personal kind outside base spans are added.
+potential: two directly, more through a hub that each is linked to, so that any two are two steps apart.
+Loopy message passing spreads what one occurrence makes clear to the others. Tokens of a personal kind
+outside base spans are added.
 
 Weights come from pseudo-likelihood on at most SAMPLE documents, whose base spans are the labels.
 
@@ -34,6 +35,9 @@ SURE = 0.5
 #: Most digits that tokens in a row may have as one span.
 DIGITS = {"card": 19, "phone": 15}
 ROUNDS = 8
+#: Rounds of messages at most, and the change below which they have settled.
+MOST_ROUNDS = 64
+SETTLED = 1e-3
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -109,12 +113,14 @@ def token_features(core: str, before: str) -> list[int]:
 
 
 def graph(texts: list[str]) -> dict:
-    """Candidate tokens of all texts with their features, chain edges and skip edges.
+    """Candidate tokens of all texts with their features, chain edges, skip edges and links to hubs.
 
-    Occurrences of one key are linked in turn, so the edges grow with the tokens and not with pairs."""
-    doc, where, rows, chain, skip = [], [], [], [], []
+    A key's two occurrences share a skip edge, unless a chain edge joins them; more are linked to a hub of
+    their own (token, hub), so the edges grow with the tokens and not with pairs."""
+    doc, where, rows, chain, skip, hub, hubs = [], [], [], [], [], [], 0
     for d, text in enumerate(texts):
-        last: dict[str, int] = {}
+        members: dict[str, list[int]] = {}
+        first_edge = len(chain)
         end = None
         for a, b, core, before in candidates(text):
             i = len(doc)
@@ -126,12 +132,17 @@ def graph(texts: list[str]) -> dict:
             digits = re.sub(r"\D", "", core)
             keys = {core.lower(), core.partition("@")[0].lower() if "@" in core else "", digits if len(digits) >= 7 else ""}
             for k in keys - {""}:
-                if k in last and last[k] != i - 1:
-                    skip.append((last[k], i))
-                last[k] = i
+                members.setdefault(k, []).append(i)
             end = b
+        joined_already = set(chain[first_edge:])
+        for own in members.values():
+            if len(own) > 2:
+                hub += [(i, hubs) for i in own]
+                hubs += 1
+            elif len(own) == 2 and tuple(own) not in joined_already:
+                skip.append(tuple(own))
     pairs = lambda e: np.array(e, dtype=np.int64).reshape(-1, 2)
-    return {"doc": np.array(doc, dtype=np.int64), "where": where, "rows": np.array(rows, dtype=np.int64).reshape(len(doc), -1), "chain": pairs(chain), "skip": pairs(skip)}
+    return {"doc": np.array(doc, dtype=np.int64), "where": where, "rows": np.array(rows, dtype=np.int64).reshape(len(doc), -1), "chain": pairs(chain), "skip": pairs(skip), "hub": pairs(hub)}
 
 
 def fit(texts: list[str], steps: int = 150) -> dict | None:
@@ -152,6 +163,11 @@ def fit(texts: list[str], steps: int = 150) -> dict | None:
     near = np.zeros((len(y), K))
     np.add.at(near, g["skip"][:, 0], one[g["skip"][:, 1]])
     np.add.at(near, g["skip"][:, 1], one[g["skip"][:, 0]])
+    if len(g["hub"]):  # a hub hands on the mean label of the other occurrences
+        own, at = g["hub"].T
+        total = np.zeros((int(at.max()) + 1, K))
+        np.add.at(total, at, one[own])
+        np.add.at(near, own, (total[at] - one[own]) / (np.bincount(at)[at] - 1)[:, None])
     rate, n = 0.5, len(y)
     for _ in range(steps):
         score = unary[g["rows"]].sum(axis=1) + near * skip
@@ -172,24 +188,32 @@ def fit(texts: list[str], steps: int = 150) -> dict | None:
 def beliefs(g: dict, model: dict) -> np.ndarray:
     """Marginals by loopy sum-product; all documents' graphs are passed over at once."""
     score = model["unary"][g["rows"]].sum(axis=1)
-    edges = np.concatenate([g["chain"], g["skip"]])
+    tokens = len(score)
+    if len(g["hub"]):
+        score = np.concatenate([score, np.zeros((int(g["hub"][:, 1].max()) + 1, K))])
+    same = np.concatenate([g["skip"], g["hub"] + [0, tokens]])
+    edges = np.concatenate([g["chain"], same])
     if not len(edges):
         p = np.exp(score - score.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)
-    pair = np.concatenate([np.broadcast_to(np.exp(model["chain"]), (len(g["chain"]), K, K)), np.broadcast_to(np.exp(np.diag(model["skip"])), (len(g["skip"]), K, K))])
+    pair = np.concatenate([np.broadcast_to(np.exp(model["chain"]), (len(g["chain"]), K, K)), np.broadcast_to(np.exp(np.diag(model["skip"])), (len(same), K, K))])
     source, to = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     message = np.zeros((len(source), K))
-    for _ in range(ROUNDS):
+    for r in range(MOST_ROUNDS):
         total = score.copy()
         np.add.at(total, to, message)
         out = total[source] - message[back]
         out = np.exp(out - out.max(axis=1, keepdims=True))
         new = np.log(np.einsum("ek,ekl->el", out, pair) + 1e-300)
-        message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        new = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
+        change, message = np.abs(new - message).max(), new
+        if r + 1 >= ROUNDS and change < SETTLED:
+            break
     total = score.copy()
     np.add.at(total, to, message)
+    total = total[:tokens]
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 

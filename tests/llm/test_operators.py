@@ -200,6 +200,18 @@ def test_messages_agree_with_enumeration():
     assert np.allclose(got, total / total.sum(axis=1, keepdims=True), atol=1e-3)  # the skip edges form a forest
 
 
+@pytest.mark.parametrize("times", [2, 20])
+def test_what_one_occurrence_makes_clear_reaches_all_others(times):
+    g = pii.graph([" and some plain words then ".join(["card: 4000123"] + ["saw 4000123"] * (times - 1))])
+    clear = [f for f in g["rows"][0] if f not in g["rows"][1]]
+    model = {"unary": np.zeros((pii.WIDTH, pii.K)), "chain": np.zeros((pii.K, pii.K)), "skip": np.full(pii.K, 3.0)}
+    model["unary"][clear, 3] = 8.0
+    p = pii.beliefs(g, model)
+    assert len(p) == times and len(g["chain"]) == 0
+    assert (p[:, 3] > 0.5).all()
+    assert pii.fit(["call 4000123 and plain words then 4000123 " * 2])["skip"].shape == (pii.K,)
+
+
 def test_packing_is_a_round_trip_close_to_the_bound(docs, none):
     got = packing.pack(docs, tokenizer_path(), 256).collect()
     tokenizer = packing.Encoder(tokenizer_path()).tokenizer
