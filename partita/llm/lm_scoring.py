@@ -8,7 +8,7 @@ P(word | before) = P(class | class before) * P(word | class), both smoothed.
 
 The number of units has a proven bound (1 / EXCHANGED + SUFFIXES at any corpus size), so their counts by
 class may meet on the driver. Word counts cover every training word and stay in Spark: words with at
-least FREQUENT of the tokens (1 / FREQUENT at most) travel to the documents; the documents' other words
+least FREQUENT of the tokens (1 / FREQUENT at most) and the end token travel to the documents; the documents' other words
 are joined with their counts, and as none of them is frequent, no key is hot.
 
 Words are known by 64-bit hashes. Defined cases: a null or empty text is the end token alone; repeated
@@ -201,7 +201,7 @@ def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, rounds: int
     The model learns from the rows where ``held_out`` is false; scores are log10 probabilities."""
     counts = _word_counts(docs.where(~held_out))
     tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [tuple(r) for r in counts.where(F.col("c") >= max(1.0, FREQUENT * tokens)).select("h", "suffix", "c").collect()]
+    frequent = [tuple(r) for r in counts.where((F.col("c") >= max(1.0, FREQUENT * tokens)) | (F.col("h") == END)).select("h", "suffix", "c").collect()]
     vocabulary = Vocabulary(frequent, tokens)
     encoded = _encoded(docs, held_out, vocabulary)
     train = encoded.where(~F.col("held_out"))

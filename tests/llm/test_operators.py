@@ -87,6 +87,14 @@ def test_language_model_base_is_exact_and_scores_are_proper(docs, none):
     assert lm_scoring.score(none, held).count() == 0
 
 
+def test_the_end_counts_after_one_very_long_text(spark):
+    frame = spark.createDataFrame([(0, "a b " * 150_000), (1, "a c")], "doc_id long, text string")
+    got = lm_scoring.score(frame, F.col("doc_id") == 1, classes=2, rounds=1).where("held_out").first()
+    assert (got["train_tokens"], got["n_tokens"], got["n_known"]) == (300_001, 3, 2)
+    logs = math.log10(150_000.5) + math.log10(0.5) + math.log10(1.5)
+    assert got["base_score"] == pytest.approx(logs - 3 * math.log10(300_001 + 0.5 * 4))
+
+
 def test_exchange_finds_classes_that_alternate(spark):
     rng = random.Random(3)
     text = lambda: " ".join(f"{'ab'[i % 2]}{rng.randrange(6)}" for i in range(400))
