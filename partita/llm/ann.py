@@ -9,8 +9,8 @@ probe is compared exactly, in double precision, inside the bucket's task, and on
 leave it.
 
 Equal vectors are one entry with the smallest of their ids (one more than are asked for, which is all
-that can ever be returned). Buckets with more than BLOCK entries are dealt over several tasks and their
-probes go to each, so nothing is capped.
+that can ever be returned). Buckets with more than BLOCK entries or probes are dealt over several tasks,
+each block of probes meeting each block of entries, so nothing is capped.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do those whose length is not the commonest; null ids take no part; rows that repeat an id and its vector
@@ -39,6 +39,8 @@ BLOCK = 4096
 NEAREST = 20
 #: Rows that a task keeps before it leaves out those that can't be among a query's nearest.
 HELD = 1 << 20
+#: Queries of a group that are multiplied at once.
+SLICE = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -138,21 +140,22 @@ def _compared(members: DataFrame, dim: int, k: int) -> DataFrame:
                 n = int(asks[a:b].sum())
                 if n == 0 or n == b - a:
                     continue
-                entry, query = v[a : b - n], v[b - n : b]
-                score = query @ entry.T
-                top = min(k, b - a - n)
-                best = np.argpartition(-score, top - 1, axis=1)[:, :top]
-                q = np.repeat(np.arange(n), top)
-                e = best.ravel()
-                exact = (query[q] * entry[e]).sum(axis=1)
-                parts.append((ids[b - n : b][q], ids[a : b - n][e], exact))
-                held += len(q)
-                if held > HELD:
-                    parts = [best_of(parts)]
-                    held = len(parts[0][0])
-                    if 2 * held > HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=["q", "id", "score"])
-                        parts, held = [], 0
+                entry, top = v[a : b - n], min(k, b - a - n)
+                for s in range(b - n, b, SLICE):
+                    query = v[s : min(s + SLICE, b)]
+                    score = query @ entry.T
+                    best = np.argpartition(-score, top - 1, axis=1)[:, :top]
+                    q = np.repeat(np.arange(len(query)), top)
+                    e = best.ravel()
+                    exact = (query[q] * entry[e]).sum(axis=1)
+                    parts.append((ids[s + q], ids[a : b - n][e], exact))
+                    held += len(q)
+                    if held > HELD:
+                        parts = [best_of(parts)]
+                        held = len(parts[0][0])
+                        if 2 * held > HELD:
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in parts[0]], names=["q", "id", "score"])
+                            parts, held = [], 0
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(parts)], names=["q", "id", "score"])
 
@@ -243,11 +246,14 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEAREST, tables: int = TA
     index = _codes(known, hashing, False, 1)
     queries = _codes(asking.select("id", "v").dropDuplicates(["id"]), hashing, True, probes)
     index = written(index, "index")
-    hot = index.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    one = F.coalesce("blocks", F.lit(1))
-    index = index.join(hot, "key", "left").select(F.xxhash64("key", F.pmod(F.xxhash64("id"), one).cast("int")).alias("path"), F.lit(0).alias("asks"), "id", "v")
-    queries = queries.join(hot, "key", "left").select("key", "id", "v", F.explode(F.sequence(F.lit(0), one - 1)).alias("block"))
-    queries = queries.select(F.xxhash64("key", "block").alias("path"), F.lit(1).alias("asks"), "id", "v")
+    blocks = lambda rows, name: rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias(name))
+    hot = blocks(index, "entry_blocks").join(blocks(queries, "query_blocks"), "key", "full")
+    own = lambda name: F.pmod(F.xxhash64("id"), F.coalesce(name, F.lit(1))).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.coalesce(name, F.lit(1)) - 1))
+    index = index.join(hot, "key", "left").select("key", "id", "v", own("entry_blocks").alias("e"), every("query_blocks").alias("b"))
+    queries = queries.join(hot, "key", "left").select("key", "id", "v", every("entry_blocks").alias("e"), own("query_blocks").alias("b"))
+    place = F.xxhash64("key", "e", "b").alias("path")
+    index, queries = index.select(place, F.lit(0).alias("asks"), "id", "v"), queries.select(place, F.lit(1).alias("asks"), "id", "v")
     found = _compared(index.unionByName(queries), dim, k + 1).distinct()
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     found = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)

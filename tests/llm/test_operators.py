@@ -405,6 +405,23 @@ def test_nearest_neighbours(spark):
     assert [r["rank"] for r in few] == [1, 2]
 
 
+def test_hot_buckets_are_dealt_by_entries_and_by_queries(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = np.concatenate([1.0 + rng.normal(size=(400, 8)) * 1e-3, rng.normal(size=(40, 8))])  # near-equal, but distinct
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(ann, "BLOCK", 32)
+    monkeypatch.setattr(ann, "SLICE", 10)
+    seen, compared = [], ann._compared
+    monkeypatch.setattr(ann, "_compared", lambda members, dim, k: (seen.append(members), compared(members, dim, k))[1])
+    got = {}
+    for r in ann.nearest(frame, F.col("vec_id") < 200, k=5, tables=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert seen[0].groupBy("path", "asks").count().agg(F.max("count")).first()[0] <= 3 * 32
+    want = lambda q: [i for i in np.argsort(-(v @ v[q]), kind="stable").tolist() if i != q][:5]
+    hits = sum(len(set(want(q)) & {i for _, i in own}) for q, own in got.items())
+    assert set(got) == set(range(200)) and hits >= 0.9 * 5 * 200
+
+
 def brute_components(rows):
     sets = {}
     for r in rows:
