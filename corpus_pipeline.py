@@ -50,7 +50,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages fit and apply models, which SQL can't express; tests hold them against brute force.
+#: The stages fit and apply models, which SQL can't express. The operators have tests; the chain itself has none.
 ORACLE_SQL = None
 
 
