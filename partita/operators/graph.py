@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import written
+from .tables import discard, written
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -28,10 +28,13 @@ def components(links: DataFrame) -> DataFrame:
         least = _least(large)
         small = large.join(least, "u")
         small = small.where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).unionByName(least.select("u", F.col("least").alias("v")))
-        edges = written(small.where("u <> v").distinct(), "cc-small")
+        before, edges = edges, written(small.where("u <> v").distinct(), "cc-small")
+        discard(before, large)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
             break
         state = now
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return written(ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    found = written(ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()), "components")
+    discard(edges)
+    return found
