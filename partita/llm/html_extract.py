@@ -12,7 +12,8 @@ kinds put in (sidebars, notices, forms, comments), whose words come from the pag
 
 Defined cases: null or empty html gives an empty text; unclosed tags, comments and scripts end with the
 page; repeated rows are treated one by one; an empty table gives an empty result; further columns are
-ignored; pages of any length are read whole and nothing of a content block is dropped.
+ignored; pages of any length are read whole, in time that grows with their length however broken or deep
+they are, and nothing of a content block is dropped.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -27,10 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal
 from .words import chunks, encode, hashes
 
 SAMPLE = 300
 PATH_DIM, WORD_DIM, HIDDEN = 192, 16, 20
+DIM = PATH_DIM + WORD_DIM + 8
+#: Blocks whose vectors exist at once when pages are labelled.
+ROWS = 4096
 EPOCHS = 14
 
 # HTML's element kinds.
@@ -53,21 +59,126 @@ REST = frozenset(
     " newsletter breadcrumb breadcrumbs pagination navbar popup modal widget navigation contentinfo complementary search subscribe sponsor sponsored toolbar button select".split()
 )
 
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+MARK = re.compile(r"[>\"']")
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
+class Path:
+    """An element within the one above it. Blocks of a page share their elements, so that paths take no more
+    room than the page, however deep it is."""
+
+    __slots__ = ("above", "element", "sum")
+
+    def __init__(self, above: Path | None, element: tuple[str, ...]):
+        self.above, self.element, self.sum = above, element, None
+
+    def elements(self) -> list[tuple[str, ...]]:
+        """From the outermost one."""
+        out, at = [], self
+        while at is not None:
+            out.append(at.element)
+            at = at.above
+        return out[::-1]
+
+
+def path_of(elements: Iterable[tuple[str, ...]], above: Path | None = None) -> Path | None:
+    for element in elements:
+        above = Path(above, element)
+    return above
+
+
 class Block(NamedTuple):
-    path: tuple[tuple[str, ...], ...]  # from the outermost element: tag and the words of its names
+    path: Path | None  # the innermost element; an element is its tag and the words of its names
     text: str
     linked: int  # code points of the text inside links
 
 
+class Tags:
+    """The tags of a page, found in one scan from left to right.
+
+    A tag ends at the first > outside quotes. Where quotes don't close, it ends at its first >, and so do all
+    tags up to where that scan failed; behind the last > of the page there are no tags."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.loose_to = page, page.rfind(">"), -1
+
+    def at(self, lt: int) -> tuple[int, bool, str, str] | None:
+        """End, whether it closes, name and the rest of the tag that begins at ``lt``."""
+        m = NAME.match(self.page, lt) if lt < self.last else None
+        if m is None or m.end() > self.last:
+            return None
+        end = self._end(lt, m.end())
+        return end + 1, bool(m[1]), m[2].lower(), self.page[m.end() : end]
+
+    def _end(self, lt: int, at: int) -> int:
+        first = at
+        while lt >= self.loose_to:
+            mark = MARK.search(self.page, at)
+            if mark is not None and mark[0] == ">":
+                return mark.start()
+            close = -1 if mark is None else self.page.find(mark[0], mark.end())
+            if close < 0:
+                self.loose_to = len(self.page) if mark is None else mark.start()
+                break
+            at = close + 1
+        return self.page.find(">", first)
+
+
+class Open:
+    """The open elements; where the innermost one of each kind stands is kept, so nothing is searched for."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.paths: list[Path | None] = []  # the innermost block at or above each element
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def path(self) -> Path | None:
+        return self.paths[-1] if self.paths else None
+
+    def innermost(self, tags: Iterable[str]) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
+    def push(self, tag: str, names: list[str]) -> None:
+        self.where.setdefault(tag, []).append(len(self.tags))
+        path = self.path
+        if tag in BLOCK:
+            self.blocks.append(len(self.tags))
+            path = Path(path, (tag, *names))
+        self.tags.append(tag)
+        self.paths.append(path)
+
+    def cut(self, at: int) -> None:
+        """Closes the elements from place ``at`` on."""
+        while len(self.tags) > at:
+            tag = self.tags.pop()
+            self.paths.pop()
+            self.where[tag].pop()
+            if tag in BLOCK:
+                self.blocks.pop()
+
+    def close(self, tag: str) -> None:
+        """The innermost element of this kind ends; one that is no block only within its block."""
+        at = self.innermost((tag,))
+        if at >= 0 and (tag in BLOCK or not self.blocks or at > self.blocks[-1]):
+            self.cut(at)
+
+    def make_room(self, tag: str) -> None:
+        """A block ends an open paragraph; list items, cells and the like end their sibling."""
+        if tag in CLOSES:
+            at = self.innermost(("p", *KIN.get(tag, (tag,))))
+            if at > self.innermost(CLOSES[tag]):
+                self.cut(at)
+        elif self.blocks and self.tags[self.blocks[-1]] == "p":
+            self.cut(self.blocks[-1])
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks with text of a page, in order, with character references decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, ...]] = []
+    tags, stack = Tags(page), Open()
     pieces: list[str] = []
     links = linked = 0
 
@@ -76,7 +187,7 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(tuple(x for x in stack if x[0] in BLOCK), text, min(linked, len(text))))
+                out.append(Block(stack.path, text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
@@ -95,8 +206,8 @@ def blocks(page: str) -> list[Block]:
             break
         if lt > at:
             words(page[at:lt])
-        m = TAG.match(page, lt) or LOOSE_TAG.match(page, lt)
-        if m is None:
+        found = tags.at(lt)
+        if found is None:
             if page.startswith("<!--", lt):
                 end = page.find("-->", lt + 4)
                 at = size if end < 0 else end + 3
@@ -107,19 +218,13 @@ def blocks(page: str) -> list[Block]:
                 words("<")
                 at = lt + 1
             continue
-        at = m.end()
-        closing, tag, rest = m[1], m[2].lower(), m[3]
+        at, closing, tag, rest = found
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and tag not in BLOCK:
-                    break
+            stack.close(tag)
             continue
         if tag == "br":
             pieces.append(" ")
@@ -133,66 +238,80 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            # Blocks end an open paragraph; list items, cells and the like end their sibling.
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p" or (tag in CLOSES and stack[i][0] in KIN.get(tag, (tag,))):
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK and (tag not in CLOSES or stack[i][0] in CLOSES[tag]):
-                    break
+            stack.make_room(tag)
         if tag in VOID or rest.endswith("/"):
             continue
         if tag == "a":
             links += 1
-        names = [w for x in NAMES.findall(rest) for w in "".join(x).lower().split()] if "=" in rest else []
-        stack.append((tag, *names))
+        stack.push(tag, [w for x in NAMES.findall(rest) for w in "".join(x).lower().split()] if "=" in rest else [])
     flush()
     return out
 
 
-def path_words(path: tuple[tuple[str, ...], ...]) -> list[list[str]]:
-    """For each element its tag, its names and their parts."""
-    return [[p for name in element for p in (name, *(re.split(r"[^a-z0-9]+", name) if not name.isalnum() else ()))] for element in path]
+def name_parts(element: tuple[str, ...]) -> list[str]:
+    """An element's tag, its names and their parts."""
+    return [p for name in element for p in (name, *(re.split(r"[^a-z0-9]+", name) if not name.isalnum() else ()))]
 
 
-def taught(path: tuple[tuple[str, ...], ...]) -> bool:
+def taught(path: Path | None) -> bool:
     """Whether a block on this path is content, by telling names: the innermost one decides."""
-    inside = False
-    for names in path_words(path):
+    while path is not None:
+        names = name_parts(path.element)
         if not REST.isdisjoint(names):
-            inside = False
-        elif not CONTENT.isdisjoint(names):
-            inside = True
-    return inside
+            return False
+        if not CONTENT.isdisjoint(names):
+            return True
+        path = path.above
+    return False
 
 
 class PathVectors:
-    """Signed hashing of path words; the last three elements count twice. Paths repeat, so they are remembered."""
+    """Signed hashing of path words; the last three elements count twice. Elements repeat, so they are remembered."""
 
     def __init__(self, keep: int = 20_000):
         self.keep, self.known = keep, {}
 
-    def of(self, path: tuple) -> np.ndarray:
-        found = self.known.get(path)
+    def _own(self, element: tuple[str, ...]) -> np.ndarray:
+        found = self.known.get(element)
         if found is None:
-            found = np.zeros(PATH_DIM)
-            named = path_words(path)
-            for i, names in enumerate(named):
-                for w in dict.fromkeys(names):
-                    h = zlib.crc32(w.encode())
-                    for part in (h, h * 2654435761 & 0xFFFFFFFF):
-                        found[part % PATH_DIM] += (1 if part >> 16 & 1 else -1) * (1.0 if i >= len(named) - 3 else 0.5)
+            found = np.zeros(PATH_DIM, np.int16)
+            for w in dict.fromkeys(name_parts(element)):
+                h = zlib.crc32(w.encode())
+                for part in (h, h * 2654435761 & 0xFFFFFFFF):
+                    found[part % PATH_DIM] += 1 if part >> 16 & 1 else -1
             if len(self.known) >= self.keep:
                 self.known.clear()
-            self.known[path] = found
+            self.known[element] = found
         return found
 
+    def of(self, path: Path | None) -> np.ndarray:
+        if path is None:
+            return np.zeros(PATH_DIM)
+        above, at = [], path
+        while at is not None and at.sum is None:
+            above.append(at)
+            at = at.above
+        total = at.sum if at is not None else np.zeros(PATH_DIM, np.int16)
+        for at in reversed(above):
+            at.sum = total = total + self._own(at.element)
+        last, at = np.zeros(PATH_DIM, np.int16), path
+        for _ in range(3):
+            if at is not None:
+                last += self._own(at.element)
+                at = at.above
+        return 0.5 * total + 0.5 * last
+
 
 def vectors(pages: list[list[Block]], paths: PathVectors) -> np.ndarray:
     """One row for each block of all pages."""
-    flat = [b for page in pages for b in page]
+    place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages]) if pages else np.empty(0)
+    total = np.repeat([np.log1p(len(p)) for p in pages], [len(p) for p in pages])
+    return _rows([b for page in pages for b in page], place, total, paths)
+
+
+def _rows(flat: list[Block], place: np.ndarray, total: np.ndarray, paths: PathVectors) -> np.ndarray:
     if not flat:
-        return np.zeros((0, PATH_DIM + WORD_DIM + 8))
+        return np.zeros((0, DIM))
     path = np.stack([paths.of(b.path) for b in flat])
     hashed, n = np.zeros((len(flat), WORD_DIM)), np.zeros(len(flat))
     for part in encode(pa.array([b.text for b in flat], pa.string()), size=2 << 20):
@@ -205,8 +324,6 @@ def vectors(pages: list[list[Block]], paths: PathVectors) -> np.ndarray:
         n[part.start : part.start + rows] = np.diff(part.offsets)
     size = np.array([len(b.text) for b in flat], float)
     linked = np.array([b.linked for b in flat], float)
-    place = np.concatenate([np.arange(len(p)) / max(1, len(p) - 1) for p in pages])
-    total = np.repeat([np.log1p(len(p)) for p in pages], [len(p) for p in pages])
     ended = np.array([b.text[-1] in ".!?:;\"'" for b in flat], float)
     more = np.stack([np.log1p(size) / 4, np.log1p(n) / 3, linked / np.maximum(size, 1), ended, place, total / 4, (n < 4) * 1.0, np.ones(len(flat))], axis=1)
     return np.hstack([path, 0.3 * hashed / np.sqrt(np.maximum(n, 1))[:, None], more])
@@ -226,14 +343,19 @@ class Labeller:
         self.weights = [w for _ in range(2) for w in (make(dim, 4 * hidden), make(hidden, 4 * hidden), np.repeat([0.0, 1.0, 0.0, 0.0], hidden))]
         self.weights += [make(2 * hidden, 1)[:, 0], np.zeros(1)]
 
-    def _run(self, x: np.ndarray, sizes: np.ndarray, back: bool) -> tuple:
-        """States of one direction. A step's rows are one block of each page that is long enough, longest first."""
-        wx, wh, b = self.weights[3:6] if back else self.weights[:3]
+    def project(self, x: np.ndarray) -> list[np.ndarray]:
+        """What the vectors put into the gates of each direction."""
+        return [x @ self.weights[3 * i] + self.weights[3 * i + 2] for i in (0, 1)]
+
+    def _run(self, inputs: np.ndarray, sizes: np.ndarray, back: bool, keep: bool = False) -> tuple:
+        """States of one direction, and what gradients need if ``keep``. A step's rows are one block of each
+        page that is long enough, longest first."""
+        wh, k = self.weights[4 if back else 1], self.hidden
         order = np.argsort(-sizes, kind="stable")
         start = (np.cumsum(sizes) - sizes)[order]
         size = sizes[order]
-        inputs, k = x @ wx + b, self.hidden
-        h, c, gates = np.zeros((len(x), k)), np.zeros((len(x), k)), np.zeros((len(x), 4 * k))
+        h, now = np.zeros((len(inputs), k)), np.zeros((len(sizes), k))
+        c, gates = (np.zeros((len(inputs), k)), np.zeros((len(inputs), 4 * k))) if keep else (None, None)
         steps, before = [], None
         for t in range(int(size[0]) if len(size) else 0):
             n = int(np.searchsorted(-size, -t, "left"))
@@ -241,22 +363,27 @@ class Labeller:
             z = inputs[at]
             if before is not None:
                 z = z + h[before[:n]] @ wh
-            g = np.empty_like(z)
+            g = np.empty_like(z, dtype=float)
             g[:, : 3 * k], g[:, 3 * k :] = _sigmoid(z[:, : 3 * k]), np.tanh(z[:, 3 * k :])
-            c[at] = g[:, :k] * g[:, 3 * k :] + (g[:, k : 2 * k] * c[before[:n]] if before is not None else 0)
-            h[at] = g[:, 2 * k : 3 * k] * np.tanh(c[at])
-            gates[at] = g
-            steps.append((at, before[:n] if before is not None else None))
+            now = g[:, :k] * g[:, 3 * k :] + g[:, k : 2 * k] * now[:n]
+            h[at] = g[:, 2 * k : 3 * k] * np.tanh(now)
+            if keep:
+                c[at], gates[at] = now, g
+                steps.append((at, before[:n] if before is not None else None))
             before = at
         return h, c, gates, steps
 
-    def predict(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        both = np.hstack([self._run(x, sizes, False)[0], self._run(x, sizes, True)[0]])
+    def label(self, inputs: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+        """The chance of being content for each block, from projected vectors."""
+        both = np.hstack([self._run(inputs[0], sizes, False)[0], self._run(inputs[1], sizes, True)[0]])
         return _sigmoid(both @ self.weights[6] + self.weights[7])
 
+    def predict(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        return self.label(self.project(x), sizes)
+
     def gradients(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean log loss, by back-propagation through both directions."""
-        runs = [self._run(x, sizes, False), self._run(x, sizes, True)]
+        runs = [self._run(inputs, sizes, bool(i), True) for i, inputs in enumerate(self.project(x))]
         both, k = np.hstack([r[0] for r in runs]), self.hidden
         miss = (_sigmoid(both @ self.weights[6] + self.weights[7]) - y) / len(y)
         out: list[np.ndarray] = []
@@ -281,31 +408,48 @@ class Labeller:
         return [*out, both.T @ miss, np.array([miss.sum()])]
 
 
+def _rewrapped(labelled: list[tuple[Block, bool]], wrapper: tuple[str, ...]) -> list[tuple[Block, bool]]:
+    """The blocks with ``wrapper`` in the place of article and main elements; shared elements stay shared."""
+    new: dict[int, Path] = {}
+
+    def moved(path: Path | None) -> Path | None:
+        above, at = [], path
+        while at is not None and id(at) not in new:
+            above.append(at)
+            at = at.above
+        now = new[id(at)] if at is not None else None
+        for at in reversed(above):
+            now = new[id(at)] = Path(now, wrapper if at.element[0] in ("article", "main") else at.element)
+        return now
+
+    return [(b._replace(path=moved(b.path)), y) for b, y in labelled]
+
+
 def _variants(page: list[Block], pool: list[str], rng: np.random.Generator) -> list[tuple[Block, bool]]:
     """A page with its labels, its telling names changed or taken away, and blocks of other kinds put in."""
     labelled = [(b, taught(b.path)) for b in page]
     if not any(y for _, y in labelled):  # no content element: long blocks with few links
-        labelled = [(b, len(b.text) > 80 and b.linked * 3 < len(b.text) and REST.isdisjoint(w for n in path_words(b.path) for w in n)) for b in page]
+        free = lambda p: p is None or REST.isdisjoint(w for e in p.elements() for w in name_parts(e))
+        labelled = [(b, len(b.text) > 80 and b.linked * 3 < len(b.text) and free(b.path)) for b in page]
     mode = rng.integers(4)
     if mode:
         names = sorted(CONTENT)
         wrapper = (("main",), ("div", names[rng.integers(len(names))]), ("section", names[rng.integers(len(names))]))[rng.integers(3)] if mode < 3 else ("div",)
-        swap = lambda e: wrapper if e[0] in ("article", "main") else e
-        labelled = [(b._replace(path=tuple(swap(e) for e in b.path)), y) for b, y in labelled]
-    rest = sorted(REST)
+        labelled = _rewrapped(labelled, wrapper)
+    rest, body = sorted(REST), path_of((("html",), ("body",)))
     for _ in range(int(rng.integers(0, 7))):
         name = rest[rng.integers(len(rest))]
         outer = (name,) if name in BLOCK else ("div", (name, f"{name}-box", f"site-{name}")[rng.integers(3)])
         inner = ((("p",),), (("ul",), ("li",)), (("div", f"{name}-item"), ("p",)), (("label",),), ())[rng.integers(5)]
         at = int(rng.integers(len(labelled) + 1))
-        near = labelled[min(at, len(labelled) - 1)][0].path if labelled and rng.random() < 0.5 else ()
-        base = near[:-1] if near else (("html",), ("body",))
+        near = labelled[min(at, len(labelled) - 1)][0].path if labelled and rng.random() < 0.5 else None
+        path = path_of((outer, *inner), near.above if near is not None else body)
         own = []
         for _ in range(int(rng.integers(1, 6))):
             text = pool[rng.integers(len(pool))]
             if rng.random() < 0.6:
                 text = " ".join(text.split()[: int(rng.integers(1, 12))])
-            own.append((Block((*base, outer, *inner), text, len(text) if rng.random() < 0.3 else 0), False))
+            own.append((Block(path, text, len(text) if rng.random() < 0.3 else 0), False))
         labelled[at:at] = own
     return labelled
 
@@ -315,8 +459,8 @@ def fit(pages: list[str], epochs: int = EPOCHS, seed: int = 4) -> Labeller | Non
     if not parsed:
         return None
     rng, paths = np.random.default_rng(seed), PathVectors()
-    pool = [b.text[:600] for p in parsed for b in p]
-    model = Labeller(PATH_DIM + WORD_DIM + 8)
+    pool = [b.text for p in parsed for b in p]
+    model = Labeller(DIM)
     state = [(np.zeros_like(w), np.zeros_like(w)) for w in model.weights]
     step = 0
     for _ in range(epochs):
@@ -348,7 +492,12 @@ def texts(pages: list[str], model: Labeller | None, paths: PathVectors) -> list[
         return ["" for _ in parsed]
     sizes = np.array([len(p) for p in parsed], dtype=np.int64)
     some = sizes > 0
-    content = model.predict(vectors(parsed, paths), sizes[some]) >= 0.5
+    flat = [b for p in parsed for b in p]
+    place = np.concatenate([np.arange(n) / max(1, n - 1) for n in sizes.tolist()])
+    total = np.repeat(np.log1p(sizes), sizes)
+    parts = [model.project(_rows(flat[a : a + ROWS], place[a : a + ROWS], total[a : a + ROWS], paths)) for a in range(0, len(flat), ROWS)]
+    inputs = [np.concatenate(x).astype(np.float32) for x in zip(*parts, strict=True)] if parts else [np.empty((0, 4 * model.hidden))] * 2
+    content = model.label(inputs, sizes[some]) >= 0.5
     out, at = [], 0
     for p in parsed:
         out.append("\n".join(b.text for b, y in zip(p, content[at : at + len(p)], strict=True) if y))
@@ -369,4 +518,4 @@ def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(frugal(run), "page_id long, url string, text string, n_chars long")

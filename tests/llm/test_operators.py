@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -379,6 +380,34 @@ def test_blocks_decode_and_join():
     assert [b.text for b in got] == ["ab <c> d", "e f", "gh", "i", "j", "k"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 350_000,
+        "<div>x" * 100_000,
+        "<div>" * 100_000 + "</section>" * 50_000,
+        "<b>x" * 100_000 + "</i>" * 100_000,
+        "<ol>" + "<div>" * 60_000 + "<li>x</li>" * 60_000,
+        '<a ">" ' * 150_000 + "'",
+        "<!--x" * 100_000,
+        "<p class=' " * 100_000,
+        "<td>x" * 50_000 + "<tr>y" * 50_000,
+    ],
+)
+def test_broken_and_deep_pages_are_read_in_time(page):
+    began = time.perf_counter()
+    found = html_extract.blocks(page)
+    model = html_extract.Labeller(html_extract.DIM)
+    html_extract.texts([page], model, html_extract.PathVectors())
+    assert time.perf_counter() - began < 30 and len(found) <= len(page)
+
+
+def test_tags_end_at_their_quotes_if_these_close():
+    got = [b.text for b in html_extract.blocks("<p title='a > b'>one</p><p title=\"x>two</p><p>three</p> 1 < 2")]
+    assert got == ["one", "two", "three", "1 < 2"]
+    assert [b.text for b in html_extract.blocks("<div>a<p>b<ul><li>c<p>d<li>e</ul><table><tr><td>f<td>g<tr><th>h</table>")] == list("abcdefgh")
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1500, 16))
