@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 from .near_dedup import _groups as whole_groups
 
 TABLES = 16
@@ -112,7 +112,7 @@ def _codes(entries: DataFrame, hashing: Hashing, query: bool, probes: int) -> Da
                     at_row = pa.array(row)
                     yield pa.RecordBatch.from_arrays([pa.array(keys), part.column("id").take(at_row), part.column("v").take(at_row)], names=["key", "id", "v"])
 
-    return entries.select("id", "v").mapInArrow(run, "key long, id long, v binary")
+    return entries.select("id", "v").mapInArrow(frugal(run), "key long, id long, v binary")
 
 
 def _compared(members: DataFrame, dim: int, k: int) -> DataFrame:
@@ -159,7 +159,7 @@ def _compared(members: DataFrame, dim: int, k: int) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in best_of(parts)], names=["q", "id", "score"])
 
-    return members.select("path", "asks", "id", "v").repartition("path").sortWithinPartitions("path", "asks", "id").mapInArrow(run, "q long, id long, score double")
+    return members.select("path", "asks", "id", "v").repartition("path").sortWithinPartitions("path", "asks", "id").mapInArrow(frugal(run), "q long, id long, score double")
 
 
 def entries(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
@@ -187,7 +187,7 @@ def entries(vectors: DataFrame, keep: int, vec_id: str = "vec_id", embedding: st
             yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.list_(pa.int64()))], names=["v", "ids"])
 
     first = lambda c: F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list(c)))), 1, keep)
-    merged = rows.where(F.size("e") == dim).mapInArrow(thin, "v binary, ids array<long>")
+    merged = rows.where(F.size("e") == dim).mapInArrow(frugal(thin), "v binary, ids array<long>")
     merged = merged.groupBy("v", F.pmod(F.xxhash64("ids"), F.lit(64)).alias("salt")).agg(first("ids").alias("ids"))
     merged = merged.groupBy("v").agg(first("ids").alias("ids"))
     return written(merged.select(F.col("ids")[0].alias("id"), "ids", "v"), "entries"), dim
@@ -213,7 +213,7 @@ def _probes_needed(known: DataFrame, asking: DataFrame, hashing: Hashing, k: int
             )
 
     best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    found = known.select("id", "v").mapInArrow(run, "q long, id long, score double").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    found = known.select("id", "v").mapInArrow(frugal(run), "q long, id long, score double").withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
     found = known.select("id", "v").join(F.broadcast(found.select("q", "id")), "id").collect()  # at most sample * k rows
     near = hashing.lift(np.frombuffer(b"".join(bytes(r["v"]) for r in found), np.float64).reshape(-1, hashing.dim), False)
     ask, q = hashing.lift(query, True), np.array([r["q"] for r in found])
@@ -236,7 +236,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = NEAREST, tables: int = TA
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.linalg.norm(_vectors(batch.column(0), dim), axis=1))], names=["norm"])
 
-    longest, rows = known.select("v").mapInArrow(norms, "norm double").agg(F.max("norm"), F.count("*")).first()
+    longest, rows = known.select("v").mapInArrow(frugal(norms), "norm double").agg(F.max("norm"), F.count("*")).first()
     hashing = Hashing(dim, rows, longest or 1.0, tables)
     asking = vectors.where(asks).select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("e")).where("query_id is not null and e is not null").distinct()
     # A query's entry is found by its vector, as its id may not be among the entry's smallest.
@@ -273,4 +273,4 @@ def _packed(rows: DataFrame, dim: int) -> DataFrame:
             v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim) + 0.0
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in v], pa.binary())], names=["query_id", "v"])
 
-    return rows.mapInArrow(run, "query_id long, v binary")
+    return rows.mapInArrow(frugal(run), "query_id long, v binary")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import frugal, written
 from .words import encode, hashes
 
 CLASSES = 64
@@ -64,7 +64,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                     names=["h", "suffix", "c"],
                 )
 
-    counted = docs.select("text").mapInArrow(run, "h long, suffix int, c long")
+    counted = docs.select("text").mapInArrow(frugal(run), "h long, suffix int, c long")
     return written(counted.groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "word-counts")
 
 
@@ -120,7 +120,7 @@ def _encoded(docs: DataFrame, held_out: Column, vocabulary: Vocabulary) -> DataF
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    return written(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, units binary, log_sum double, n_frequent long, other array<long>"), "encoded")
+    return written(rows.mapInArrow(frugal(run), "rid long, doc_id long, held_out boolean, units binary, log_sum double, n_frequent long, other array<long>"), "encoded")
 
 
 def _neighbours(train: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
@@ -149,7 +149,7 @@ def _neighbours(train: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
         return pa.table({"b": table.column("b")[:1], "n": pa.array([n.tobytes()], pa.binary())})
 
     out = np.zeros((units, 2 * classes), np.int64)
-    for r in train.select("units").mapInArrow(run, "b long, n binary").groupBy("b").applyInArrow(summed, "b long, n binary").collect():
+    for r in train.select("units").mapInArrow(frugal(run), "b long, n binary").groupBy("b").applyInArrow(summed, "b long, n binary").collect():
         n = np.frombuffer(bytes(r["n"]), np.int64).reshape(-1, 2 * classes)
         out[r["b"] : r["b"] + len(n)] = n
     return out.reshape(units, 2, classes)
@@ -246,7 +246,7 @@ def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, rounds: int
             path, n = (np.array(c) for c in zip(*out, strict=True)) if out else (np.empty(0), np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out", "log_sum", "n_frequent")), pa.array(path), pa.array(n.astype(np.int64))], names=["rid", "doc_id", "held_out", "log_sum", "n_frequent", "path", "n_tokens"])
 
-    local = encoded.select("rid", "doc_id", "held_out", "log_sum", "n_frequent", "units").mapInArrow(run, "rid long, doc_id long, held_out boolean, log_sum double, n_frequent long, path double, n_tokens long")
+    local = encoded.select("rid", "doc_id", "held_out", "log_sum", "n_frequent", "units").mapInArrow(frugal(run), "rid long, doc_id long, held_out boolean, log_sum double, n_frequent long, path double, n_tokens long")
     others = encoded.select("rid", F.explode("other").alias("h")).join(counts.select("h", "c").hint("shuffle_hash"), "h", "left")
     others = others.groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("other_log"), F.count("c").alias("n_other"))
     logs = F.col("log_sum") + F.coalesce("other_log", F.lit(0.0))

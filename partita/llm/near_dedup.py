@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import written
+from .common import frugal, written
 from .words import encode, hashes, mix
 
 SHINGLE = 5
@@ -99,7 +99,7 @@ def _sketches(docs: DataFrame) -> DataFrame:
                 cols = [batch.column(0), *zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c for c, f in zip(cols, schema, strict=True)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, paths binary, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id long, n_shingles long, k1 long, k2 long, paths binary, sketch binary")
 
 
 def _full_sets(docs: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _full_sets(docs: DataFrame) -> DataFrame:
             sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "whole"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, whole binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(frugal(run), "id long, whole binary")
 
 
 def _groups(batches):
@@ -211,7 +211,7 @@ def _best_partners(members: DataFrame, top: bool = True) -> DataFrame:
                 keep = np.concatenate([[True], b[1:] != b[:-1]])
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a[keep]]), pa.array(ids[b[keep]]), pa.array(like[keep].astype(np.int32))], names=["a", "b", "like"])
 
-    found = _ordered(members).mapInArrow(run, "a long, b long, like int")
+    found = _ordered(members).mapInArrow(frugal(run), "a long, b long, like int")
     return found.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b")
 
 
@@ -226,7 +226,7 @@ def _promising(members: DataFrame, top: bool) -> DataFrame:
             if hit.any():
                 yield from table.select(["path", "id"]).filter(pa.array(hit)).to_batches()
 
-    return _ordered(members).mapInArrow(run, "path long, id long")
+    return _ordered(members).mapInArrow(frugal(run), "path long, id long")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -266,7 +266,7 @@ def _links(members: DataFrame, top: bool) -> DataFrame:
                 x, y = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return _ordered(members, "whole").mapInArrow(run, "a long, b long").distinct()
+    return _ordered(members, "whole").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def _children(members: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("whole").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("whole").alias("y")), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "x", "y").mapInArrow(frugal(run), "a long, b long")
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -343,7 +343,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         keys.select(F.col("rep").alias("doc_id"), "n_shingles", "k1", "k2"), ["doc_id", "n_shingles", "k1", "k2"], "left_semi"
     )
     # First level: only nodes with company go on, before any sketch is moved.
-    nodes = own.select(F.col("doc_id").alias("id"), F.col("paths")).mapInArrow(_opened, "path long, id long").distinct()
+    nodes = own.select(F.col("doc_id").alias("id"), F.col("paths")).mapInArrow(frugal(_opened), "path long, id long").distinct()
     nodes = written(_labelled(nodes, None), "nodes").select("path", "id")
     ids = written(nodes.select("id").distinct(), "ids")
     sketches = rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").where("size > 0")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, written
+from .common import frugal, gapless, written
 from .words import chunks
 
 LENGTH = 4096
@@ -37,9 +37,17 @@ DEAR = 3.0
 SLACK = 1 / 2048
 #: The share of each length's copies that are left to fill the gaps of the rounding's rest.
 SPARE = 0.1
+#: Bytes of remembered strings in a task (those of one chunk are always held), and of text in a chunk.
+REMEMBERED = 24 << 20
+CHUNK = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _held(words: list[str]) -> int:
+    """Bytes that a dictionary of these words and their ids takes, about."""
+    return 250 * len(words) + 5 * sum(map(len, words))
+
+
 class Encoder:
     """Ids of whole texts by a tokenizer that splits at spaces, lower-cases and marks the ends of words.
 
@@ -51,10 +59,10 @@ class Encoder:
     #: Letters that stay letters in lower case, before marks that no special token's string holds.
     CUT = (r"([a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{FF}])([.,;:!?#$%&*])", r"\1 \2")
 
-    def __init__(self, path: str, keep: int = 250_000):
+    def __init__(self, path: str, keep: int = REMEMBERED):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        self.tokenizer, self.keep, self.held = Tokenizer.from_file(path), keep, 0
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary, mark = self.tokenizer.get_vocab(), self.tokenizer.model.end_of_word_suffix
@@ -86,9 +94,11 @@ class Encoder:
         coded = pc.dictionary_encode(flat)
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.keep:
-            self.known, new = {}, words
+        if self.held + (adds := _held(new)) > self.keep:
+            self.known, self.held, new = {}, 0, words
+            adds = _held(new)
         self._learn(new)
+        self.held += adds
         own = [self.known[w] for w in words]
         sizes = np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
         pool, at = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
@@ -105,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     def run(batches):
         encoder, end = Encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for first, texts in chunks(batch.column(1), 4 << 20):
+            for first, texts in chunks(batch.column(1), CHUNK):
                 ids, ends = encoder.ids(texts)
                 out: list[tuple] = []
                 raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
@@ -123,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), PIECES)
 
 
 class Knapsack:

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, give_back
 from .words import chunks
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -244,7 +245,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     some = docs.where(F.regexp_like("text", F.lit("[0-9@]")))
     ids = F.broadcast(some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = some.select("doc_id", "text").join(ids, "doc_id").dropDuplicates(["doc_id"]).collect()
-    return fit([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]) if rows else None
+    model = fit([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]) if rows else None
+    del rows
+    give_back()
+    return model
 
 
 def _found(texts: pa.Array, model: dict | None):
@@ -274,7 +278,7 @@ def detect(docs: DataFrame, model: dict | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -300,4 +304,4 @@ def redact(docs: DataFrame, model: dict | None) -> DataFrame:
                         new[i] = redacted(text, every)
             yield batch.set_column(place, batch.schema.field(place), pa.array(new, texts.type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import frugal, give_back
 from .words import chunks, encode
 
 SAMPLE = 4000
@@ -171,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, label: str = "qu
     if not rows:
         return None
     rows.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], np.array([r["y"] for r in rows]))
+    model = fit([r["text"] for r in rows], np.array([r["y"] for r in rows]))
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -181,7 +185,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(document_scores(batch.column(1), model))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(frugal(run), "doc_id long, score double")
 
 
 def accepted(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -193,4 +197,4 @@ def accepted(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD)
             keep = document_scores(batch.column(place), model) >= threshold
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)
