@@ -33,8 +33,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    mixed = mixing.planned(docs).where("__uses > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__uses"))).alias("__copy")).drop("__copy")
+    return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
