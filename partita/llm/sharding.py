@@ -1,17 +1,20 @@
 """K-d tree sharding: documents fall into shards of near equal bytes by recursive weighted median cuts.
 
-A point is a distinct text, weighted by the bytes of all its copies, so that equal texts share a shard.
-Its dimensions are metadata scaled to 0..1: size, language, source and a hash of the text; equal values
-are told apart by the hash. Each node is cut across its widest dimension where the bytes on the left
-reach the left side's share; medians come from histograms that Spark sums, refined twice.
+A point is a distinct text, weighted by the bytes of all its copies, so that equal texts share a shard. Its
+dimensions are metadata: size, language and source. A value's coordinate is its place in the order of all
+values, by weight: the bytes of all smaller values before it, over all bytes. Points of one value are spread
+over that value's part by a hash of their text, which only breaks ties. Each node is cut across its widest
+dimension, where the bytes on the left reach the left side's share; medians come from histograms that
+Spark sums, refined twice.
 
 Texts whose copies weigh more than a hundredth of a shard (at most 100 for each shard, a proven bound)
 are dealt to the sides first, heaviest first, and the cut of the others makes the sides equal. Only a
-text whose copies outweigh a whole shard is spread over several, by a hash of doc_id.
+text whose copies outweigh a whole shard (there are fewer than shards) is spread over several.
 
-Defined cases: a null text has size 1 and is equal to the empty text; null languages and sources are
-values of their own; repeated rows are separate rows with the same place in the order; an empty table
-gives an empty result; further columns are ignored.
+Defined cases: a null text has size 1 and is equal to the empty text; null languages and sources come
+before all others; copies that differ in language or source have the least of each; repeated rows are
+separate rows with the same place in the order; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -21,17 +24,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import gapless, written
+from .common import discard, gapless, spread_join, written
 
 BINS = 1024
 REFINEMENTS = 2
 HEAVY = 0.01
-DIMS = ["size", "lang", "source", "text"]
+DIMS = ["size", "lang", "source"]
 
 
 @dataclass
 class Node:
-    id: int
     first: int  # its first shard
     leaves: int
     light: float = 0.0  # bytes of its light points
@@ -48,12 +50,45 @@ def _deal(node: Node) -> tuple[Node, Node]:
         side = 0 if room[0] >= room[1] else 1
         sides[side].append((w, i))
         room[side] -= w
-    a = Node(2 * node.id + 1, node.first, left, max(0.0, min(node.light, room[0])), sides[0])
-    return a, Node(2 * node.id + 2, node.first + left, node.leaves - left, node.light - a.light, sides[1])
-
-
-def _cuts(points: DataFrame, targets: DataFrame, boxes: DataFrame) -> DataFrame:
-    """node, dim, cut: where the widest dimension reaches each node's target."""
+    a = Node(node.first, left, max(0.0, min(node.light, room[0])), sides[0])
+    return a, Node(node.first + left, node.leaves - left, node.light - a.light, sides[1])
+
+
+def _places(points: DataFrame, column: str, total: float) -> DataFrame:
+    """value, n, start, share: each value's points and its part of 0..1, in the order of the values (nulls first).
+
+    The values are sorted by range over all tasks; a task's values start where the tasks before it end."""
+    values = points.groupBy(F.col(column).alias("value")).agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    values = written(values.orderBy(F.asc_nulls_first("value")).withColumn("task", F.spark_partition_id()), "shard-values")
+    tasks = values.groupBy("task").agg(F.sum("weight").alias("w")).withColumn("before", F.sum("w").over(Window.orderBy("task")) - F.col("w"))
+    within = F.sum("weight").over(Window.partitionBy("task").orderBy(F.asc_nulls_first("value"))) - F.col("weight")
+    placed = values.withColumn("within", within).join(F.broadcast(tasks.select("task", "before")), "task")
+    share = lambda c: c.cast("double") / F.lit(total)
+    placed = written(placed.select("value", "n", share(F.col("before") + F.col("within")).alias("start"), share(F.col("weight")).alias("share")), "shard-places")
+    discard(values)
+    return placed
+
+
+def _located(groups: DataFrame, total: float) -> DataFrame:
+    """key, weight, n, at: the points with their coordinates, written."""
+    tie = F.xxhash64("key").cast("double") / (2.0**64) + 0.5
+    points, used = groups.withColumn("at", F.array().cast("array<double>")), []
+    for d in DIMS:
+        places = _places(groups, d, total)
+        used.append(places)
+        # A null value has no key to join on, and is told by a column of its own.
+        keyed = places.select(F.coalesce(F.col("value").cast("string"), F.lit("")).alias("v"), F.col("value").isNull().alias("none"), F.col("n").alias("m"), "start", "share")
+        points = points.withColumns({"v": F.coalesce(F.col(d).cast("string"), F.lit("")), "none": F.col(d).isNull()})
+        points = spread_join(points, keyed, ["v", "none"], "m").withColumn("at", F.concat("at", F.array(F.col("start") + F.col("share") * tie))).drop("v", "none", "m", "start", "share")
+    points = written(points.select("key", "weight", "n", "at"), "shard-points")
+    discard(*used)
+    return points
+
+
+def _cuts(points: DataFrame, targets: DataFrame) -> list[tuple[int, int, float]]:
+    """node, dim, cut: where the widest dimension reaches each node's target; one row for each node."""
+    spark = points.sparkSession
+    boxes = points.groupBy("node").agg(*(e(F.col("at")[d]).alias(f"{c}{d}") for d in range(len(DIMS)) for e, c in ((F.min, "lo"), (F.max, "hi"))))
     ranges = (
         boxes.withColumn("w", F.array(*(F.col(f"hi{d}") - F.col(f"lo{d}") for d in range(len(DIMS)))))
         .withColumn("dim", F.array_position("w", F.array_max("w")).cast("int"))
@@ -61,6 +96,7 @@ def _cuts(points: DataFrame, targets: DataFrame, boxes: DataFrame) -> DataFrame:
         .join(F.broadcast(targets), "node")
         .withColumn("before", F.lit(0.0))
     )
+    ranges = spark.createDataFrame(ranges.collect(), ranges.schema)
     for _ in range(REFINEMENTS):
         step = (F.col("hi") - F.col("lo")) / BINS
         bins = (
@@ -68,24 +104,21 @@ def _cuts(points: DataFrame, targets: DataFrame, boxes: DataFrame) -> DataFrame:
             .withColumn("x", F.element_at("at", F.col("dim")))
             .where(F.col("x").between(F.col("lo"), F.col("hi")))
             .withColumn("bin", F.coalesce(F.least(F.lit(BINS - 1), F.floor((F.col("x") - F.col("lo")) / F.nullif(step, F.lit(0.0)))), F.lit(0)))
-            .groupBy("node", "bin")
+            .groupBy("node", "dim", "lo", "hi", "target", "before", "bin")
             .agg(F.sum("weight").alias("weight"))
-            .join(F.broadcast(ranges), "node")
         )
         order = Window.partitionBy("node").orderBy("bin")
         upto = F.col("before") + F.sum("weight").over(order)
-        pick = Window.partitionBy("node").orderBy("gap", "bin")
         # The bin in which the target falls: the last one that starts at or below it.
         ranges = (
             bins.withColumn("start", upto - F.col("weight"))
             .where(F.col("start") <= F.col("target"))
-            .withColumn("gap", F.col("target") - F.col("start"))
-            .withColumn("n", F.row_number().over(pick))
-            .where("n = 1")
-            .select("node", "dim", (F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * step).alias("hi"), "target", F.col("start").alias("before"))
+            .groupBy("node", "dim", "target")
+            .agg(F.max_by(F.struct((F.col("lo") + F.col("bin") * step).alias("lo"), (F.col("lo") + (F.col("bin") + 1) * step).alias("hi"), "start"), "bin").alias("x"))
+            .select("node", "dim", "x.lo", "x.hi", "target", F.col("x.start").alias("before"))
         )
-        ranges = points.sparkSession.createDataFrame(ranges.collect(), ranges.schema)  # one row for each node
-    return ranges.select("node", "dim", F.when(F.col("target") > F.col("before"), F.col("hi")).otherwise(F.col("lo")).alias("cut"))
+        ranges = spark.createDataFrame(ranges.collect(), ranges.schema)
+    return [tuple(r) for r in ranges.select("node", "dim", F.when(F.col("target") > F.col("before"), F.col("hi")).otherwise(F.col("lo"))).collect()]
 
 
 def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -101,54 +134,54 @@ def kd_shards(docs: DataFrame, shards: int = 16) -> DataFrame:
             (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).cast("long").alias("text_crc32"),
             F.unhex(F.md5(text)).alias("key"),
-            F.pmod(F.xxhash64(F.coalesce("lang", F.lit(""))), F.lit(1024)).alias("lang"),
-            F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(1024)).alias("source"),
+            "lang",
+            "source",
         ),
         "shard-rows",
     )
     groups = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.first("size").alias("size"), F.min("lang").alias("lang"), F.min("source").alias("source"), F.count("*").alias("n"))
-    hashed = F.xxhash64("key").cast("double") / (2.0**64) + 0.5
-    slots = {"lang": 1024.0, "source": 1024.0}
-    at = [F.log2(F.col("size") + hashed) / 40, *((F.col(c) + hashed) / n for c, n in slots.items()), hashed]
-    groups = written(groups.select("key", "weight", "n", F.array(*at).alias("at")), "shard-points")
-    total, n_rows = groups.agg(F.sum("weight"), F.sum("n")).first()
-    total, n_rows = total or 0, n_rows or 0
+    groups = written(groups, "shard-texts")
+    total, n_rows = groups.agg(F.coalesce(F.sum("weight"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     leaf = total / shards
     heavy = groups.where(F.col("weight") > leaf * HEAVY).select("key", "weight", "n").orderBy(F.desc("weight"), "key").collect() if total else []
-    light = groups.where(F.col("weight") <= leaf * HEAVY).withColumn("node", F.lit(0))
-    # A text that outweighs a shard falls into pieces of an eighth of it, but of 16 rows each at least.
-    pieces = [max(1, min(-(-8 * int(w) // max(1, int(leaf))), n // 16)) if w > leaf else 1 for _, w, n in heavy]
+    # A text that outweighs a shard falls into pieces of an eighth of it, or single rows.
+    pieces = [min(-(-8 * int(w) // max(1, int(leaf))), n) if w > leaf else 1 for _, w, n in heavy]
     atoms = sorted(((w / k, i) for i, ((_, w, _), k) in enumerate(zip(heavy, pieces, strict=True)) for _ in range(k)), key=lambda x: (-x[0], x[1]))
-    level = [Node(0, 0, shards, total - sum(w for _, w, _ in heavy), atoms)]
-    done: list[Node] = []
-    while any(n.leaves > 1 for n in level):
-        done += [n for n in level if n.leaves == 1]
-        split = [(n, *_deal(n)) for n in level if n.leaves > 1]
-        boxes = light.groupBy("node").agg(*(e(F.col("at")[d]).alias(f"{c}{d}") for d in range(len(DIMS)) for e, c in ((F.min, "lo"), (F.max, "hi"))))
-        found = boxes.collect()
-        cuts = []
-        if found:
-            boxes = spark.createDataFrame(found, boxes.schema)
-            targets = spark.createDataFrame([(n.id, float(a.light)) for n, a, _ in split], "node int, target double")
-            cuts = _cuts(light, targets, boxes).collect()
-        cut = spark.createDataFrame([tuple(r) for r in cuts], "node int, dim int, cut double")
+    light = written(_located(groups.where(F.col("weight") <= leaf * HEAVY), max(1.0, float(total))).withColumn("node", F.lit(0)), "shard-nodes")
+    level = {0: Node(0, shards, total - sum(w for _, w, _ in heavy), atoms)}
+    done: list[tuple[int, Node]] = []
+    while any(n.leaves > 1 for n in level.values()):
+        done += [(i, n) for i, n in level.items() if n.leaves == 1]
+        split = {i: _deal(n) for i, n in level.items() if n.leaves > 1}
+        targets = spark.createDataFrame([(i, float(a.light)) for i, (a, _) in split.items()], "node int, target double")
+        cut = spark.createDataFrame(_cuts(light, targets), "node int, dim int, cut double")
         right = F.element_at("at", F.col("dim")) >= F.col("cut")
-        light = light.join(F.broadcast(cut), "node", "left").select(
-            "key", "weight", "at",
-            F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"),
+        before, light = light, written(
+            light.join(F.broadcast(cut), "node", "left").select(
+                "key", "weight", "n", "at",
+                F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"),
+            ),
+            "shard-nodes",
         )
-        level = [x for _, a, b in split for x in (a, b)]
-    level += done
-    leaves = spark.createDataFrame([(n.id, n.first) for n in level], "node int, shard int")
-    placed = rows.join(light.join(F.broadcast(leaves), "node").select("key", "shard"), "key")
+        discard(before)
+        level = {2 * i + 1 + side: n for i, both in split.items() for side, n in enumerate(both)}
+    done += level.items()
+    leaves = spark.createDataFrame([(i, n.first) for i, n in done], "node int, shard int")
+    where = light.join(F.broadcast(leaves), "node").select("key", "shard")
+    placed = rows.join(where, "key")
     if heavy:
-        where: dict[int, list[int]] = {}
-        for n in level:
+        dealt: dict[int, list[int]] = {}
+        for _, n in done:
             for _, i in n.atoms:
-                where.setdefault(i, []).append(n.first)
-        dealt = F.broadcast(spark.createDataFrame([(bytearray(k), sorted(where[i])) for i, (k, _, _) in enumerate(heavy)], "key binary, shards array<int>"))
-        piece = F.pmod(F.xxhash64("doc_id"), F.size("shards")).cast("int")
-        hot = rows.join(dealt, "key").withColumn("shard", F.get("shards", piece)).drop("shards")
-        placed = rows.join(dealt, "key", "left_anti").join(light.join(F.broadcast(leaves), "node").select("key", "shard"), "key").unionByName(hot)
+                dealt.setdefault(i, []).append(n.first)
+        table = F.broadcast(spark.createDataFrame([(bytearray(k), i, sorted(dealt[i])) for i, (k, _, _) in enumerate(heavy)], "key binary, text int, shards array<int>"))
+        hot = rows.join(table, "key")
+        placed = rows.join(table, "key", "left_anti").join(where, "key").unionByName(hot.where(F.size("shards") == 1).withColumn("shard", F.col("shards")[0]).drop("text", "shards"))
+        if max(pieces) > 1:
+            spread = written(hot.where(F.size("shards") > 1), "shard-hot")
+            order = [F.col("doc_id"), F.col("source"), F.col("lang")]
+            nth = gapless(spread, "text", order, "nth", sum(n for (_, _, n), k in zip(heavy, pieces, strict=True) if k > 1))
+            placed = placed.unionByName(nth.withColumn("shard", F.get("shards", F.pmod("nth", F.size("shards")).cast("int"))).drop("text", "shards", "nth"))
     placed = written(placed.select("doc_id", "size", "text_crc32", "shard"), "shard-placed")
+    discard(rows, groups, light)
     return gapless(placed, "shard", [F.col("doc_id"), F.col("text_crc32"), F.col("size")], "slot", n_rows)

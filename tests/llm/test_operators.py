@@ -72,6 +72,47 @@ def test_a_text_that_outweighs_a_shard_is_spread(spark):
     assert len(load) == 8 and max(load.values()) < 1.6 * sum(load.values()) / 8
 
 
+def test_cuts_follow_a_brute_force_tree(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, rng.randrange(3, 90), 5000), rng.choice(("de", "en", "fr", None)), f"s{rng.randrange(30):02}", 0, "", "", "") for i in range(3000)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(frame, 8).collect()}
+    size = {r[0]: len(r[1].encode()) + 1 for r in rows}
+    total = sum(size.values())
+    order = {d: {} for d in range(3)}
+    values = {r[0]: (size[r[0]], (r[2] is not None, r[2] or ""), r[3]) for r in rows}
+    for d in order:
+        at = 0
+        for v in sorted({x[d] for x in values.values()}):
+            w = sum(size[i] for i, x in values.items() if x[d] == v)
+            order[d][v] = (at / total, w / total)
+            at += w
+
+    def check(ids, first, leaves):
+        """The points of a node are cut across the widest dimension; only ties lie on both sides."""
+        if leaves == 1:
+            return
+        # Extents by the values' parts: a hash within a part moves each end by no more than the part.
+        low = {d: min(order[d][values[i][d]][0] for i in ids) for d in order}
+        high = {d: max(sum(order[d][values[i][d]]) for i in ids) for d in order}
+        left, right = [i for i in ids if got[i] < first + leaves // 2], [i for i in ids if got[i] >= first + leaves // 2]
+        assert abs(sum(size[i] for i in left) - sum(size[i] for i in ids) / 2) < 0.01 * total / 8 + 700
+        fits = [d for d in order if max(values[i][d] for i in left) <= min(values[i][d] for i in right)]
+        wide = max(high[d] - low[d] for d in order)
+        slack = {d: 2 * max(order[d][values[i][d]][1] for i in ids) for d in order}
+        assert any(high[d] - low[d] + slack[d] >= wide - max(slack.values()) for d in fits)
+        check(left, first, leaves // 2)
+        check(right, first + leaves // 2, leaves // 2)
+
+    check(sorted(got), 0, 8)
+
+
+def test_a_heavy_text_of_few_rows_is_spread_by_rows(spark):
+    rows = [(i, "long copy " * 3000, "en", "a", 0, "", "", "") for i in range(6)] + [(10 + i, f"text {i}", "en", "a", 0, "", "", "") for i in range(50)]
+    load = Counter(r["shard"] for r in sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 3).where("doc_id < 10").collect())
+    assert sorted(load.values()) == [2, 2, 2]
+
+
 def test_language_model_base_is_exact_and_scores_are_proper(docs, none):
     held = quality_classifier.remainder(5) == 1
     got = lm_scoring.score(docs, held, classes=4, rounds=3).collect()
