@@ -2,9 +2,11 @@
 
 Documents become token ids and one end id; longer ones than a sequence are cut. The histogram of lengths
 (at most one bin for each length) is all that the driver sees. A configuration is a multiset of lengths
-that fits a sequence. Multiplicative weights over the lengths price configurations by a knapsack dynamic
-program; each is used a whole number of times, within the copies left, and the pieces left over go best
-fit by decreasing length. Pieces then find their places by their rank among pieces of equal length.
+that fits a sequence. The covering program over configurations is solved by multiplicative weights: a
+knapsack dynamic program prices configurations by dual weights, the fractional solution is the mean over
+the rounds, and the weights give a bound that no packing can beat. It is rounded within the copies there
+are; pieces left over go best fit by decreasing length. Pieces then find their places by their rank among
+pieces of equal length.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are separate documents; ties in
 length are ordered by doc_id and piece; an empty table gives an empty result; further columns are
@@ -17,6 +19,7 @@ import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +32,14 @@ from .words import chunks
 
 LENGTH = 4096
 END_ID = 1
-ROUNDS = 160
+#: Rounds of the multiplicative weights, and pricings in each.
+EPOCHS, TURNS = 6, 12
 #: How fast dual weights follow the coverage, and the power of a length that they start from.
 RATE = 0.1
-DEAR = 3.0
+DEAR = 2.0
 #: The most of a sequence that a priced configuration may leave unused.
-SLACK = 1 / 2048
+SLACK = 1 / 1024
+TINY = 1e-9
 #: The share of each length's copies that are left to fill the gaps of the rounding's rest.
 SPARE = 0.1
 #: Bytes of remembered strings in a task (those of one chunk are always held), and of text in a chunk.
@@ -175,53 +180,84 @@ class Knapsack:
         return out
 
 
-def priced(counts: dict[int, int], length: int = LENGTH, rounds: int = ROUNDS) -> tuple[Counter, dict[int, int]]:
-    """Configurations with the times that each is used, and the copies of each length that they leave over.
+class Program(NamedTuple):
+    """A fractional solution of the configuration program, and how good any solution can be."""
 
-    The covering program asks for as few sequences as can be with each length covered. Its dual weights are
-    multiplied in each round by how far a length's coverage lags behind the tokens' as a whole, and the
-    knapsack prices configurations by them: for each length the best one that ends with it, within the copies
-    left. In the order of their value they are used as often as their scarcest length allows; in the first
-    half of the rounds only those near the best one's value, and at most half as often, so that later weights
-    have a say. One that can't be used, or leaves more than SLACK of a sequence unused, is skipped. SPARE of
-    the copies are left over on purpose."""
+    lengths: np.ndarray  # ascending
+    demand: np.ndarray  # pieces of each length
+    amounts: dict[tuple[tuple[int, int], ...], float]  # configuration ((place in lengths, copies), ...) -> sequences
+    covered: np.ndarray  # share of each length's pieces that the amounts hold
+    bound: float  # dual: no packing has fewer sequences
+
+
+def program(counts: dict[int, int], length: int = LENGTH, epochs: int = EPOCHS, turns: int = TURNS) -> Program:
+    """The covering program min sum(x) with every length covered, by multiplicative weights.
+
+    In each epoch the oracle spends as many sequences as the bound so far on the configurations that the dual
+    weights price highest: the knapsack prices them within the copies that the epoch has left, in turns, each
+    with a lower least price; one that leaves more than SLACK of a sequence unused is not taken. A length's
+    weight is then multiplied by how far its coverage lags behind the tokens' as a whole. The solution is the
+    mean over the epochs. Any weights w give a bound, sum(w * demand) over the highest price; the bound is the
+    largest of those of the epochs and of the lengths themselves."""
     lengths = np.array(sorted(k for k, n in counts.items() if n > 0), dtype=np.int64)
     demand = np.array([counts[k] for k in lengths.tolist()], dtype=np.int64)
-    spare = (demand * SPARE).astype(np.int64)
-    left, used = demand - spare, Counter()
+    tokens = lengths * demand
+    bound = float(tokens.sum() / length)
     weight = (lengths / length) ** DEAR  # few configurations hold a long piece: it starts dear
-    for r in range(rounds):
-        on = np.flatnonzero(left)
-        if not len(on):
-            break
-        sack = Knapsack(lengths[on], weight[on], left[on], length)
-        placed, least = 0, sack.worth.max() * (1 - max(1, r) / rounds) if r < rounds // 2 else 0
-        for i in np.argsort(-sack.worth, kind="stable").tolist():
-            at = sack.items[i][0]
-            if sack.worth[i] < least:
+    amounts: dict[tuple, float] = {}
+    covered = np.zeros(len(lengths))
+    for _ in range(epochs if len(lengths) else 0):
+        left, room = demand.astype(float), bound
+        for turn in range(turns):
+            on = np.flatnonzero(left > TINY)
+            if not len(on) or room <= TINY:
                 break
-            if not left[on[at]]:
-                continue
-            filling = sack.filling(i)
-            places, n = on[list(filling)], np.fromiter(filling.values(), np.int64, len(filling))
-            times = int((left[places] // n).min())
-            if not times or length - int(lengths[places] @ n) > length * SLACK:
-                continue
-            if r < rounds // 2:
-                times = -(-times // 2)
-            left[places] -= times * n
-            used[tuple(sorted((int(k) for k, c in zip(lengths[places], n, strict=True) for _ in range(c)), reverse=True))] += times
-            placed += times
-        if not placed and r >= rounds // 2:
-            break
+            sack = Knapsack(lengths[on], weight[on], np.ceil(left[on] - TINY).astype(np.int64), length)
+            best = sack.worth.max()
+            if turn == 0:
+                bound = max(bound, float(weight @ demand) / best)
+            for i in np.argsort(-sack.worth, kind="stable").tolist():
+                if sack.worth[i] < (1 - (turn + 1) / turns) * best or room <= TINY:
+                    break
+                if left[on[sack.items[i][0]]] <= TINY:
+                    continue
+                filling = sack.filling(i)
+                places, n = on[list(filling)], np.fromiter(filling.values(), np.int64, len(filling))
+                times = min(room, float((left[places] / n).min()))
+                if times <= TINY or length - int(lengths[places] @ n) > length * SLACK:
+                    continue
+                left[places] -= times * n
+                room -= times
+                key = tuple(zip(places.tolist(), n.tolist(), strict=True))
+                amounts[key] = amounts.get(key, 0.0) + times / epochs
         share = 1 - left / demand
-        weight *= np.exp(RATE * ((share * lengths * demand).sum() / (lengths * demand).sum() - share))
-    return used, {int(k): int(n) for k, n in zip(lengths, left + spare, strict=True) if n}
-
-
-def configurations(counts: dict[int, int], length: int = LENGTH, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, times): sequences that hold every counted piece exactly once: priced ones, then the rest's best fit."""
-    used, left = priced(counts, length, rounds)
+        covered += share / epochs
+        weight = weight * np.exp(RATE * ((share * tokens).sum() / tokens.sum() - share))
+    return Program(lengths, demand, amounts, covered, bound)
+
+
+def rounded(found: Program) -> tuple[Counter, dict[int, int]]:
+    """Configurations (lengths, descending) with whole times, and the copies of each length that are left over.
+
+    Amounts are rounded down first, then up in the order of their fractions (the latest weights' first where
+    equal), always within the copies left. SPARE of the copies are left over on purpose."""
+    spare = (found.demand * SPARE).astype(np.int64)
+    left, used = (found.demand - spare).tolist(), Counter()
+    whole = [(key, int(x + TINY)) for key, x in found.amounts.items()]
+    order = sorted(enumerate(found.amounts.items()), key=lambda e: (-round(e[1][1] % 1, 6), -e[0]))
+    for key, times in [*whole, *((key, 1) for _, (key, _) in order)]:
+        times = min([times, *(left[at] // n for at, n in key)])
+        if times > 0:
+            for at, n in key:
+                left[at] -= times * n
+            used[tuple(sorted((int(found.lengths[at]) for at, n in key for _ in range(n)), reverse=True))] += times
+    left = (np.array(left, dtype=np.int64) + spare).tolist()
+    return used, {int(k): n for k, n in zip(found.lengths, left, strict=True) if n}
+
+
+def configurations(counts: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, times): sequences that hold every counted piece exactly once: rounded ones, then the rest's best fit."""
+    used, left = rounded(program(counts, length))
     return [*used.items(), *best_fit(left, length).items()]
 
 

@@ -367,18 +367,63 @@ def test_configurations_hold_each_piece_once():
     assert sum(t for _, t in found) <= math.ceil(sum(k * n for k, n in counts.items()) / 64) * 1.01 + 1
 
 
-def test_most_pieces_come_from_priced_configurations():
+def test_the_program_is_covered_bounded_and_rounded():
     rng = random.Random(3)
     counts = Counter(min(1024, max(3, int(rng.lognormvariate(5, 1.2)))) for _ in range(4000))  # the shortest has few copies
-    used, left = packing.priced(dict(counts), 1024)
-    held = Counter(left)
+    found = packing.program(dict(counts), 1024)
+    # What the amounts hold is what is said to be covered, with no more sequences than the bound.
+    held = np.zeros(len(found.lengths))
+    for key, x in found.amounts.items():
+        assert x > 0 and sum(found.lengths[at] * n for at, n in key) <= 1024
+        for at, n in key:
+            held[at] += n * x
+    assert np.allclose(held / found.demand, found.covered) and (found.covered <= 1 + 1e-6).all()
+    assert sum(found.amounts.values()) <= found.bound + 1e-6
+    assert (found.covered * found.demand).sum() > 0.85 * found.demand.sum()
+    used, left = packing.rounded(found)
+    whole = Counter(left)
     for config, times in used.items():
         assert sum(config) <= 1024 and times > 0
         for k in config:
-            held[k] += times
-    assert held == counts
-    assert sum(left.values()) < 0.2 * sum(counts.values())
-    assert sum(t for _, t in packing.configurations(dict(counts), 1024)) <= math.ceil(sum(k * n for k, n in counts.items()) / 1024) * 1.002 + 1
+            whole[k] += times
+    assert whole == counts
+    assert sum(left.values()) < 0.4 * sum(counts.values())
+    assert found.bound <= sum(t for _, t in packing.configurations(dict(counts), 1024)) <= math.ceil(found.bound) * 1.002 + 1
+
+
+def fewest(sizes, length):
+    """The least number of sequences, by trying every piece in every sequence."""
+    best = len(sizes)
+
+    def go(i, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(sizes):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= sizes[i] and rooms[j] not in rooms[:j]:
+                go(i + 1, [*rooms[:j], rooms[j] - sizes[i], *rooms[j + 1 :]])
+        go(i + 1, [*rooms, length - sizes[i]])
+
+    go(0, [])
+    return best
+
+
+def test_small_packings_are_optimal_or_one_above_and_never_below_the_bound():
+    rng = random.Random(11)
+    exact = 0
+    for _ in range(40):
+        sizes = sorted((rng.randrange(2, 21) for _ in range(9)), reverse=True)
+        want, found = fewest(sizes, 20), packing.configurations(Counter(sizes), 20)
+        got = sum(t for _, t in found)
+        assert packing.program(Counter(sizes), 20).bound <= want + 1e-9 and want <= got <= want + 1
+        exact += got == want
+    assert exact >= 35
+    # Pieces over half a sequence stand alone: the dual bound knows, the tokens do not.
+    found = packing.program({11: 10}, 20)
+    assert found.bound == pytest.approx(10) and sum(t for _, t in packing.configurations({11: 10}, 20)) == 10
 
 
 def test_the_knapsack_is_optimal_within_its_copies():
