@@ -5,7 +5,7 @@ branch into tree nodes by selected minwise tokens: in each of TREES independent
 members by BRANCHES of their minwise values. Nodes of up to SMALL members are compared exhaustively:
 first on sketches, then, for members with some promising partner, on the full sets. Larger nodes branch
 again, unless a branch keeps most of their members together or DEPTH is reached; those are compared block
-by block, so no partner is ever dropped. Before that, each vertex is tried with its most likely partner;
+by block, so no partner is ever dropped; members of a node's largest component meet the others alone. Before that, each vertex is tried with its most likely partner;
 a node whose members are all of one component says nothing new and is left, and only members of
 different components are compared, which is what keeps large groups of copies cheap.
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import frugal, written
+from .common import discard, frugal, spread_join, written
 from .words import encode, hashes, mix
 
 SHINGLE = 5
@@ -244,7 +244,9 @@ def _links(members: DataFrame, top: bool) -> DataFrame:
     def run(batches):
         for table in _groups(batches):
             ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in table.column("whole").to_pylist()]
+            whole = table.column("whole").combine_chunks()
+            whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+            sets = lambda i: np.frombuffer(whole[i].as_buffer(), np.uint64)  # noqa: B023, E731 (a view, no copy)
             path = table.column("path").to_numpy()
             joined: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -259,7 +261,7 @@ def _links(members: DataFrame, top: bool) -> DataFrame:
                 for k in np.argsort(-like, kind="stable").tolist():
                     i, j = int(a[k]), int(b[k])
                     r, s = root(i), root(j)
-                    if r != s and _similar(sets[i], sets[j]):
+                    if r != s and _similar(sets(i), sets(j)):
                         joined[max(r, s)] = min(r, s)
                         out.append((int(ids[i]), int(ids[j])))
             if out:
@@ -279,11 +281,24 @@ def _children(members: DataFrame) -> DataFrame:
 
 
 def _blocks(level: DataFrame) -> DataFrame:
-    """Members meet in every pair of blocks of about BLOCK members: exhaustive, without a task for a whole node."""
-    n = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("id"), n).cast("int")
-    both = level.select("path", "id", "label", own.alias("i"), F.explode(F.sequence(F.lit(0), n - 1)).alias("o"))
-    return both.select(F.xxhash64("path", F.least("i", "o"), F.greatest("i", "o")).alias("path"), F.col("path").alias("node"), "id", "label")
+    """Members of large nodes (path, id, label, n) meet in pairs of blocks of about BLOCK members: exhaustive,
+    without a task for a whole node.
+
+    The members of a node's largest component are compared with the others alone, never among themselves, so
+    a member of it is copied once for each block of others."""
+    counts = level.groupBy("path", "label").agg(F.count("*").alias("c"))
+    top = counts.groupBy("path").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("rows"))
+    top = written(top, "largest")
+    of = lambda n: F.ceil(n / BLOCK).cast("int")
+    known = spread_join(level.select("path", "id", "label"), top, ["path"], "rows")
+    known = known.select("path", "id", "label", (F.col("label") == F.col("top")).alias("main"), of(F.col("most")).alias("m"), of(F.col("rows") - F.col("most")).alias("o"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("main"), F.col("m")).otherwise(F.col("o"))).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    # Blocks of the others are numbered from 0; those of the largest component follow them.
+    mates = F.when(F.col("main"), every(F.col("o"))).otherwise(F.concat(every(F.col("o")), F.transform(every(F.col("m")), lambda i: i + F.col("o"))))
+    place = own + F.when(F.col("main"), F.col("o")).otherwise(0)
+    both = known.select("path", "id", "label", place.alias("i"), F.explode(mates).alias("j"))
+    return both.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), F.col("path").alias("node"), "id", "label")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -300,13 +315,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """path, id, label, n: nodes of two members at least that are not of one component already."""
+    """path, id, label, n, written: nodes of two members at least that are not of one component already."""
     if labels is None:
         nodes = nodes.withColumn("label", F.col("id"))
     else:
         nodes = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     mixed = nodes.groupBy("path").agg(F.count("*").alias("n"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-    return nodes.select("path", "id", "label").join(mixed.select("path", "n"), "path")
+    mixed = written(mixed.select("path", "n"), "mixed")
+    level = written(spread_join(nodes.select("path", "id", "label"), mixed, ["path"], "n"), "level")
+    discard(mixed)
+    return level
 
 
 def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
@@ -344,36 +362,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     # First level: only nodes with company go on, before any sketch is moved.
     nodes = own.select(F.col("doc_id").alias("id"), F.col("paths")).mapInArrow(frugal(_opened), "path long, id long").distinct()
-    nodes = written(_labelled(nodes, None), "nodes").select("path", "id")
+    first = _labelled(nodes, None)
+    nodes = first.select("path", "id")
     ids = written(nodes.select("id").distinct(), "ids")
     sketches = rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").where("size > 0")
     sketches = written(sketches.join(ids, "id", "left_semi").dropDuplicates(), "members")
-    pairs = written(_best_partners(_with_nodes(_compact(_labelled(nodes, None))).join(sketches, "id")), "pairs")
+    pairs = written(_best_partners(_with_nodes(_compact(first)).join(sketches, "id")), "pairs")
     labels = None
     if not pairs.isEmpty():
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         labels = _merged(labels, written(_confirmed(pairs, written(_sets_of(docs, asked, repeated), "sets")), "links"))
         for depth in range(DEPTH + 1):
-            level = written(_labelled(nodes, labels), "level")
+            level, kids, large = _labelled(nodes, labels), None, None
             if level.isEmpty():
                 break
             # Large nodes branch, unless a branch keeps most of them together: those are compared now.
             now, nodes = level.where(F.col("n") <= SMALL).select("path", F.col("path").alias("node"), "id", "label"), None
-            large = level.where(F.col("n") > SMALL)
-            if not large.isEmpty():
-                kids = written(_children(large.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id")), "children")
-                sizes = kids.groupBy("parent", "branch", "path").agg(F.count("*").alias("m")).groupBy(F.col("parent").alias("path")).agg(F.max("m").alias("m"))
-                large = written(large.join(sizes, "path").withColumn("dense", (F.col("m") > DENSE * F.col("n")) | F.lit(depth == DEPTH)), "large")
+            wide = level.where(F.col("n") > SMALL)
+            if not wide.isEmpty():
+                kids = written(_children(wide.join(sketches.select("id", "sketch").dropDuplicates(["id"]), "id")), "children")
+                sizes = kids.groupBy("parent", "branch", "path").agg(F.count("*").alias("m")).groupBy(F.col("parent").alias("path")).agg(F.max("m").alias("m"), F.sum("m").alias("rows"))
+                sizes = written(sizes, "branches")
+                large = written(spread_join(wide, sizes, ["path"], "rows").withColumn("dense", (F.col("m") > DENSE * F.col("n")) | F.lit(depth == DEPTH)), "large")
                 now = now.unionByName(_blocks(large.where("dense")))
                 parents = large.where("not dense").select(F.col("path").alias("parent")).distinct()
                 nodes = kids.join(parents, "parent", "left_semi").select("path", "id").distinct()
             now = _with_nodes(now)
             members = written(now.join(_promising(now.join(sketches, "id"), depth == 0), ["path", "id"]), "promising")
             sets = _sets_of(docs, members.select("id"), repeated)
-            labels = _merged(labels, written(_links(members.join(sketches, "id").join(sets, "id"), depth == 0), "links"))
+            links = written(_links(members.join(sketches, "id").join(sets, "id"), depth == 0), "links")
+            labels = _merged(labels, links)
+            nodes = None if nodes is None else written(nodes, "nodes")
+            discard(level, kids, large, members, links)
             if nodes is None:
                 break
-            nodes = written(nodes, "nodes")
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(keys, ["n_shingles", "k1", "k2"], "left")
     out = out.withColumn("__v", F.coalesce("rep", "doc_id"))
     if labels is not None:
