@@ -32,6 +32,8 @@ KINDS = ["email", "ip", "card", "phone"]
 K = len(KINDS) + 1  # the last is plain
 SAMPLE = 3000
 WIDTH = 512
+#: Features of a token.
+FEATURES = 10
 SURE = 0.5
 #: Most digits that tokens in a row may have as one span.
 DIGITS = {"card": 19, "phone": 15}
@@ -96,7 +98,7 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
         if "@" in token or any("0" <= c <= "9" for c in token):
             core = token.strip(EDGES)
             a = m.start() + token.find(core) if core else m.start()
-            out.append((a, a + len(core), core, before[-24:]))
+            out.append((a, a + len(core), core, before))
         before = token.lower()
     return out
 
@@ -105,10 +107,10 @@ def token_features(core: str, before: str) -> list[int]:
     """Hashed features: shape, length, counts and the word before."""
     digits = "".join(c for c in core if "0" <= c <= "9")
     found = [
-        "bias", f"shape {shape(core)[:40]}", f"digits {min(len(digits), 20)}", f"dots {min(core.count('.'), 5)}", f"at {core.count('@')}",
+        "bias", f"shape {shape(core)}", f"digits {min(len(digits), 20)}", f"dots {min(core.count('.'), 5)}", f"at {core.count('@')}",
         f"lead {core[:1] if not core[:1].isalnum() else 'w'}", f"luhn {len(digits) == len(core) and 13 <= len(digits) <= 19 and luhn(digits)}",
         f"parts {core.count('.') == 3 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in core.split('.'))}",
-        f"hex {len(core) > 12 and any(c.isalpha() for c in core)}", f"before {shape(before)[:20]}",
+        f"hex {len(core) > 12 and any(c.isalpha() for c in core)}", f"before {shape(before)}",
     ]
     return [int.from_bytes(hashlib.blake2b(f.encode(), digest_size=4).digest(), "little") % WIDTH for f in found]
 
@@ -143,7 +145,7 @@ def graph(texts: list[str]) -> dict:
             elif len(own) == 2 and tuple(own) not in joined_already:
                 skip.append(tuple(own))
     pairs = lambda e: np.array(e, dtype=np.int64).reshape(-1, 2)
-    return {"doc": np.array(doc, dtype=np.int64), "where": where, "rows": np.array(rows, dtype=np.int64).reshape(len(doc), -1), "chain": pairs(chain), "skip": pairs(skip), "hub": pairs(hub)}
+    return {"doc": np.array(doc, dtype=np.int64), "where": where, "rows": np.array(rows, dtype=np.int64).reshape(len(doc), FEATURES), "chain": pairs(chain), "skip": pairs(skip), "hub": pairs(hub)}
 
 
 def fit(texts: list[str], steps: int = 150) -> dict | None:

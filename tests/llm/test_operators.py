@@ -278,6 +278,31 @@ def test_personal_data_base_patterns():
     assert pii.base_spans("") == [] and pii.base_spans("@" * 50 + "a" * 5000) == []
 
 
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def test_base_spans_equal_the_patterns_on_odd_texts():
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    keep = {
+        "email": lambda x: True,
+        "ip": lambda x: all(int(p) <= 255 for p in x.split(".")),
+        "card": lambda x: 13 <= len(d := re.sub(r"\D", "", x)) <= 19 and luhn(d),
+        "phone": lambda x: 9 <= len(re.sub(r"\D", "", x)) <= 15,
+    }
+    rng = random.Random(3)
+    parts = ["a", "b.c", "@", "@@", "x@y.de", ".", "-", "+", "+1", "(", ")", " ", " ", "1", "22", "333", "4111111111111111", "4041894974608795", "10.0.0.7", "256.1.1.1", "555-", "é", "%", "_", "0000000000000"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        want = [(k, *m.span()) for k, p in patterns.items() for m in re.finditer(p, text) if keep[k](m[0])]
+        assert pii.base_spans(text) == want, text
+
+
 def test_the_field_adds_what_patterns_lose_and_leaves_the_rest(spark, none):
     rng = random.Random(5)
 
@@ -302,6 +327,7 @@ def test_the_field_adds_what_patterns_lose_and_leaves_the_rest(spark, none):
     assert got[7]["n_card"] == got[7]["n_phone"] == got[7]["n_email"] == 1
     clean = pii.redact(frame, model).where("doc_id = 1000").first()["text"]
     assert clean == "call [PHONE] [CARD] now"
+    assert pii.find([], model) == [] and pii.find(["no digit", "a@ b"], model)[0] == ([], [])
     assert pii.train(none) is None and pii.detect(none, None).count() == 0
 
 
