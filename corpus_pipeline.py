@@ -1,7 +1,12 @@
 """From raw documents to packed training sequences: quality, near-duplicates, personal data, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again
-as the next stage's documents. All but the last return the columns of ``documents``.
+as the next stage's documents. All but the last return the columns of ``documents``, and further columns
+of any name with them.
+
+Defined cases, at every stage: a null text counts as an empty one; rows without a doc_id are kept as rows
+of their own; repeated rows share their fate (near-duplicates keeps one row of a doc_id); a null source is a
+source of its own; ties go to the smaller doc_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partita.llm import mixing, near_dedup, packing, pii, quality_classifier
-from partita.llm.common import table, written
+from partita.llm.common import discard, table, written
 from partita.llm.queries import tokenizer_path
 
 
@@ -49,12 +54,14 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The stages fit and apply models, which SQL can't express. The operators have tests; the chain itself has none.
+#: The stages fit and apply models, which SQL can't express; tests hold each stage and the chain against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
+        before = docs
     return docs
