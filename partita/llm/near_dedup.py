@@ -5,7 +5,8 @@ branch into tree nodes by selected minwise tokens: in each of TREES independent
 members by BRANCHES of their minwise values. Nodes of up to SMALL members are compared exhaustively:
 first on sketches, then, for members with some promising partner, on the full sets. Larger nodes branch
 again, unless a branch keeps most of their members together or DEPTH is reached; those are compared block
-by block, so no partner is ever dropped; members of a node's largest component meet the others alone. Before that, each vertex is tried with its most likely partner;
+by block, so no partner is ever dropped; members of a node's largest component meet the others alone,
+and first a few looks at random parts join what is alike throughout the node. Before that, each vertex is tried with its most likely partner;
 a node whose members are all of one component says nothing new and is left, and only members of
 different components are compared, which is what keeps large groups of copies cheap.
 
@@ -40,6 +41,8 @@ SMALL = 256
 DENSE = 0.5
 DEPTH = 7
 BLOCK = 512
+#: Times that a dense node is dealt into random parts before its blocks meet.
+LOOKS = 2
 #: Ids (8 bytes each) that are sent to every task at most.
 BROADCAST = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -301,6 +304,12 @@ def _blocks(level: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), F.col("path").alias("node"), "id", "label")
 
 
+def _dealt(level: DataFrame, look: int) -> DataFrame:
+    """Large nodes dealt at random into parts of about BLOCK members, anew for each look."""
+    part = F.pmod(F.xxhash64("id", F.lit(look)), F.ceil(F.col("n") / BLOCK))
+    return level.select(F.xxhash64("path", F.lit(look), part).alias("path"), F.col("path").alias("node"), "id", "label", F.array("path").alias("nodes"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
 
@@ -368,6 +377,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = rows.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), "sketch").where("size > 0")
     sketches = written(sketches.join(ids, "id", "left_semi").dropDuplicates(), "members")
     pairs = written(_best_partners(_with_nodes(_compact(first)).join(sketches, "id")), "pairs")
+
+    def found(now: DataFrame, top: bool) -> DataFrame:
+        """The links within the parts of ``now``, confirmed on the full sets of those that look alike; written."""
+        members = written(now.join(_promising(now.join(sketches, "id"), top), ["path", "id"]), "promising")
+        sets = _sets_of(docs, members.select("id"), repeated)
+        links = written(_links(members.join(sketches, "id").join(sets, "id"), top), "links")
+        discard(members)
+        return links
+
     labels = None
     if not pairs.isEmpty():
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
@@ -384,16 +402,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 sizes = kids.groupBy("parent", "branch", "path").agg(F.count("*").alias("m")).groupBy(F.col("parent").alias("path")).agg(F.max("m").alias("m"), F.sum("m").alias("rows"))
                 sizes = written(sizes, "branches")
                 large = written(spread_join(wide, sizes, ["path"], "rows").withColumn("dense", (F.col("m") > DENSE * F.col("n")) | F.lit(depth == DEPTH)), "large")
-                now = now.unionByName(_blocks(large.where("dense")))
+                dense = large.where("dense").select("path", "id", "label", "n")
+                # Looks at random parts join what is alike throughout, so that few members are left to meet all others.
+                for look in range(LOOKS):
+                    if dense.isEmpty():
+                        break
+                    links = found(_dealt(dense, look), False)
+                    labels = _merged(labels, links)
+                    dense = _labelled(dense.select("path", "id"), labels)
+                    discard(links)
+                now = now.unionByName(_blocks(dense))
                 parents = large.where("not dense").select(F.col("path").alias("parent")).distinct()
                 nodes = kids.join(parents, "parent", "left_semi").select("path", "id").distinct()
-            now = _with_nodes(now)
-            members = written(now.join(_promising(now.join(sketches, "id"), depth == 0), ["path", "id"]), "promising")
-            sets = _sets_of(docs, members.select("id"), repeated)
-            links = written(_links(members.join(sketches, "id").join(sets, "id"), depth == 0), "links")
+            links = found(_with_nodes(now), depth == 0)
             labels = _merged(labels, links)
             nodes = None if nodes is None else written(nodes, "nodes")
-            discard(level, kids, large, members, links)
+            discard(level, kids, large, links)
             if nodes is None:
                 break
     out = rows.select("doc_id", "n_shingles", "k1", "k2").join(keys, ["n_shingles", "k1", "k2"], "left")
