@@ -6,7 +6,7 @@ members by BRANCHES of their minwise values. Nodes of up to SMALL members are co
 first on sketches, then, for members with some promising partner, on the full sets. Larger nodes branch
 again, unless a branch keeps most of their members together or DEPTH is reached; those are compared block
 by block, so no partner is ever dropped; members of a node's largest component meet the others alone,
-and first a few looks at random parts join what is alike throughout the node. Before that, each vertex is tried with its most likely partner;
+and before that a look at random parts joins what is alike throughout a large node. Before that, each vertex is tried with its most likely partner;
 a node whose members are all of one component says nothing new and is left, and only members of
 different components are compared, which is what keeps large groups of copies cheap.
 
@@ -41,8 +41,6 @@ SMALL = 256
 DENSE = 0.5
 DEPTH = 7
 BLOCK = 512
-#: Times that a dense node is dealt into random parts before its blocks meet.
-LOOKS = 2
 #: Ids (8 bytes each) that are sent to every task at most.
 BROADCAST = 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -304,10 +302,10 @@ def _blocks(level: DataFrame) -> DataFrame:
     return both.select(F.xxhash64("path", F.least("i", "j"), F.greatest("i", "j")).alias("path"), F.col("path").alias("node"), "id", "label")
 
 
-def _dealt(level: DataFrame, look: int) -> DataFrame:
-    """Large nodes dealt at random into parts of about BLOCK members, anew for each look."""
-    part = F.pmod(F.xxhash64("id", F.lit(look)), F.ceil(F.col("n") / BLOCK))
-    return level.select(F.xxhash64("path", F.lit(look), part).alias("path"), F.col("path").alias("node"), "id", "label", F.array("path").alias("nodes"))
+def _dealt(level: DataFrame) -> DataFrame:
+    """Large nodes dealt at random into parts of about BLOCK members, in another way than _compact deals them."""
+    part = F.pmod(F.xxhash64(F.lit("again"), "id"), F.ceil(F.col("n") / BLOCK))
+    return level.select(F.xxhash64("path", F.lit("again"), part).alias("path"), F.col("path").alias("node"), "id", "label", F.array("path").alias("nodes"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -390,6 +388,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not pairs.isEmpty():
         asked = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         labels = _merged(labels, written(_confirmed(pairs, written(_sets_of(docs, asked, repeated), "sets")), "links"))
+        # Parts of large nodes were looked at alone so far. A look at parts that are dealt anew joins what is
+        # alike throughout a node, so that few members are left to meet all others.
+        wide = _labelled(nodes, labels)
+        large = wide.where(F.col("n") > SMALL)
+        if not large.isEmpty():
+            links = found(_dealt(large), False)
+            labels = _merged(labels, links)
+            discard(links)
+        discard(wide)
         for depth in range(DEPTH + 1):
             level, kids, large = _labelled(nodes, labels), None, None
             if level.isEmpty():
@@ -402,16 +409,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                 sizes = kids.groupBy("parent", "branch", "path").agg(F.count("*").alias("m")).groupBy(F.col("parent").alias("path")).agg(F.max("m").alias("m"), F.sum("m").alias("rows"))
                 sizes = written(sizes, "branches")
                 large = written(spread_join(wide, sizes, ["path"], "rows").withColumn("dense", (F.col("m") > DENSE * F.col("n")) | F.lit(depth == DEPTH)), "large")
-                dense = large.where("dense").select("path", "id", "label", "n")
-                # Looks at random parts join what is alike throughout, so that few members are left to meet all others.
-                for look in range(LOOKS):
-                    if dense.isEmpty():
-                        break
-                    links = found(_dealt(dense, look), False)
-                    labels = _merged(labels, links)
-                    dense = _labelled(dense.select("path", "id"), labels)
-                    discard(links)
-                now = now.unionByName(_blocks(dense))
+                now = now.unionByName(_blocks(large.where("dense")))
                 parents = large.where("not dense").select(F.col("path").alias("parent")).distinct()
                 nodes = kids.join(parents, "parent", "left_semi").select("path", "id").distinct()
             links = found(_with_nodes(now), depth == 0)
