@@ -62,3 +62,38 @@ def at_playhead(midi: Column, beat: Column) -> list[Column]:
 
 def tempo_clamped(tempo: Column) -> Column:
     return F.least(F.lit(220), F.greatest(F.lit(30), tempo))
+
+
+# The colours of keys at rest (black, white), played by the learner (left, right), and played
+# by the application (left, right; on black keys, on white keys).
+REST = ("#1b2029", "#e9ecf1")
+YOURS = ("#38bdf8", "#7dd3fc")
+PLAYED_BLACK = ("#b07a12", "#fcd34d")
+PLAYED_WHITE = ("#d99a1f", "#fbbf24")
+
+
+def key_tint(black: Column, hand: Column, yours: Column) -> Column:
+    """A key's colour; ``hand`` is null where nothing holds it down."""
+    by_hand = lambda pair: F.when(hand == "right", pair[1]).otherwise(pair[0])
+    at_rest = F.when(black, REST[0]).otherwise(REST[1])
+    return F.when(hand.isNull(), at_rest).when(yours, by_hand(YOURS)).when(black, by_hand(PLAYED_BLACK)).otherwise(by_hand(PLAYED_WHITE))
+
+
+def roll_bounds(notes: DataFrame, pages: DataFrame) -> DataFrame:
+    """``pages`` with low and high: two keys beyond the notes on each side, on the piano; 48 to 72 without notes."""
+    own = notes.groupBy("page_id").agg(F.min("midi").alias("__low"), F.max("midi").alias("__high"))
+    low, high = F.greatest(F.lit(21), F.col("__low") - 2), F.least(F.lit(108), F.col("__high") + 2)
+    both = {"low": F.when(F.col("__low").isNull(), 48).otherwise(low), "high": F.when(F.col("__high").isNull(), 72).otherwise(high)}
+    return pages.join(own, "page_id", "left").withColumns(both).drop("__low", "__high")
+
+
+def beat_grid(pages: DataFrame, length: Column, beats: Column) -> DataFrame:
+    """page_id, beat, bar: a line on each beat to the end of the bar behind the last one, and whether it is a bar line."""
+    last = ((F.ceil(length / beats) + 1) * beats).cast("long")
+    lines = pages.select("page_id", beats.alias("__beats"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("beat"))
+    return lines.select("page_id", "beat", (F.pmod(F.col("beat"), F.col("__beats")) == 0).alias("bar"))
+
+
+def library_list(pieces: DataFrame) -> DataFrame:
+    """owner, place, title, label, saved: what a list of saved pieces shows."""
+    return pieces.select("owner", "place", "title", F.concat(F.col("notes").cast("string"), F.lit(" notes")).alias("label"), F.to_date(F.timestamp_millis("created_at")).cast("string").alias("saved"))

@@ -67,3 +67,15 @@ def looped(notes: DataFrame, loop_start: Column, loop_end: Column, times: int) -
 
 def position(origin_beat: Column, elapsed: Column, tempo: Column) -> Column:
     return origin_beat + elapsed * tempo / 60
+
+
+def beats_of(notes: DataFrame, step: float = 0.5) -> DataFrame:
+    """page_id, beat: a grid over each page up to the end of its last note."""
+    ends = notes.groupBy("page_id").agg(F.ceil(F.max(F.col("start") + F.col("duration")) / step).alias("__n"))
+    return ends.select("page_id", F.explode(F.sequence(F.lit(0), F.col("__n"))).alias("__i")).select("page_id", (F.col("__i") * step).alias("beat"))
+
+
+def stops_at(notes: DataFrame, tempo: Column, start: Column, origin: float = 0.06) -> DataFrame:
+    """page_id, at: playing ends when the last note has rung for 0.35 s (``tempo`` is a column of ``notes``)."""
+    end = F.max(origin + (F.col("start") + F.col("duration") - start) * 60 / tempo)
+    return notes.groupBy("page_id").agg((end + 0.35).alias("at"))

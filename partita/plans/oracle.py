@@ -174,7 +174,7 @@ ORACLE = {
       CASE WHEN event_id % 6 = 1 THEN NULL ELSE diatonic END AS diatonic, CASE WHEN event_id % 6 = 1 THEN NULL ELSE explicit_alter END AS explicit_alter,
       CASE WHEN event_id % 6 = 1 THEN 1.0 ELSE confidence END AS confidence) FROM p)""",
     "score_rekey": f"""WITH {NOTE}, p AS ({PLAIN}) {EDIT} (SELECT p.* REPLACE (CASE WHEN diatonic IS NOT NULL AND explicit_alter IS NULL THEN {pitch('diatonic', altered('fifths', '(diatonic % 7)'))} ELSE midi END AS midi) FROM p JOIN score USING (page_id))""",
-    "pitch_range": f"""WITH {NOTE}, r AS (SELECT page_id, min(midi) AS lo, max(midi) AS hi FROM note WHERE emit_seq % 30 < 2 AND event_id % 3 = 0 GROUP BY page_id)
+    "pitch_range": f"""WITH {NOTE}, r AS (SELECT page_id, min(midi) AS lo, max(midi) AS hi FROM note GROUP BY page_id)
       SELECT c_custkey AS page_id, (CASE WHEN lo IS NULL THEN 48 ELSE greatest(21, floor(lo - greatest(0, 24 - (hi - lo)) / 2.0 - 2 + 0.5)) END)::BIGINT AS low,
         (CASE WHEN lo IS NULL THEN 84 ELSE least(108, floor(hi + greatest(0, 24 - (hi - lo)) / 2.0 + 2 + 0.5)) END)::BIGINT AS high FROM customer LEFT JOIN r ON page_id = c_custkey""",
     "library_upsert": """WITH p AS (SELECT o_custkey AS owner, 'p' || o_orderkey AS id, 'T' || o_orderkey AS title, epoch_ms(o_orderdate) AS created_at, o_orderkey % 90 AS notes FROM orders),
@@ -187,9 +187,9 @@ ORACLE = {
     "midi_vlq": f"""WITH v AS (SELECT event_id, event_id * 7919 % 2500000 AS value FROM events) SELECT event_id, value, {vlq('value')} AS hex FROM v""",
     "midi_file": f"""WITH {MIDI}, t AS (SELECT page_id, string_agg({vlq('delta')} || data, '' ORDER BY tick, seq) || '00FF2F00' AS track FROM midi1 GROUP BY page_id)
       SELECT page_id, '4D546864000000060000000101E04D54726B' || printf('%08X', length(track) // 2) || track AS hex FROM t""",
-    "sounding_at": f"""WITH {NOTE}, b AS (SELECT page_id, x AS beat FROM score, range(0, 40) r(x) UNION ALL SELECT page_id, x + 0.5 FROM score, range(0, 40) r(x))
+    "sounding_at": f"""WITH {NOTE}, b AS (SELECT page_id, unnest(range(0, ceil(max(start + duration) * 2)::BIGINT + 1)) * 0.5 AS beat FROM note GROUP BY page_id)
       SELECT page_id, beat::DOUBLE AS beat, id, midi::BIGINT AS midi FROM b JOIN note USING (page_id) WHERE beat >= start - 1e-6 AND beat < start + duration""",
-    "sounding_changes": f"""WITH {NOTE}, b AS (SELECT page_id, x * 0.5 AS beat FROM score, range(0, 80) r(x)),
+    "sounding_changes": f"""WITH {NOTE}, b AS (SELECT page_id, unnest(range(0, ceil(max(start + duration) * 2)::BIGINT + 1)) * 0.5 AS beat FROM note GROUP BY page_id),
       s AS (SELECT page_id, beat, string_agg(DISTINCT midi, ',' ORDER BY midi) AS keys FROM b JOIN note USING (page_id) WHERE beat >= start - 1e-6 AND beat < start + duration GROUP BY page_id, beat)
       SELECT page_id, beat::DOUBLE AS beat, keys FROM s QUALIFY keys IS DISTINCT FROM lag(keys) OVER (PARTITION BY page_id ORDER BY beat)""",
     "hit_test": f"""WITH {NOTE}, c AS (SELECT page_id, event_id AS click_id, midi, start + event_id % 5 - 1 AS beat FROM note),
@@ -206,11 +206,36 @@ ORACLE = {
         CASE hand WHEN 'left' THEN 0.62 ELSE 0.78 END AS v FROM note, range(1, 8) r(k))
       SELECT id, n, round(hz, 4) AS hz, round(v * pow(n, -1.6) * CASE WHEN n = 1 THEN 1 ELSE bright END / 1.6, 6) AS level,
         round((1.2 + 26 * pow(2, -(midi - 21) / 16.0)) / pow(n, 0.62), 6) AS decay, round(CASE WHEN n = 1 THEN 0 WHEN n % 2 = 1 THEN 1.5 * bright ELSE -1.5 * bright END, 6) AS cents FROM b WHERE hz <= 44100 / 2.2""",
-    "keyboard_layout": f"""WITH {NOTE}, r AS (SELECT page_id, min(midi) AS lo, max(midi) AS hi FROM note WHERE emit_seq < 6 GROUP BY page_id),
+    "keyboard_layout": f"""WITH {NOTE}, r AS (SELECT page_id, min(midi) AS lo, max(midi) AS hi FROM note GROUP BY page_id),
       w AS (SELECT page_id, CASE WHEN lo % 12 IN (1, 3, 6, 8, 10) AND lo > 21 THEN lo - 1 ELSE lo END AS lo, CASE WHEN hi % 12 IN (1, 3, 6, 8, 10) AND hi < 108 THEN hi + 1 ELSE hi END AS hi FROM r),
       k AS (SELECT page_id, unnest(range(lo, hi + 1)) AS midi FROM w)
       SELECT page_id, midi::BIGINT AS midi, midi % 12 IN (1, 3, 6, 8, 10) AS black, (coalesce(sum((midi % 12 NOT IN (1, 3, 6, 8, 10))::INT) OVER (PARTITION BY page_id ORDER BY midi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 100
         - CASE WHEN midi % 12 IN (1, 3, 6, 8, 10) THEN 30 ELSE 0 END)::DOUBLE AS x FROM k""",
+    # The same fixed values as in operators.display.
+    "key_tints": f"""WITH {NOTE}, k AS (SELECT *, midi % 12 IN (1, 3, 6, 8, 10) AS black FROM note)
+      SELECT page_id, id, CASE WHEN event_id % 7 = 0 THEN CASE WHEN black THEN '#1b2029' ELSE '#e9ecf1' END
+        WHEN event_id % 3 = 0 THEN CASE hand WHEN 'right' THEN '#7dd3fc' ELSE '#38bdf8' END
+        WHEN black THEN CASE hand WHEN 'right' THEN '#fcd34d' ELSE '#b07a12' END
+        ELSE CASE hand WHEN 'right' THEN '#fbbf24' ELSE '#d99a1f' END END AS tint FROM k""",
+    "roll_bounds": f"""WITH {NOTE}, r AS (SELECT page_id, min(midi) AS lo, max(midi) AS hi FROM note GROUP BY page_id)
+      SELECT c_custkey AS page_id, (CASE WHEN lo IS NULL THEN 48 ELSE greatest(21, lo - 2) END)::BIGINT AS low, (CASE WHEN hi IS NULL THEN 72 ELSE least(108, hi + 2) END)::BIGINT AS high
+      FROM customer LEFT JOIN r ON page_id = c_custkey""",
+    "beat_grid": f"""WITH {NOTE}, e AS (SELECT page_id, max(start + duration) AS length, 3 + page_id % 2 AS beats FROM note GROUP BY page_id),
+      g AS (SELECT page_id, beats, unnest(range(0, (ceil(length / beats)::BIGINT + 1) * beats + 1)) AS beat FROM e)
+      SELECT page_id, beat::BIGINT AS beat, beat % beats = 0 AS bar FROM g""",
+    "library_list": """WITH p AS (SELECT o_custkey AS owner, 'p' || o_orderkey AS id, 'T' || o_orderkey AS title, epoch_ms(o_orderdate) AS created_at, o_orderkey % 90 AS notes FROM orders)
+      SELECT owner, (row_number() OVER w - 1)::BIGINT AS place, title, notes || ' notes' AS label, strftime(make_timestamp(created_at * 1000), '%Y-%m-%d') AS saved FROM p
+      WINDOW w AS (PARTITION BY owner ORDER BY created_at DESC, id) QUALIFY row_number() OVER w <= 24""",
+    "library_quota": """WITH p AS (SELECT o_custkey AS owner, 'p' || o_orderkey AS id, epoch_ms(o_orderdate) AS created_at FROM orders),
+      k AS (SELECT owner, id, row_number() OVER w - 1 AS place FROM p WINDOW w AS (PARTITION BY owner ORDER BY created_at DESC, id) QUALIFY row_number() OVER w <= 24)
+      SELECT owner, id, place::BIGINT AS place FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM k) WHERE owner % 3 <> 0 OR place < greatest(1, n // 2)""",
+    "strikes": f"""WITH {NOTE}, s AS (SELECT id, midi, start * 60 / tempo AS t, duration / 100 AS held, CASE hand WHEN 'left' THEN 0.62 ELSE 0.78 END AS v,
+        least(1, greatest(0.25, 1.1 - (midi - 21) / 120.0)) AS bright FROM note JOIN score USING (page_id))
+      SELECT id, round(t + 0.004, 5) AS attack_until, round(greatest(t + held, t + 0.03), 5) AS release_at, 0.08::DOUBLE AS release, round(t + 1.2 + 26 * pow(2, -(midi - 21) / 16.0) + 0.4, 5) AS stop_at,
+        round(least(4 * 440 * pow(2, (midi - 69) / 12.0), 5200), 5) AS hammer_hz, round(v * 0.09 * bright, 9)::DOUBLE AS hammer_level, round(t + 0.07, 5) AS hammer_until FROM s""",
+    "click_sounds": f"""WITH {NOTE}, c AS (SELECT page_id, tempo, unnest(range(2, measures * 4)) AS n FROM score)
+      SELECT page_id, n::BIGINT AS n, CASE WHEN n % 4 = 0 THEN 1600 ELSE 1100 END::BIGINT AS hz, CASE WHEN n % 4 = 0 THEN 0.13 ELSE 0.07 END::DOUBLE AS level, round(0.06 + (n - 1.5) * (60 / tempo) + 0.045, 6)::DOUBLE AS "until" FROM c""",
+    "playing_ends": f"""WITH {NOTE} SELECT page_id, round(max(0.06 + (start + duration - 1.5) * 60 / tempo) + 0.35, 6)::DOUBLE AS at FROM note JOIN score USING (page_id) GROUP BY page_id""",
     "roll_view": f"""WITH {NOTE} SELECT page_id, id, start <= 12.5 AND 12.5 < start + duration AS live, confidence > 0 AND confidence < 0.8 AS unsure FROM note WHERE start + duration >= 8 AND start <= 24""",
     "transport_labels": f"""WITH {NOTE} SELECT page_id, id, floor(tempo * (50 + event_id % 100) / 100.0 + 0.5)::BIGINT AS tempo, least(floor(start / 4) + 1, measures)::BIGINT AS bar, floor(start * 4 + 0.5) / 4 AS snapped,
       CASE WHEN midi < 60 THEN 'left' ELSE 'right' END AS hand, least(220, greatest(30, tempo * (event_id % 5)))::BIGINT AS clamped, 'piece-no-' || page_id || '-draft-.mid' AS file FROM note JOIN score USING (page_id)""",

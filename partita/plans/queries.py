@@ -209,8 +209,7 @@ def score_rekey(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pitch_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
-    some = views.notes(spark, sf_dir).where((F.col("emit_seq") % 30 < 2) & (event_number() % 3 == 0))
-    return longs(score.pitch_range(some, pages), "low", "high")
+    return longs(score.pitch_range(views.notes(spark, sf_dir), pages), "low", "high")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,19 +269,16 @@ def midi_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return midi.files(_midi_events(spark, sf_dir)).select("page_id", F.hex("bytes").alias("hex"))
 
 
-def _beats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every half beat of the first forty of each page."""
-    return views.scores(spark, sf_dir).select("page_id", F.explode(F.sequence(F.lit(0), F.lit(79))).alias("i")).select("page_id", (F.col("i") * 0.5).alias("beat"))
-
-
 @query
 def sounding_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(transport.sounding_at(views.notes(spark, sf_dir), _beats(spark, sf_dir)).select("page_id", "beat", "id", "midi"), "midi")
+    notes = views.notes(spark, sf_dir)
+    return longs(transport.sounding_at(notes, transport.beats_of(notes)).select("page_id", "beat", "id", "midi"), "midi")
 
 
 @query
 def sounding_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.sounding_changes(transport.sounding_at(views.notes(spark, sf_dir), _beats(spark, sf_dir)))
+    notes = views.notes(spark, sf_dir)
+    return transport.sounding_changes(transport.sounding_at(notes, transport.beats_of(notes)))
 
 
 @query
@@ -326,10 +322,62 @@ def partials(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def keyboard_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranges = views.notes(spark, sf_dir).where("emit_seq < 6").groupBy("page_id").agg(F.min("midi").alias("low"), F.max("midi").alias("high"))
+    ranges = views.notes(spark, sf_dir).groupBy("page_id").agg(F.min("midi").alias("low"), F.max("midi").alias("high"))
     return longs(display.keyboard(ranges), "midi")
 
 
+@query
+def key_tints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.when(event_number() % 7 != 0, F.col("hand"))
+    black = music.is_black(F.col("midi"))
+    return views.notes(spark, sf_dir).select("page_id", "id", display.key_tint(black, held, event_number() % 3 == 0).alias("tint"))
+
+
+@query
+def roll_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
+    return longs(display.roll_bounds(views.notes(spark, sf_dir), pages), "low", "high")
+
+
+@query
+def beat_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.notes(spark, sf_dir).groupBy("page_id").agg(F.max(F.col("start") + F.col("duration")).alias("length"))
+    return display.beat_grid(pages, F.col("length"), 3 + F.col("page_id") % 2)
+
+
+@query
+def library_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return longs(display.library_list(library.limited(_pieces(spark, sf_dir))), "place")
+
+
+@query
+def library_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = library.within_quota(_pieces(spark, sf_dir), F.col("owner") % 3 == 0)
+    return longs(kept.select("owner", "id", "place"), "place")
+
+
+@query
+def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = views.notes(spark, sf_dir).join(views.scores(spark, sf_dir).select("page_id", "tempo"), "page_id")
+    when = F.col("start") * 60 / F.col("tempo")
+    found = synthesis.strikes(notes, when, when + F.col("duration") / 100, F.when(F.col("hand") == "left", 0.62).otherwise(0.78))
+    names = ["attack_until", "release_at", "release", "stop_at", "hammer_hz", "hammer_level", "hammer_until"]
+    return rounded(found.select("id", *names), **(dict.fromkeys(names, 5) | {"hammer_level": 9}))
+
+
+@query
+def click_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = views.scores(spark, sf_dir).withColumn("end", (F.col("measures") * 4).cast("double"))
+    clicks = transport.clicks(pages, F.col("tempo"), F.lit(1.5), F.col("end"), F.lit(4), F.lit(0))
+    return longs(rounded(synthesis.click_sounds(clicks).select("page_id", "n", "hz", "level", "until"), until=6), "n", "hz")
+
+
+@query
+def playing_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = views.notes(spark, sf_dir).join(views.scores(spark, sf_dir).select("page_id", "tempo"), "page_id")
+    return rounded(transport.stops_at(notes, F.col("tempo"), F.lit(1.5)), at=6)
+
+
 @query
 def roll_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return display.roll(views.notes(spark, sf_dir), F.lit(8.0), F.lit(24.0), F.lit(12.5)).select("page_id", "id", "live", "unsure")

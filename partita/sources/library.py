@@ -27,13 +27,21 @@ def upsert(pieces: DataFrame, saved: DataFrame, most: int = LIMIT) -> DataFrame:
     return limited(pieces.join(saved, ["owner", "id"], "left_anti").unionByName(saved), most)
 
 
+def within_quota(pieces: DataFrame, full: Column, most: int = LIMIT) -> DataFrame:
+    """The newest pieces of each owner: of one whose store is ``full`` only the newer half of them, one at least."""
+    owners = Window.partitionBy("owner")
+    kept = limited(pieces, most).withColumn("__n", F.count("*").over(owners))
+    half = F.greatest(F.lit(1), F.floor(F.col("__n") / 2))
+    return kept.where(~full | (F.col("place") < half)).drop("__n")
+
+
 def delete(pieces: DataFrame, ids: DataFrame) -> DataFrame:
     """Pieces without the given (owner, id)."""
     return pieces.join(ids, ["owner", "id"], "left_anti")
 
 
 def over_quota(most: int) -> int:
-    """How many pieces are kept when the store is full: the newer half, one at least."""
+    """How many of ``most`` pieces are kept when the store is full: the newer half, one at least."""
     return max(1, most // 2)
 
 
