@@ -102,6 +102,14 @@ HRUN = """
 hrun AS (
   SELECT page_id, y, min(x) AS f, max(x) AS t FROM (
     SELECT *, x - row_number() OVER (PARTITION BY page_id, y ORDER BY x) AS island FROM pixel WHERE ink = 1) GROUP BY page_id, y, island)"""
+SYMBOL = HRUN + """,
+touch AS (SELECT a.page_id, a.y * 40 + a.f AS a, b.y * 40 + b.f AS b FROM hrun a JOIN hrun b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.f <= b.t + 1 AND b.f <= a.t + 1),
+reach AS (SELECT page_id, y * 40 + f AS a, y * 40 + f AS b FROM hrun UNION SELECT reach.page_id, reach.a, touch.b FROM reach JOIN touch ON touch.page_id = reach.page_id AND touch.a = reach.b),
+root AS (SELECT page_id, a, min(b) AS first FROM reach GROUP BY page_id, a),
+symbol AS (
+  SELECT page_id, first, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS blob_id, min(f) AS x0, min(y) AS y0, max(t) AS x1, max(y) AS y1, sum(t - f + 1) AS area
+  FROM hrun JOIN root USING (page_id) WHERE root.a = y * 40 + f GROUP BY page_id, first),
+own AS (SELECT hrun.page_id, blob_id, unnest(range(f, t + 1)) AS x, y FROM hrun JOIN root ON root.page_id = hrun.page_id AND root.a = y * 40 + f JOIN symbol ON symbol.page_id = hrun.page_id AND symbol.first = root.first)"""
 BAND = SCALE + """,
 thin AS (
   SELECT pixel.page_id, pixel.x, pixel.y, runs.n, th FROM pixel JOIN runs ON runs.page_id = pixel.page_id AND runs.x = pixel.x AND pixel.y BETWEEN f AND t AND runs.ink = 1
@@ -255,13 +263,64 @@ ORACLE = {
       c AS (SELECT page_id, angle, pow(n - lag(n) OVER (PARTITION BY page_id, angle ORDER BY y), 2) AS v FROM d)
       SELECT page_id, angle::DOUBLE AS angle, sum(v)::DOUBLE AS score FROM c GROUP BY page_id, angle QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY sum(v) DESC, angle) = 1""",
     "line_bands": f"WITH {PIXEL}, {BAND} SELECT page_id, round(center, 6) AS center, thickness::BIGINT AS thickness, round(ink, 6) AS ink, l::BIGINT AS \"left\", r::BIGINT AS \"right\" FROM band",
-    "components": f"""WITH RECURSIVE {PIXEL}, {HRUN}, e AS (SELECT a.page_id, a.y * 40 + a.f AS a, b.y * 40 + b.f AS b, a.y AS ya FROM hrun a JOIN hrun b ON a.page_id = b.page_id AND abs(a.y - b.y) = 1 AND a.f <= b.t + 1 AND b.f <= a.t + 1),
-      reach AS (SELECT page_id, y * 40 + f AS a, y * 40 + f AS b FROM hrun UNION SELECT reach.page_id, reach.a, e.b FROM reach JOIN e ON e.page_id = reach.page_id AND e.a = reach.b),
-      l AS (SELECT page_id, a, min(b) AS first FROM reach GROUP BY page_id, a)
-      SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY first) - 1 AS blob_id, min(f)::BIGINT AS x0, min(y)::BIGINT AS y0, max(t)::BIGINT AS x1, max(y)::BIGINT AS y1, sum(t - f + 1)::BIGINT AS area
-      FROM hrun JOIN l USING (page_id) WHERE l.a = y * 40 + f GROUP BY page_id, first""",
 }
-ORACLE["connected_symbols"] = ORACLE.pop("components")
+ORACLE["connected_symbols"] = f"""WITH RECURSIVE {PIXEL}, {SYMBOL} SELECT page_id, blob_id, x0::BIGINT AS x0, y0::BIGINT AS y0, x1::BIGINT AS x1, y1::BIGINT AS y1, area::BIGINT AS area FROM symbol"""
+ORACLE["symbol_masks"] = f"""WITH RECURSIVE {PIXEL}, {SYMBOL},
+  grid AS (SELECT page_id, blob_id, x0, y0, gx, unnest(range(y1 - y0 + 1)) AS gy FROM (SELECT *, unnest(range(x1 - x0 + 1)) AS gx FROM symbol)),
+  across AS (SELECT grid.page_id, grid.blob_id, gx, gy, count(o.x) OVER (PARTITION BY grid.page_id, grid.blob_id, gy ORDER BY gx) AS n
+    FROM grid LEFT JOIN own o ON o.page_id = grid.page_id AND o.blob_id = grid.blob_id AND o.x = x0 + gx AND o.y = y0 + gy)
+  SELECT page_id, blob_id, gx::BIGINT AS x, gy::BIGINT AS y, (sum(n) OVER (PARTITION BY page_id, blob_id, gx ORDER BY gy))::BIGINT AS total FROM across"""
+# A staff space of 6 pixels: outer windows are 6 x 4, inner 3 x 2, side columns 1 x 3, rims 1 x 2.
+ORACLE["head_search"] = f"""WITH RECURSIVE {PIXEL}, {SYMBOL},
+  centre AS (SELECT page_id, blob_id, px, unnest(range(y0 + 2, y1 - 1)) AS py FROM (SELECT *, unnest(range(x0 + 3, x1 - 2)) AS px FROM symbol)),
+  ring AS (SELECT c.page_id, c.blob_id, px, py, count(*) AS outside, count(*) FILTER (o.x BETWEEN px - 1 AND px + 1 AND o.y BETWEEN py - 1 AND py) AS inside
+    FROM centre c JOIN own o ON o.page_id = c.page_id AND o.blob_id = c.blob_id AND o.x BETWEEN px - 3 AND px + 2 AND o.y BETWEEN py - 2 AND py + 1 GROUP BY ALL),
+  found AS (SELECT page_id, blob_id, px, py, (outside - inside) / 18 AS score, inside / 6 > 0.6 AS filled FROM ring WHERE (outside - inside) / 18 >= 0.72),
+  side AS (SELECT page_id, blob_id, px, py, s, d FROM found, (VALUES (-1), (1)) a(s), range(1, 15) b(d)),
+  step AS (SELECT side.page_id, side.blob_id, px, py, s, d, count(o.x) AS n FROM side LEFT JOIN own o ON o.page_id = side.page_id AND o.blob_id = side.blob_id AND o.x = px + s * d AND o.y BETWEEN py - 1 AND py + 1 GROUP BY ALL),
+  stop AS (SELECT page_id, blob_id, px, py, s, coalesce(min(d) FILTER (n / 3 < 0.6), 15) - 1 AS d FROM step GROUP BY ALL),
+  wide AS (SELECT page_id, blob_id, px, py, 1 + sum(d) BETWEEN 5.1 AND 12 AS wide FROM stop GROUP BY page_id, blob_id, px, py),
+  rim AS (SELECT found.page_id, found.blob_id, px, py, count(*) FILTER (o.x = px - 3) = 2 AND count(*) FILTER (o.x = px + 2) = 2 AS rim
+    FROM found LEFT JOIN own o ON o.page_id = found.page_id AND o.blob_id = found.blob_id AND o.y BETWEEN py - 1 AND py GROUP BY found.page_id, found.blob_id, px, py)
+  SELECT page_id, blob_id, px::BIGINT AS px, py::BIGINT AS py, round(score, 6) AS score, filled, CASE WHEN filled THEN wide ELSE rim END AS shaped
+  FROM found JOIN wide USING (page_id, blob_id, px, py) JOIN rim USING (page_id, blob_id, px, py)"""
+ORACLE["head_nms"] = f"""WITH RECURSIVE {BLOB}, h AS (SELECT page_id, cx, cy, 1 - beams / 10 AS score, filled, row_number() OVER (PARTITION BY page_id ORDER BY beams, cy, cx, filled) AS n FROM head),
+  walk AS (SELECT page_id, 0::BIGINT AS n, []::STRUCT(x DOUBLE, y DOUBLE)[] AS kept, false AS here FROM head GROUP BY page_id
+    UNION ALL SELECT page_id, n, CASE WHEN here THEN list_append(kept, {{'x': cx::DOUBLE, 'y': cy::DOUBLE}}) ELSE kept END, here FROM (
+      SELECT h.page_id, h.n, kept, cx, cy, filled AND len(list_filter(kept, lambda k: abs(k.x - cx) < 14 * 0.8 AND abs(k.y - cy) < 14 * 0.6)) = 0 AS here
+      FROM walk JOIN h ON h.page_id = walk.page_id AND h.n = walk.n + 1))
+  SELECT h.page_id, cx, cy, round(score, 6) AS score, len(kept) - 1 AS rank FROM walk JOIN h ON h.page_id = walk.page_id AND h.n = walk.n WHERE here"""
+ORACLE["header_end"] = f"""WITH RECURSIVE {BLOB}, clef AS ({ORACLE['clef_pick']}),
+  h AS (SELECT clef.page_id, clef.staff, x0, x1, height, row_number() OVER (PARTITION BY clef.page_id, clef.staff ORDER BY x0, blob_id) AS n
+    FROM clef JOIN blob ON blob.page_id = clef.page_id WHERE clef_blob IS NOT NULL AND x0 > clef_end AND x0 < 165.6),
+  walk AS (SELECT page_id, staff, 0::BIGINT AS n, clef_end AS reach FROM clef
+    UNION ALL SELECT h.page_id, h.staff, h.n, CASE WHEN height >= 14 * 1.2 THEN greatest(reach, x1) ELSE reach END
+    FROM walk JOIN h ON h.page_id = walk.page_id AND h.staff = walk.staff AND h.n = walk.n + 1 WHERE x0 - reach <= 14 * 1.1)
+  SELECT page_id, staff, round(CASE WHEN any_value(clef_blob) IS NULL THEN max(reach) ELSE least(max(reach) + 4.2, 165.6) END, 6)::DOUBLE AS header_end
+  FROM walk JOIN clef USING (page_id, staff) GROUP BY page_id, staff"""
+# A staff space of 2 pixels: stems stand 1 or 2 columns off the centre, 1 to 8 rows away, and bridge gaps of 2.
+ORACLE["stem_find"] = f"""WITH {PIXEL}, h AS (SELECT s_suppkey AS page_id, 8 + s_suppkey % 20 AS cx, 12 + s_suppkey * 7 % 20 AS cy FROM supplier),
+  w AS (SELECT *, 'up' AS stem, -1 AS step, cx + 1 AS xa, cx + 2 AS xb FROM h UNION ALL SELECT *, 'down', 1, cx - 2, cx FROM h),
+  best AS (SELECT w.page_id, stem, step, cy, x FROM w JOIN pixel p ON p.page_id = w.page_id AND ink = 1 AND x BETWEEN xa AND xb AND (y - cy) * step BETWEEN 1 AND 8
+    GROUP BY w.page_id, stem, step, cy, x HAVING count(*) >= 3.8 QUALIFY row_number() OVER (PARTITION BY w.page_id, stem ORDER BY count(*) DESC, x) = 1),
+  along AS (SELECT best.page_id, stem, (y - cy) * step AS d, (y - cy) * step - coalesce(lag((y - cy) * step) OVER v, -1) - 1 AS gap FROM best JOIN pixel p ON p.page_id = best.page_id AND p.x = best.x AND ink = 1 AND (y - cy) * step >= 0
+    WINDOW v AS (PARTITION BY best.page_id, stem ORDER BY (y - cy) * step)),
+  tip AS (SELECT page_id, stem, max(d) AS d FROM (SELECT *, max(gap) OVER (PARTITION BY page_id, stem ORDER BY d) AS worst FROM along) WHERE worst <= 2 GROUP BY ALL),
+  chosen AS (SELECT best.page_id, best.stem, x, cy + step * coalesce(d, 0) AS tip FROM best LEFT JOIN tip ON tip.page_id = best.page_id AND tip.stem = best.stem
+    QUALIFY row_number() OVER (PARTITION BY best.page_id ORDER BY coalesce(d, 0) DESC, step) = 1)
+  SELECT h.page_id, h.page_id AS head_id, stem, x::DOUBLE AS stem_x, tip::DOUBLE AS tip FROM h LEFT JOIN chosen ON chosen.page_id = h.page_id"""
+# A staff space of 4 pixels: beams are sought 1 to 4 columns beside the stem, from 1 row behind its tip to 10 rows along it.
+ORACLE["beam_count"] = f"""WITH {PIXEL}, h AS (SELECT s_suppkey AS page_id, s_suppkey % 3 AS kind, 4 + s_suppkey % 20 AS stem_x, 10 + s_suppkey * 7 % 20 AS tip FROM supplier),
+  beside AS (SELECT h.page_id, s, y FROM h, (VALUES (1), (-1)) a(s), pixel p WHERE kind > 0 AND p.page_id = h.page_id AND ink = 1 AND (x - stem_x) * s BETWEEN 1 AND 4 AND (y - tip) * CASE kind WHEN 2 THEN 1 ELSE -1 END BETWEEN -1 AND 10),
+  side AS (SELECT page_id, s FROM beside GROUP BY page_id, s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY count(*) DESC, s DESC) = 1),
+  inked AS (SELECT page_id, y FROM beside JOIN side USING (page_id, s) GROUP BY ALL HAVING count(*) >= 2.2),
+  band AS (SELECT DISTINCT page_id, y - row_number() OVER (PARTITION BY page_id ORDER BY y) AS island FROM inked)
+  SELECT h.page_id, h.page_id AS head_id, least(4, count(island))::BIGINT AS beams FROM h LEFT JOIN band USING (page_id) GROUP BY h.page_id"""
+# A staff space of 12 pixels: points 8 to 22 columns right and up to 7 rows off; windows of 5 x 5 and 11 x 11.
+ORACLE["dot_find"] = f"""WITH {PIXEL}, point AS (SELECT s_suppkey AS page_id, 2 + s_suppkey % 16 + dx AS px, 12 + s_suppkey * 3 % 20 + dy AS py FROM supplier, range(8, 23) a(dx), range(-7, 8) b(dy)),
+  share AS (SELECT point.page_id, px, py, count(*) FILTER (abs(x - px) <= 2 AND abs(y - py) <= 2) / 25 AS small, count(*) / 121 AS large
+    FROM point JOIN pixel p ON p.page_id = point.page_id AND ink = 1 AND abs(x - px) <= 5 AND abs(y - py) <= 5 GROUP BY ALL)
+  SELECT DISTINCT page_id, page_id AS head_id FROM share WHERE small >= 0.75 AND large < 0.5"""
 ORACLE["barline_find"] = f"""WITH RECURSIVE {BLOB}, h AS (SELECT page_id, staff, x, row_number() OVER (PARTITION BY page_id, staff ORDER BY x) AS n
     FROM (SELECT blob.page_id, staff, cx AS x FROM blob JOIN staff ON staff.page_id = blob.page_id WHERE width <= 7 AND height >= 56 * 0.82 AND y0 <= top + 14 AND y1 >= bottom - 14 AND area / (width * height) >= 0.6)),
   walk AS (SELECT page_id, staff, n, x, x AS kept, true AS here FROM h WHERE n = 1

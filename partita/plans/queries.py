@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import music
 from ..operators import assembly, components, display, noteheads, pixels, score, staves, symbols, synthesis, transport
+from ..operators.tables import written
 from ..sources import library, midi, shorthand
 from . import views
 from .recognize import recognize
@@ -141,7 +142,7 @@ def clef_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def header_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, s = views.blobs(spark, sf_dir).drop("space"), views.staves(spark, sf_dir).withColumn("space", F.lit(views.SPACE))
-    return longs(symbols.header_ends(b, s, symbols.clefs(b, s)), "staff")
+    return longs(rounded(symbols.header_ends(b, s, symbols.clefs(b, s)), header_end=6), "staff")
 
 
 @query
@@ -492,7 +493,7 @@ def head_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = views.heads(spark, sf_dir)
     hits = h.select("page_id", F.lit(0).cast("long").alias("blob_id"), "cx", F.col("cy").cast("double").alias("cy"), "space", "filled", (1 - F.col("beams") / 10.0).alias("score"))
     found = noteheads.suppressed(hits.withColumn("shaped", F.col("filled")))
-    return longs(found.select("page_id", "cx", "cy", "score", "rank"), "rank")
+    return longs(rounded(found.select("page_id", "cx", "cy", "score", "rank"), score=6), "rank")
 
 
 @query
@@ -502,6 +503,44 @@ def stem_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doubles(noteheads.stems(heads, _ink(spark, sf_dir)), "stem_x", "tip")
 
 
+def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The symbols of every page and the summed-area tables of their own ink."""
+    runs = written(components.labelled_runs(_ink(spark, sf_dir), views.page_images(spark, sf_dir)), "labelled")
+    blobs = components.blobs(runs)
+    return blobs, components.mask_totals(components.symbol_ink(runs, blobs), blobs)
+
+
+@query
+def symbol_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, totals = _masks(spark, sf_dir)
+    return longs(totals, "blob_id", "x", "y", "total")
+
+
+@query
+def head_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every centre with an inked ring in every symbol of every page, and whether a head's shape is around it."""
+    blobs, totals = _masks(spark, sf_dir)
+    asked = blobs.withColumns({"space": F.lit(6.0), "y_min": F.lit(0.0), "y_max": F.lit(views.HEIGHT - 1.0)})
+    found = noteheads.shaped(noteheads.candidates(asked, totals), totals)
+    return longs(rounded(found.select("page_id", "blob_id", "px", "py", "score", "filled", "shaped"), score=6), "blob_id", "px", "py")
+
+
+@query
+def beam_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams beside a stem of either direction, or none, on every page."""
+    page = F.col("page_id")
+    stem = F.when(page % 3 == 1, "down").when(page % 3 == 2, "up")
+    tips = views.page_images(spark, sf_dir).select("page_id", page.alias("head_id"), F.lit(4.0).alias("space"), stem.alias("stem"), (4 + page % 20).alias("stem_x"), (10 + page * 7 % 20).alias("tip"))
+    return longs(noteheads.beams(tips, _ink(spark, sf_dir)), "beams")
+
+
+@query
+def dot_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page, pages = F.col("page_id"), views.page_images(spark, sf_dir)
+    heads = pages.select("page_id", page.alias("head_id"), (2.0 + page % 16).alias("cx"), (12 + page * 3 % 20).alias("cy"), F.lit(12.0).alias("space"))
+    return noteheads.dotted(heads, pixels.integral(_bitmap(spark, sf_dir), "ink"), pages)
+
+
 @query
 def recognize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every small page from pixels to timed notes."""
