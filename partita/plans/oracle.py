@@ -169,7 +169,7 @@ ORACLE = {
       SELECT staff.page_id, staff.staff::BIGINT AS staff, coalesce(CASE WHEN height > 70 THEN 'treble' WHEN height < 14 * 4.4 AND y0 < top + 21 THEN 'bass' END, CASE staff.staff WHEN 0 THEN 'treble' ELSE 'bass' END) AS clef,
         blob_id::DOUBLE AS clef_blob, coalesce(x1, l + 14)::DOUBLE AS clef_end FROM staff LEFT JOIN c ON c.page_id = staff.page_id AND c.staff = staff.staff""",
     "page_confidence": f"""WITH {NOTE}, c AS (SELECT page_id, count(*) AS n, avg(confidence) AS m FROM note GROUP BY page_id)
-      SELECT c_custkey AS page_id, coalesce(n, 0)::BIGINT AS n_notes, round(coalesce(least(1.0, m * CASE WHEN n >= 8 THEN 1 ELSE 0.7 END), 0), 6) AS confidence,
+      SELECT c_custkey AS page_id, coalesce(n, 0)::BIGINT AS n_notes, round(CASE WHEN n > 0 THEN least(1.0, m * CASE WHEN n >= 8 THEN 1 ELSE 0.7 END) ELSE 0 END, 6) AS confidence,
         coalesce(n, 0) || ' note' || CASE WHEN n = 1 THEN '' ELSE 's' END AS label FROM customer LEFT JOIN c ON page_id = c_custkey""",
     "score_normalize": f"""WITH {NOTE}, e AS (SELECT page_id, max(start + duration) AS e, min(start * 100000000 + midi * 100000 + emit_seq) AS f FROM note GROUP BY page_id)
       SELECT page_id, greatest(e, measures * 4)::DOUBLE AS length, id AS first_id, (SELECT count(*) FROM note n WHERE n.page_id = score.page_id)::BIGINT AS n_notes
@@ -343,3 +343,12 @@ ORACLE["line_erase"] = f"""WITH {PIXEL}, {BAND}, {HRUN}, staff AS (SELECT page_i
   gone AS (SELECT thin.page_id, x, thin.y FROM thin JOIN rows ON rows.page_id = thin.page_id AND rows.y = thin.y
     JOIN hrun ON hrun.page_id = thin.page_id AND hrun.y = thin.y AND x BETWEEN hrun.f AND hrun.t WHERE n <= th * 2 + 1 AND hrun.t - hrun.f + 1 >= space * 1.2)
   SELECT page_id, x::BIGINT AS x, y::BIGINT AS y FROM pixel ANTI JOIN gone USING (page_id, x, y) WHERE ink = 1"""
+# The messages' wording is fixed.
+ORACLE["page_results"] = f"""WITH {NOTE}, c AS (SELECT page_id, count(*) AS n, avg(confidence) AS m, max(start + duration) AS e FROM note GROUP BY page_id),
+  p AS (SELECT c_custkey AS page_id, coalesce(n, 0) AS n, m, e, c_custkey % 4 AS staves, 1 + c_custkey % 23 AS bars, c_custkey % 49 * 0.25 - 6 AS angle FROM customer LEFT JOIN c ON page_id = c_custkey)
+  SELECT page_id, (CASE WHEN staves = 0 THEN 0 ELSE n END)::BIGINT AS n_notes, staves::BIGINT AS n_staves, (CASE WHEN staves = 0 THEN 1 ELSE bars END)::BIGINT AS measures,
+    (CASE WHEN staves = 0 THEN 0 ELSE 4 * (bars - 1) END)::DOUBLE AS last, (CASE WHEN staves = 0 THEN 0 ELSE greatest(coalesce(e, 0), bars * 4) END)::DOUBLE AS length,
+    round(CASE WHEN staves = 0 OR n = 0 THEN 0 ELSE least(1.0, m * CASE WHEN n >= 8 THEN 1 ELSE 0.7 END) END, 6)::DOUBLE AS confidence,
+    CASE WHEN abs(angle) > 0.4 THEN 'Straightened by ' || CASE WHEN angle < 0 THEN '-' ELSE '' END || floor(abs(angle) * 10 + 0.5)::BIGINT // 10 || '.' || floor(abs(angle) * 10 + 0.5)::BIGINT % 10 || '°. ' ELSE '' END ||
+    CASE WHEN staves = 0 THEN 'No staves found. Fill the frame with the music and keep the page flat.' WHEN n = 0 THEN 'Found staves but no notes. Try more light, or move closer.'
+      ELSE staves || CASE WHEN staves = 1 THEN ' stave, ' ELSE ' staves, ' END || bars || CASE WHEN bars = 1 THEN ' measure, ' ELSE ' measures, ' END || n || ' notes.' END AS messages FROM p"""

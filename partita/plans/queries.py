@@ -12,7 +12,7 @@ from ..operators import assembly, components, display, noteheads, pixels, score,
 from ..operators.tables import written
 from ..sources import library, midi, shorthand
 from . import views
-from .recognize import recognize
+from .recognize import recognize, recognize_grey
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -151,6 +151,19 @@ def page_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rounded(assembly.page_confidence(views.notes(spark, sf_dir), pages), confidence=6), "n_notes")
 
 
+@query
+def page_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of pages with notes, with staves alone, without staves, and of those that were straightened."""
+    page, notes = F.col("page_id"), views.notes(spark, sf_dir)
+    pages = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
+    ends = notes.groupBy("page_id").agg(F.max(F.col("start") + F.col("duration")).alias("end"))
+    counted = pages.where(page % 4 != 0).join(ends, "page_id", "left").select("page_id", (page % 4).alias("n_staves"), (1 + page % 23).alias("n_measures"), "end")
+    angles = pages.select("page_id", (page % 49 * 0.25 - 6).alias("angle"))
+    kept = notes.join(pages.where(page % 4 != 0), "page_id", "left_semi")
+    found = assembly.page_results(kept, counted, pages, angles, F.lit(4)).withColumns({"measures": F.size("measures").cast("long"), "last": F.element_at("measures", -1), "messages": F.array_join("messages", " ")})
+    return rounded(found, confidence=6)
+
+
 @query
 def head_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = assembly.base_duration(F.col("stem"), F.col("filled"), F.col("beams"))
@@ -545,3 +558,11 @@ def dot_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recognize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every small page from pixels to timed notes."""
     return longs(recognize(_bitmap(spark, sf_dir), views.page_images(spark, sf_dir)), "staff", "measure", "midi", "diatonic")
+
+
+@query
+def recognize_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every small page from grey pixels to its summary."""
+    grey = views.pixels(spark, sf_dir).select("page_id", "x", "y", "g")
+    _, results = recognize_grey(grey, views.page_images(spark, sf_dir), views.WIDTH, views.HEIGHT)
+    return results.withColumns({"measures": F.size("measures").cast("long"), "messages": F.array_join("messages", " ")})
