@@ -64,6 +64,11 @@ def tempo_clamped(tempo: Column) -> Column:
     return F.least(F.lit(220), F.greatest(F.lit(30), tempo))
 
 
+def start_moved(start: Column, steps: Column) -> Column:
+    """A note's start, moved by quarter beats and not before the score's."""
+    return F.greatest(F.lit(0.0), start + steps * 0.25)
+
+
 # The colours of keys at rest (black, white), played by the learner (left, right), and played
 # by the application (left, right; on black keys, on white keys).
 REST = ("#1b2029", "#e9ecf1")

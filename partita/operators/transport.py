@@ -79,3 +79,26 @@ def stops_at(notes: DataFrame, tempo: Column, start: Column, origin: float = 0.0
     """page_id, at: playing ends when the last note has rung for 0.35 s (``tempo`` is a column of ``notes``)."""
     end = F.max(origin + (F.col("start") + F.col("duration") - start) * 60 / tempo)
     return notes.groupBy("page_id").agg((end + 0.35).alias("at"))
+
+
+def loop_at(bar: Column, bars: Column, beats: Column, length: Column) -> tuple[Column, Column]:
+    """Start and end of a new loop: two bars from the one being played (counted from 0), within the score."""
+    start = F.least(bar, bars - 1) * beats
+    return start, F.least(start + beats * 2, length)
+
+
+def loop_from(bar: Column, beats: Column, end: Column) -> tuple[Column, Column]:
+    """The loop once its first bar (counted from 1) is set: a bar long at least."""
+    start = (bar - 1) * beats
+    return start, F.greatest(end, start + beats)
+
+
+def loop_to(bar: Column, beats: Column, start: Column) -> tuple[Column, Column]:
+    """The loop once its last bar (counted from 1) is set: a bar long at least."""
+    end = bar * beats
+    return F.least(start, end - beats), end
+
+
+def starts_from(position: Column, end: Column, loop_start: Column) -> Column:
+    """The beat that playing starts from: at the end, the loop's start (null without a loop: 0)."""
+    return F.when(position >= end - EPSILON, F.coalesce(loop_start, F.lit(0.0))).otherwise(position)

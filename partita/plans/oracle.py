@@ -352,3 +352,7 @@ ORACLE["page_results"] = f"""WITH {NOTE}, c AS (SELECT page_id, count(*) AS n, a
     CASE WHEN abs(angle) > 0.4 THEN 'Straightened by ' || CASE WHEN angle < 0 THEN '-' ELSE '' END || floor(abs(angle) * 10 + 0.5)::BIGINT // 10 || '.' || floor(abs(angle) * 10 + 0.5)::BIGINT % 10 || '°. ' ELSE '' END ||
     CASE WHEN staves = 0 THEN 'No staves found. Fill the frame with the music and keep the page flat.' WHEN n = 0 THEN 'Found staves but no notes. Try more light, or move closer.'
       ELSE staves || CASE WHEN staves = 1 THEN ' stave, ' ELSE ' staves, ' END || bars || CASE WHEN bars = 1 THEN ' measure, ' ELSE ' measures, ' END || n || ' notes.' END AS messages FROM p"""
+ORACLE["loop_controls"] = f"""WITH {NOTE}, a AS (SELECT note.*, measures, max(start + duration) OVER (PARTITION BY note.page_id) AS length FROM note JOIN score ON score.page_id = note.page_id),
+  b AS (SELECT *, least(floor(start / 4), measures - 1) * 4 AS s, emit_seq % measures + 1 AS bar FROM a), c AS (SELECT *, least(s + 8, length) AS e FROM b)
+  SELECT page_id, id, s::DOUBLE AS loop_start, e::DOUBLE AS loop_end, ((bar - 1) * 4)::DOUBLE AS first_start, greatest(e, bar * 4)::DOUBLE AS first_end, least(s, bar * 4 - 4)::DOUBLE AS last_start, (bar * 4)::DOUBLE AS last_end,
+    (CASE WHEN start + duration >= e - 1e-6 THEN CASE WHEN event_id % 2 = 0 THEN s ELSE 0 END ELSE start + duration END)::DOUBLE AS begin, greatest(0, start + (event_id % 9 - 4) * 0.25)::DOUBLE AS moved FROM c"""

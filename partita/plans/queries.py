@@ -386,6 +386,20 @@ def click_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rounded(synthesis.click_sounds(clicks).select("page_id", "n", "hz", "level", "until"), until=6), "n", "hz")
 
 
+@query
+def loop_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At every note: the loop switched on there, its bars set by steppers, where playing starts, and a start that is moved."""
+    notes = views.notes(spark, sf_dir)
+    ends = notes.groupBy("page_id").agg(F.max(F.col("start") + F.col("duration")).alias("length"))
+    n = notes.join(views.scores(spark, sf_dir).select("page_id", F.col("measures").alias("bars"), "beats"), "page_id").join(ends, "page_id")
+    start, end = transport.loop_at(F.col("measure"), F.col("bars"), F.col("beats"), F.col("length"))
+    n = n.withColumns({"loop_start": start.cast("double"), "loop_end": end.cast("double"), "bar": F.col("emit_seq") % F.col("bars") + 1})
+    first, last = transport.loop_from(F.col("bar"), F.col("beats"), F.col("loop_end")), transport.loop_to(F.col("bar"), F.col("beats"), F.col("loop_start"))
+    begin = transport.starts_from(F.col("start") + F.col("duration"), F.col("loop_end"), F.when(event_number() % 2 == 0, F.col("loop_start")))
+    found = n.select("page_id", "id", "loop_start", "loop_end", first[0].alias("first_start"), first[1].alias("first_end"), last[0].alias("last_start"), last[1].alias("last_end"), begin.alias("begin"), display.start_moved(F.col("start"), event_number() % 9 - 4).alias("moved"))
+    return doubles(found, *found.columns[2:])
+
+
 @query
 def playing_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = views.notes(spark, sf_dir).join(views.scores(spark, sf_dir).select("page_id", "tempo"), "page_id")
