@@ -13,10 +13,17 @@ from .tables import written
 def labelled_runs(ink: DataFrame, pages: DataFrame) -> DataFrame:
     """page_id, fixed (the row), from, to, first: runs with the smallest pixel number of their 8-connected symbol.
 
+    ``ink`` is pixels."""
+    return labelled(ink_runs(ink, "x"), pages)
+
+
+def labelled(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``labelled_runs`` of runs along rows (page_id, fixed, from, to, length).
+
     Runs are the vertices, far fewer than pixels; a run touches those of the next row within one column.
     Vertices of all pages go through one labelling; a vertex is named by its page and first pixel."""
     pixel = (F.col("fixed") * F.col("width") + F.col("from")).cast("long")
-    runs = ink_runs(ink, "x").join(pages.select("page_id", "width"), "page_id").withColumn("id", F.struct("page_id", pixel.alias("pixel")))
+    runs = runs.join(pages.select("page_id", "width"), "page_id").withColumn("id", F.struct("page_id", pixel.alias("pixel")))
     runs = written(runs, "runs")
     below = runs.select("page_id", (F.col("fixed") - 1).alias("fixed"), F.col("from").alias("f"), F.col("to").alias("t"), F.col("id").alias("b"))
     touching = runs.join(below, ["page_id", "fixed"]).where((F.col("f") <= F.col("to") + 1) & (F.col("t") >= F.col("from") - 1))

@@ -9,8 +9,9 @@ from ..functions.rounding import half_up
 from .components import clipped, window_fill
 
 
-def suppressed(hits: DataFrame) -> DataFrame:
-    """page_id, blob_id, cx, cy, score, rank: hits that no better kept hit of the blob is close to.
+def suppressed(hits: DataFrame, keys: tuple[str, ...] = ("page_id", "blob_id")) -> DataFrame:
+    """``keys``, cx, cy, score, rank: hits that no better kept hit of the same keys (a blob, or a staff's view of
+    it) is close to.
 
     Hits go by score, then from top to bottom and left to right; a hit is close within 0.8 spaces across and
     0.6 down. What was itself blocked blocks nothing, so this is a fold over the blob's sorted hits. ``shaped``
@@ -23,9 +24,9 @@ def suppressed(hits: DataFrame) -> DataFrame:
         clash = F.exists(acc, lambda k: (F.abs(k["cx"] - h["cx"]) < S * 0.8) & (F.abs(k["cy"] - h["cy"]) < S * 0.6))
         return F.when(clash | ~h["shaped"], acc).otherwise(F.concat(acc, F.array(F.struct(h["o"].alias("o"), h["cy"].alias("cy"), h["cx"].alias("cx")))))
 
-    grouped = hits.groupBy("page_id", "blob_id").agg(F.array_sort(F.collect_list(item)).alias("all"), F.first("space").alias("space"))
-    kept = grouped.select("page_id", "blob_id", F.posexplode(F.aggregate("all", start, step)).alias("rank", "k"))
-    return kept.select("page_id", "blob_id", "k.cx", "k.cy", (-F.col("k.o")).alias("score"), "rank")
+    grouped = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("all"), F.first("space").alias("space"))
+    kept = grouped.select(*keys, F.posexplode(F.aggregate("all", start, step)).alias("rank", "k"))
+    return kept.select(*keys, "k.cx", "k.cy", (-F.col("k.o")).alias("score"), "rank")
 
 
 def _span(factor: float, least: int = 0) -> Column:
@@ -137,16 +138,50 @@ def dotted(heads: DataFrame, totals: DataFrame, pages: DataFrame) -> DataFrame:
     points = points.withColumn("dy", F.explode(F.sequence(-_span(0.62), _span(0.62)))).withColumn("py", F.col("cy") + F.col("dy"))
     points = points.withColumn("window_id", (F.col("head_id") * 1_000_000 + F.col("px")) * 1000 + F.col("dy") + 500)
 
+    return _dots(points, totals, half, around, ("page_id",))
+
+
+def _dots(points: DataFrame, totals: DataFrame, half: Column, around: Column, keys: tuple[str, ...]) -> DataFrame:
     def share(frame: DataFrame, r: Column, name: str) -> DataFrame:
-        hold = lambda v, most: F.least(most, F.greatest(F.lit(0), v)).cast("int")
-        box = {"wx0": hold(F.col("px") - r, F.col("pw")), "wx1": hold(F.col("px") + r + 1, F.col("pw")), "wy0": hold(F.col("py") - r, F.col("ph")), "wy1": hold(F.col("py") + r + 1, F.col("ph"))}
-        out = window_fill(frame.withColumns(box), totals).withColumn(name, F.col("sum") / F.pow(2 * r + 1, F.lit(2)))
+        hold = lambda v, least, most: F.least(most, F.greatest(least, v)).cast("int")
+        left, upper = (F.col("left"), F.col("upper")) if "left" in frame.columns else (F.lit(0), F.lit(0))
+        box = {
+            "wx0": hold(F.col("px") - r, F.lit(0), F.col("pw")) - left, "wx1": hold(F.col("px") + r + 1, F.lit(0), F.col("pw")) - left,
+            "wy0": hold(F.col("py") - r, F.lit(0), F.col("ph")) - upper, "wy1": hold(F.col("py") + r + 1, F.lit(0), F.col("ph")) - upper,
+        }
+        out = window_fill(frame.withColumns(box), totals, keys).withColumn(name, F.col("sum") / F.pow(2 * r + 1, F.lit(2)))
         return out.drop("wx0", "wx1", "wy0", "wy1", "sum", "area", "fill")
 
     solid = share(points, half, "small").where("small >= 0.75")
     return share(solid, around, "large").where("large < 0.5").select("page_id", "head_id").distinct()
 
 
+def dotted_near(heads: DataFrame, ink: DataFrame, pages: DataFrame) -> DataFrame:
+    """``dotted`` from ink pixels: each head sums up its own neighbourhood, not the page.
+
+    The neighbourhood holds every window around every point that is asked for, as far as it is on the page."""
+    half = _span(0.14, 1)
+    around = F.greatest(half + 2, _span(0.45)).cast("int")
+    far = _span(0.62)
+    first, last = half_up(F.col("cx") + F.col("space") * 0.7), half_up(F.col("cx") + F.col("space") * 1.8)
+    inside = lambda v, most: F.least(F.col(most) - 1, F.greatest(F.lit(0), v)).cast("int")
+    row = F.floor("cy")
+    ends = {
+        "left": inside(first - around - 1, "pw"), "right": inside(last + around + 1, "pw"),
+        "upper": inside(row - far - around - 1, "ph"), "lower": inside(row + far + around + 2, "ph"),
+    }
+    boxes = heads.join(pages.select("page_id", F.col("width").alias("pw"), F.col("height").alias("ph")), "page_id").withColumns(ends)
+    grid = boxes.select("page_id", "head_id", "left", "upper", F.explode(F.sequence("left", "right")).alias("x"), "lower").select("page_id", "head_id", "left", "upper", "x", F.explode(F.sequence("upper", "lower")).alias("y"))
+    dense = grid.join(ink.select("page_id", "x", "y", F.lit(1).alias("v")), ["page_id", "x", "y"], "left").select("page_id", "head_id", (F.col("x") - F.col("left")).alias("x"), (F.col("y") - F.col("upper")).alias("y"), F.coalesce("v", F.lit(0)).alias("v"))
+    upto = (Window.unboundedPreceding, 0)
+    across = F.sum("v").over(Window.partitionBy("page_id", "head_id", "y").orderBy("x").rowsBetween(*upto))
+    total = F.sum("__row").over(Window.partitionBy("page_id", "head_id", "x").orderBy("y").rowsBetween(*upto))
+    totals = dense.withColumn("__row", across).withColumn("total", total).select("page_id", "head_id", "x", "y", "total")
+    points = boxes.withColumn("px", F.explode(F.sequence(first, last))).withColumn("dy", F.explode(F.sequence(-far, far))).withColumn("py", F.col("cy") + F.col("dy"))
+    points = points.withColumn("window_id", F.col("px") * 1000 + F.col("dy") + 500)
+    return _dots(points, totals, half, around, ("page_id", "head_id"))
+
+
 def beam_bands(rows: DataFrame) -> DataFrame:
     """page_id, head_id, beams: bands of enough inked rows (0.22 spaces, a row at least), four at most.
 

@@ -87,9 +87,10 @@ def header_ends(blobs: DataFrame, staves: DataFrame, found: DataFrame) -> DataFr
     return joined.select("page_id", "staff", header.alias("header_end"))
 
 
-def rests(blobs: DataFrame, staves: DataFrame, used: DataFrame, on: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """page_id, staff, blob_id, cx, cy, base: blobs without noteheads, by size and place; the first rule wins."""
-    both = centre(blobs.join(used, ["page_id", "blob_id"], "left_anti")).join(staves, list(on))
+def rests(blobs: DataFrame, staves: DataFrame, used: DataFrame, on: tuple[str, ...] = ("page_id",), key: tuple[str, ...] = ("page_id", "blob_id")) -> DataFrame:
+    """page_id, staff, blob_id, cx, cy, base: blobs without noteheads (``used`` names those with, by ``key``), by size
+    and place; the first rule wins."""
+    both = centre(blobs.join(used, list(key), "left_anti")).join(staves, list(on))
     both = both.where(F.col("cy").between(F.col("top") - F.col("space"), F.col("bottom") + F.col("space")))
     w, h, full = F.col("width") / F.col("space"), F.col("height") / F.col("space"), F.col("area") / (F.col("width") * F.col("height"))
     within = lambda v, a, b: (v > a) & (v < b)

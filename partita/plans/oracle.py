@@ -119,6 +119,42 @@ full_rows AS (SELECT *, y - row_number() OVER (PARTITION BY page_id ORDER BY y)
   SELECT * FROM proj QUALIFY c >= greatest(max(c) OVER (PARTITION BY page_id) * 0.33, 40 * 0.15))),
 band AS (SELECT page_id, sum(y * c) / sum(c) AS center, count(*) AS thickness, avg(c) AS ink, min(l) AS l, max(r) AS r FROM full_rows GROUP BY page_id, g)"""
 
+DRAWN = """
+place AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+drawn AS (SELECT user_id * 1000 + i // 24 AS page_id, i % 24 // 12 AS system, i % 24 // 3 % 4 AS bar, event_id % 2 AS lower, event_id * 5 % 9 AS step, 240 + i % 24 // 3 % 4 * 305 + i % 3 * 85 AS x,
+  [1.0, 2.0, 0.5, 4.0][event_id // 2 % 4 + 1]::DOUBLE AS value, event_id // 2 % 4 = 1 AND event_id % 3 = 0 AS dotted, CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 0 END AS alter FROM place),
+sung AS (SELECT *, value * CASE WHEN dotted THEN 1.5 ELSE 1 END AS duration, 30 - lower * 12 + step AS diatonic, system * 4 + bar AS measure FROM drawn),
+timed AS (SELECT *, measure * 4 + coalesce(sum(duration) OVER (PARTITION BY page_id, lower, measure ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sung)"""
+
+# Shapes of the drawn pages: rectangles (left, top, width, height) and ellipses (centre, radii, filled).
+SHAPES = DRAWN + """,
+page AS (SELECT DISTINCT page_id FROM drawn),
+stave AS (SELECT page_id, system, lower, 80 + system * 400 + lower * 154 AS top FROM page, range(2) a(system), range(2) b(lower)),
+n AS (SELECT page_id, x, step, value, dotted, alter, 80 + system * 400 + lower * 154 + 88 - step * 11.0 AS cy, step < 4 AS up FROM drawn),
+stem AS (SELECT *, CASE WHEN up THEN x + 22 * 0.65::DOUBLE - 3 ELSE x - 22 * 0.65::DOUBLE END AS sx, CASE WHEN up THEN cy - 22 * 3.3::DOUBLE ELSE cy + 22 * 3.3::DOUBLE END AS tip FROM n WHERE value < 4),
+sign AS (SELECT page_id, x - 22 * 1.6::DOUBLE AS x, cy, alter FROM n WHERE alter IS NOT NULL),
+rect AS (
+  SELECT page_id, 70::DOUBLE AS l, (top + 22 * i)::DOUBLE AS t, 1360::DOUBLE AS w, 2::DOUBLE AS h FROM stave, range(5) r(i)
+  UNION ALL SELECT page_id, 81, CASE lower WHEN 0 THEN top - 22 * 1.6::DOUBLE ELSE top END, 22 * 0.9::DOUBLE, CASE lower WHEN 0 THEN 22 * 7.2::DOUBLE ELSE 22 * 2.6::DOUBLE END FROM stave
+  UNION ALL SELECT page_id, 495 + 305 * i, top, 4, 90 FROM stave, range(3) r(i)
+  UNION ALL SELECT page_id, sx, least(cy, tip), 3, 22 * 3.3::DOUBLE FROM stem
+  UNION ALL SELECT page_id, CASE WHEN up THEN sx + 3 ELSE sx - 22 * 0.9::DOUBLE END, CASE WHEN up THEN tip ELSE tip - 22 * 0.45::DOUBLE END, 22 * 0.9::DOUBLE, 22 * 0.45::DOUBLE FROM stem WHERE value <= 0.5
+  UNION ALL SELECT page_id, x + 22 * dx, cy + 22 * dy, CASE WHEN w > 0 THEN 22 * w WHEN w < 0 THEN 22 * 0.36::DOUBLE + 4 ELSE 4 END, CASE WHEN h > 0 THEN 22 * h ELSE 4 END FROM sign JOIN (VALUES
+    (1, 0::DOUBLE, -1::DOUBLE, 0::DOUBLE, 2::DOUBLE), (1, 0.38, -1, 0, 2), (1, 0, -0.35, 0.5, 0), (1, 0, 0.3, 0.5, 0),
+    (-1, 0, -1.3, 0, 2.1), (-1, 0, 0.2, 0.45, 0), (-1, 0.35, -0.3, 0, 0.6), (-1, 0, -0.35, 0.4, 0),
+    (0, 0, -1.1, 0, 1.7), (0, 0.36, -0.6, 0, 1.7), (0, 0, -0.5, -1, 0), (0, 0, 0.2, -1, 0)) v(kind, dx, dy, w, h) ON kind = alter),
+oval AS (
+  SELECT page_id, x::DOUBLE AS cx, cy::DOUBLE AS cy, 22 * 0.65::DOUBLE AS rx, 22 * 0.48::DOUBLE AS ry, value <= 1 AS filled FROM n
+  UNION ALL SELECT page_id, x + 22 * 1.15::DOUBLE, CASE WHEN step % 2 = 0 THEN cy - 11 ELSE cy END, 22 * 0.2::DOUBLE, 22 * 0.2::DOUBLE, true FROM n WHERE dotted),
+pixel AS (SELECT page_id, unnest(range(floor(cx - rx + 0.5)::BIGINT, floor(cx + rx)::BIGINT + 1)) AS x, y, cx, cy, rx, ry, filled
+  FROM (SELECT *, unnest(range(floor(cy - ry + 0.5)::BIGINT, floor(cy + ry)::BIGINT + 1)) AS y FROM oval)),
+span AS (
+  SELECT page_id, unnest(range(floor(t + 0.5)::BIGINT, floor(t + h + 0.5)::BIGINT)) AS y, floor(l + 0.5)::BIGINT AS a, floor(l + w + 0.5)::BIGINT - 1 AS b FROM rect
+  UNION ALL SELECT page_id, y, x, x FROM pixel WHERE (x - cx) / rx * ((x - cx) / rx) + (y - cy) / ry * ((y - cy) / ry) <= 1
+    AND (filled OR (x - cx) / rx / 0.5 * ((x - cx) / rx / 0.5) + (y - cy) / ry / 0.45 * ((y - cy) / ry / 0.45) >= 1)),
+island AS (SELECT *, sum(CASE WHEN a <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY page_id, y ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i
+  FROM (SELECT page_id, y, a, b, max(b) OVER (PARTITION BY page_id, y ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM span))"""
+
 ORACLE = {
     "music_scalars": f"""WITH {NOTE} SELECT id, {name('midi')} AS sharp_name, {name('midi', FLATS)} AS flat_name, midi::BIGINT AS back,
       round(440 * pow(2, (midi - 69) / 12.0), 6) AS hz, midi % 12 IN (1, 3, 6, 8, 10) AS black,
@@ -239,8 +275,8 @@ ORACLE = {
       SELECT owner, id, place::BIGINT AS place FROM (SELECT *, count(*) OVER (PARTITION BY owner) AS n FROM k) WHERE owner % 3 <> 0 OR place < greatest(1, n // 2)""",
     "strikes": f"""WITH {NOTE}, s AS (SELECT id, midi, start * 60 / tempo AS t, duration / 100 AS held, CASE hand WHEN 'left' THEN 0.62 ELSE 0.78 END AS v,
         least(1, greatest(0.25, 1.1 - (midi - 21) / 120.0)) AS bright FROM note JOIN score USING (page_id))
-      SELECT id, round(t + 0.004, 5) AS attack_until, round(greatest(t + held, t + 0.03), 5) AS release_at, 0.08::DOUBLE AS release, round(t + 1.2 + 26 * pow(2, -(midi - 21) / 16.0) + 0.4, 5) AS stop_at,
-        round(least(4 * 440 * pow(2, (midi - 69) / 12.0), 5200), 5) AS hammer_hz, round(v * 0.09 * bright, 9)::DOUBLE AS hammer_level, round(t + 0.07, 5) AS hammer_until FROM s""",
+      SELECT id, round(t + 0.004, 9) AS attack_until, round(greatest(t + held, t + 0.03), 9) AS release_at, 0.08::DOUBLE AS release, round(t + 1.2 + 26 * pow(2, -(midi - 21) / 16.0) + 0.4, 9) AS stop_at,
+        round(least(4 * 440 * pow(2, (midi - 69) / 12.0), 5200), 9) AS hammer_hz, round(v * 0.09 * bright, 9)::DOUBLE AS hammer_level, round(t + 0.07, 9) AS hammer_until FROM s""",
     "click_sounds": f"""WITH {NOTE}, c AS (SELECT page_id, tempo, unnest(range(2, measures * 4)) AS n FROM score)
       SELECT page_id, n::BIGINT AS n, CASE WHEN n % 4 = 0 THEN 1600 ELSE 1100 END::BIGINT AS hz, CASE WHEN n % 4 = 0 THEN 0.13 ELSE 0.07 END::DOUBLE AS level, round(0.06 + (n - 1.5) * (60 / tempo) + 0.045, 6)::DOUBLE AS "until" FROM c""",
     "playing_ends": f"""WITH {NOTE} SELECT page_id, round(max(0.06 + (start + duration - 1.5) * 60 / tempo) + 0.35, 6)::DOUBLE AS at FROM note JOIN score USING (page_id) GROUP BY page_id""",
@@ -356,3 +392,8 @@ ORACLE["loop_controls"] = f"""WITH {NOTE}, a AS (SELECT note.*, measures, max(st
   b AS (SELECT *, least(floor(start / 4), measures - 1) * 4 AS s, emit_seq % measures + 1 AS bar FROM a), c AS (SELECT *, least(s + 8, length) AS e FROM b)
   SELECT page_id, id, s::DOUBLE AS loop_start, e::DOUBLE AS loop_end, ((bar - 1) * 4)::DOUBLE AS first_start, greatest(e, bar * 4)::DOUBLE AS first_end, least(s, bar * 4 - 4)::DOUBLE AS last_start, (bar * 4)::DOUBLE AS last_end,
     (CASE WHEN start + duration >= e - 1e-6 THEN CASE WHEN event_id % 2 = 0 THEN s ELSE 0 END ELSE start + duration END)::DOUBLE AS begin, greatest(0, start + (event_id % 9 - 4) * 0.25)::DOUBLE AS moved FROM c"""
+ORACLE["engraved_pages"] = f"""WITH {SHAPES} SELECT page_id, y AS fixed, min(a) AS "from", max(b) AS "to", max(b) - min(a) + 1 AS length FROM island GROUP BY page_id, y, i"""
+ORACLE["recognize_page"] = f"""WITH {DRAWN} SELECT page_id, (system * 2 + lower)::BIGINT AS staff, CASE lower WHEN 0 THEN 'right' ELSE 'left' END AS hand, measure::BIGINT AS measure, start::DOUBLE AS start, duration::DOUBLE AS duration,
+  (12 * (diatonic // 7 + 1) + [0, 2, 4, 5, 7, 9, 11][diatonic % 7 + 1] + coalesce(alter, 0))::BIGINT AS midi, diatonic::BIGINT AS diatonic, alter::BIGINT AS explicit_alter FROM timed"""
+ORACLE["recognize_scores"] = f"""WITH {DRAWN} SELECT page_id, count(*) AS n_notes, 4::BIGINT AS n_staves, 8::BIGINT AS measures, greatest(32, max(start + duration))::DOUBLE AS length, count(*) >= 8 AS sure,
+  '4 staves, 8 measures, ' || count(*) || ' notes.' AS messages FROM timed GROUP BY page_id"""

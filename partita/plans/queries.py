@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import music
-from ..operators import assembly, components, display, noteheads, pixels, score, staves, symbols, synthesis, transport
+from ..operators import assembly, components, display, engraver, kernels, noteheads, pixels, score, staves, symbols, synthesis, transport
 from ..operators.tables import written
 from ..sources import library, midi, shorthand
 from . import views
-from .recognize import recognize, recognize_grey
+from .recognize import recognize_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -376,7 +376,7 @@ def strikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     when = F.col("start") * 60 / F.col("tempo")
     found = synthesis.strikes(notes, when, when + F.col("duration") / 100, F.when(F.col("hand") == "left", 0.62).otherwise(0.78))
     names = ["attack_until", "release_at", "release", "stop_at", "hammer_hz", "hammer_level", "hammer_until"]
-    return rounded(found.select("id", *names), **(dict.fromkeys(names, 5) | {"hammer_level": 9}))
+    return rounded(found.select("id", *names), **dict.fromkeys(names, 9))
 
 
 @query
@@ -568,15 +568,31 @@ def dot_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noteheads.dotted(heads, pixels.integral(_bitmap(spark, sf_dir), "ink"), pages)
 
 
+def drawn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engraver.drawn(views.drawn_shapes(spark, sf_dir), views.drawn_pages(spark, sf_dir))
+
+
+def drawn_grey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn pages as grey pages, written once."""
+    return written(kernels.painted(drawn_runs(spark, sf_dir), views.drawn_pages(spark, sf_dir)), "drawn")
+
+
+@query
+def engraved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of ink of all events, drawn as notes on pages."""
+    return longs(drawn_runs(spark, sf_dir), "fixed", "from", "to", "length")
+
+
 @query
 def recognize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every small page from pixels to timed notes."""
-    return longs(recognize(_bitmap(spark, sf_dir), views.page_images(spark, sf_dir)), "staff", "measure", "midi", "diatonic")
+    """The notes read from the drawn pages, from grey pages on."""
+    notes, _ = recognize_pages(drawn_grey(spark, sf_dir))
+    return longs(notes.select("page_id", "staff", "hand", "measure", "start", "duration", "midi", "diatonic", "explicit_alter"), "staff", "measure", "midi", "diatonic", "explicit_alter")
 
 
 @query
 def recognize_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every small page from grey pixels to its summary."""
-    grey = views.pixels(spark, sf_dir).select("page_id", "x", "y", "g")
-    _, results = recognize_grey(grey, views.page_images(spark, sf_dir), views.WIDTH, views.HEIGHT)
-    return results.withColumns({"measures": F.size("measures").cast("long"), "messages": F.array_join("messages", " ")})
+    """The summary of each drawn page, from grey pages on."""
+    _, results = recognize_pages(drawn_grey(spark, sf_dir))
+    sure = (F.col("confidence") > 0.85).alias("sure")
+    return results.select("page_id", "n_notes", "n_staves", F.size("measures").cast("long").alias("measures"), "length", sure, F.array_join("messages", " ").alias("messages"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import midi_to_name
+from ..operators import engraver
 
 DURATIONS = [0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]
 WIDTH, HEIGHT = 40, 48
@@ -108,3 +109,50 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     speck = (x * 73 + y * 151 + k * 31) % 97 < k % 4
     ink = (line | block | speck).cast("int")
     return p.select("page_id", "x", "y", ink.alias("ink"), (250 - 180 * ink - (x * 5 + y * 3 + k) % 20).cast("int").alias("g"))
+
+
+#: Drawn pages: events of a page, its size, its staves' space, and where systems, bars and notes are put.
+PER_PAGE, PAGE_WIDTH, PAGE_HEIGHT, PAGE_SPACE = 24, 1500, 760, 22.0
+PAGE_LEFT, PAGE_RIGHT = 70.0, 1430.0
+
+
+def drawn_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, system, bar, hand, top (of the staff), step, x, value, dotted, kind: every event as a note on a page.
+
+    A user's events fill pages of two systems with four bars of three places each; odd events stand on the lower staff."""
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", (F.row_number().over(order) - 1).alias("i"))
+    n, i = F.col("event_id"), F.col("i") % PER_PAGE
+    system, bar = F.floor(i / 12).cast("int"), (F.floor(i / 3) % 4).cast("int")
+    value = F.get(F.array(*(F.lit(v) for v in (1.0, 2.0, 0.5, 4.0))), (F.floor(n / 2) % 4).cast("int"))
+    kind = F.get(F.array(F.lit("sharp"), F.lit("flat"), F.lit("natural")), (n % 7).cast("int"))
+    lower = n % 2 == 1
+    return e.select(
+        (F.col("user_id") * 1000 + F.floor(F.col("i") / PER_PAGE)).alias("page_id"), system.alias("system"), bar.alias("bar"), F.when(lower, "left").otherwise("right").alias("hand"),
+        (80 + system * 400 + F.when(lower, 7 * PAGE_SPACE).otherwise(0)).cast("double").alias("top"), (n * 5 % 9).cast("int").alias("step"),
+        (240 + bar * 305 + i % 3 * 85).cast("double").alias("x"), value.alias("value"), ((value == 2) & (n % 3 == 0)).alias("dotted"), kind.alias("kind"),
+    )
+
+
+def drawn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, width, height of the pages of ``drawn_notes``."""
+    of_user = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
+    each = of_user.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PER_PAGE))).alias("k"), "user_id")
+    return each.select((F.col("user_id") * 1000 + F.col("k")).alias("page_id"), F.lit(PAGE_WIDTH).alias("width"), F.lit(PAGE_HEIGHT).alias("height"))
+
+
+def drawn_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, shape: the staves, clefs, barlines and notes of every drawn page."""
+    space, left, right = F.lit(PAGE_SPACE), F.lit(PAGE_LEFT), F.lit(PAGE_RIGHT)
+    note = drawn_notes(spark, sf_dir)
+    top, step, x = F.col("top"), F.col("step"), F.col("x")
+    signs = engraver.accidental(top, space, step, x - space * 1.6, F.col("kind"))
+    notes = note.select("page_id", F.explode(F.concat(engraver.note(top, space, step, x, F.col("value"), F.col("dotted")), signs)).alias("shape"))
+    parts = []
+    for system in (0, 1):
+        for treble in (True, False):
+            at = F.lit(80.0 + system * 400 + (0 if treble else 7 * PAGE_SPACE))
+            bars = [engraver.barline(at, space, F.lit(210.0 + bar * 305 + 285)) for bar in range(3)]
+            parts += [engraver.staff(at, left, right, space), engraver.clef(at, left, space, F.lit(treble)), *bars]
+    furniture = drawn_pages(spark, sf_dir).select("page_id", F.explode(F.concat(*parts)).alias("shape"))
+    return furniture.unionByName(notes)
