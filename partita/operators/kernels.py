@@ -115,9 +115,10 @@ def _pages(batch: pa.RecordBatch) -> Iterator[tuple[object, np.ndarray]]:
         yield row["page_id"], np.frombuffer(row["grey"], np.uint8).reshape(row["height"], row["width"])
 
 
-def _run_list(ink: np.ndarray) -> list[dict[str, int]]:
-    fixed, start, stop = (v.tolist() for v in edges(ink))
-    return [{"fixed": f, "from": a, "to": b} for f, a, b in zip(fixed, start, stop, strict=True)]
+def _run_list(ink: np.ndarray) -> pa.Array:
+    """One list with the runs of ink along the rows."""
+    columns = [pa.array(v.astype(np.int32)) for v in edges(ink)]
+    return pa.ListArray.from_arrays(pa.array([0, len(columns[0])], pa.int32()), pa.StructArray.from_arrays(columns, fields=list(RUN)))
 
 
 def each_page(pages: DataFrame, work: Callable[[np.ndarray], dict[str, object]], fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
@@ -129,7 +130,7 @@ def each_page(pages: DataFrame, work: Callable[[np.ndarray], dict[str, object]],
             own = batch.schema.field("page_id")
             for page_id, grey in _pages(batch):
                 made = work(grey)
-                yield pa.RecordBatch.from_arrays([pa.array([page_id], own.type), *(pa.array([made[n]], t) for n, t in fields)], names=["page_id", *(n for n, _ in fields)])
+                yield pa.RecordBatch.from_arrays([pa.array([page_id], own.type), *(made[n] if isinstance(made[n], pa.Array) else pa.array([made[n]], t) for n, t in fields)], names=["page_id", *(n for n, _ in fields)])
 
     return pages.select("page_id", "width", "height", "grey").mapInArrow(run, f"page_id {id_type}, {schema}")
 
@@ -225,3 +226,146 @@ def straightened_grey(pages: DataFrame, angles: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "width", "height")] + [pa.array(greys, pa.binary())], names=["page_id", "width", "height", "grey"])
 
     return rows.select("page_id", "width", "height", "grey", "angle").mapInArrow(run, f"page_id {id_type}, width int, height int, grey binary")
+
+
+def mask(fixed: np.ndarray, start: np.ndarray, stop: np.ndarray, x0: int, y0: int, width: int, height: int) -> np.ndarray:
+    """The pixels of runs along rows within a box."""
+    step = np.zeros((height, width + 1), np.int32)
+    np.add.at(step, (fixed - y0, start - x0), 1)
+    np.add.at(step, (fixed - y0, stop - x0 + 1), -1)
+    return step.cumsum(axis=1)[:, :width] > 0
+
+
+def first_pixels(fixed: np.ndarray, start: np.ndarray, stop: np.ndarray, width: int) -> np.ndarray:
+    """For runs in raster order, the smallest pixel number of their 8-connected symbol."""
+    row = width + 2
+    low, high = fixed * row + start, fixed * row + stop
+    # The runs of the next row from the first that ends at or past the column before to the last that starts by the one after.
+    a, b = np.searchsorted(high, low + row - 1), np.searchsorted(low, high + row + 1, "right")
+    root = list(range(len(fixed)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, (j, k) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        for n in range(j, k):
+            u, v = find(i), find(n)
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    return (fixed * width + start)[[find(i) for i in range(len(root))]] if len(root) else fixed
+
+
+def labelled(runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """``components.labelled`` a page at a time: a page's symbols stay on it, so no search over all pages is needed."""
+    both = runs.select("page_id", "fixed", "from", "to").join(pages.select("page_id", "width"), "page_id")
+    id_type = pages.schema["page_id"].dataType.simpleString()
+
+    def label(page: pa.Table) -> pa.Table:
+        page = page.sort_by([("fixed", "ascending"), ("from", "ascending")])
+        fixed, start, stop = (page.column(c).to_numpy().astype(np.int64) for c in ("fixed", "from", "to"))
+        first = first_pixels(fixed, start, stop, page.column("width")[0].as_py())
+        return page.select(["page_id", "fixed", "from", "to"]).append_column("length", pa.array((stop - start + 1).astype(np.int32))).append_column("first", pa.array(first))
+
+    return both.groupBy("page_id").applyInArrow(label, f"page_id {id_type}, fixed int, from int, to int, length int, first long")
+
+
+def _fill(table: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: int, h: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and area of windows around centres, edges rounded half up and held within the box (``components.clipped``)."""
+    height, width = table.shape[0] - 1, table.shape[1] - 1
+    edge = lambda c, most: np.clip(np.floor(c + 0.5), 0, most).astype(int)
+    x0, x1, y0, y1 = edge(cx - w / 2, width), edge(cx + w / 2, width), edge(cy - h / 2, height), edge(cy + h / 2, height)
+    return table[y1, x1] - table[y0, x1] - table[y1, x0] + table[y0, x0], (x1 - x0) * (y1 - y0)
+
+
+def _share(table: np.ndarray, cx: np.ndarray, cy: np.ndarray, w: int, h: int) -> np.ndarray:
+    total, area = _fill(table, cx, cy, w, h)
+    return np.where(area > 0, total / np.maximum(area, 1), 0.0)
+
+
+def _span(space: float, factor: float, least: int = 0) -> int:
+    return max(least, int(np.floor(space * factor + 0.5)))
+
+
+def find_heads(ink: np.ndarray, x0: int, y0: int, space: float, y_min: float, y_max: float) -> tuple[np.ndarray, ...]:
+    """cx, cy, score, filled, shaped of a symbol's centres with an inked ring (``noteheads.candidates``, ``noteheads.shaped``)."""
+    height, width = ink.shape
+    ow, oh, iw, ih = _span(space, 0.95, 3), _span(space, 0.68, 2), _span(space, 0.42, 1), _span(space, 0.26, 1)
+    ys = np.arange(max(oh // 2, int(np.floor(y_min + 0.5)) - y0), min(height - 1 - oh // 2, int(np.floor(y_max + 0.5)) - y0) + 1)
+    xs = np.arange(ow // 2, width - ow // 2)
+    x, y = np.tile(xs, len(ys)), np.repeat(ys, len(xs))
+    table = np.pad(integral(ink), ((1, 0), (1, 0)))
+    (outer, outer_area), (inner, inner_area) = _fill(table, x, y, ow, oh), _fill(table, x, y, iw, ih)
+    ring = outer_area - inner_area
+    score = np.where(ring > 0, (outer - inner) / np.maximum(ring, 1), -1.0)
+    found = score >= 0.72
+    x, y, score = x[found], y[found], score[found]
+    filled = np.where(inner_area[found] == 0, True, inner[found] / np.maximum(inner_area[found], 1) > 0.6)
+    # From the centre outwards each way, up to the first column that is not solid.
+    limit, extent = _span(space, 2.3), np.ones(len(x), np.int64)
+    for side in (-1, 1):
+        d = side * np.arange(1, limit + 1)
+        solid = _share(table, x[:, None] + d, np.repeat(y[:, None], limit, axis=1), 1, _span(space, 0.5, 1)) >= 0.6
+        extent += np.where(solid.all(axis=1), limit, solid.argmin(axis=1)) if limit else 0
+    wide = (extent >= space * 0.85) & (extent <= space * 2.0)
+    rims = [_share(table, x + side * space * 0.42, y, _span(space, 0.14, 1), _span(space, 0.26, 1)) > 0.6 for side in (-1, 1)]
+    return x + x0, y + y0, score, filled, np.where(filled, wide, rims[0] & rims[1])
+
+
+def head_search(runs: DataFrame, searched: DataFrame) -> DataFrame:
+    """page_id, blob_id, cx, cy, score, filled, shaped, space of the centres found in each of ``searched`` (blobs with
+    space, y_min, y_max). ``runs`` are labelled; a symbol is one row with its runs."""
+    keys = ["page_id", "blob_id"]
+    own = runs.join(searched.select(*keys, "first"), ["page_id", "first"]).groupBy(*keys).agg(F.collect_list(F.struct("fixed", "from", "to")).alias("runs"))
+    rows = searched.select(*keys, "x0", "y0", "width", "height", "space", "y_min", "y_max").join(own, keys)
+    id_type = searched.schema["page_id"].dataType.simpleString()
+    names = ["cx", "cy", "score", "filled", "shaped"]
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                box = {c: batch.column(c)[i].as_py() for c in ("x0", "y0", "width", "height", "space", "y_min", "y_max")}
+                fixed, start, stop = (v.to_numpy() for v in batch.column("runs")[i].values.flatten())
+                ink = mask(fixed, start, stop, *(box[c] for c in ("x0", "y0", "width", "height")))
+                found = find_heads(ink, *(box[c] for c in ("x0", "y0", "space", "y_min", "y_max")))
+                n = len(found[0])
+                if n:
+                    whole = [pa.array([batch.column(c)[i].as_py()] * n, batch.column(c).type) for c in keys]
+                    types = (pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([*whole, *(pa.array(v, t) for v, t in zip(found, types, strict=True)), pa.array([box["space"]] * n)], names=[*keys, *names, "space"])
+
+    return rows.mapInArrow(run, f"page_id {id_type}, blob_id long, cx int, cy int, score double, filled boolean, shaped boolean, space double")
+
+
+def has_dot(table: np.ndarray, cx: float, cy: float, space: float) -> bool:
+    """Whether some point right of a head is solid in a small window and not in a larger one (``noteheads.dotted``)."""
+    height, width = table.shape[0] - 1, table.shape[1] - 1
+    half, far = _span(space, 0.14, 1), _span(space, 0.62)
+    x = np.arange(int(np.floor(cx + space * 0.7 + 0.5)), int(np.floor(cx + space * 1.8 + 0.5)) + 1)
+    y = (cy + np.arange(-far, far + 1))[:, None]
+
+    def share(r: int) -> np.ndarray:
+        hold = lambda v, most: np.clip(v, 0, most).astype(int)
+        x0, x1, y0, y1 = hold(x - r, width), hold(x + r + 1, width), hold(y - r, height), hold(y + r + 1, height)
+        return (table[y1, x1] - table[y0, x1] - table[y1, x0] + table[y0, x0]) / (2 * r + 1) ** 2
+
+    return bool(((share(half) >= 0.75) & (share(max(half + 2, _span(space, 0.45))) < 0.5)).any())
+
+
+def dotted(heads: DataFrame, runs: DataFrame, pages: DataFrame) -> DataFrame:
+    """page_id, head_id of the heads (cx, cy, space) with a dot, a page at a time from its runs along rows."""
+    asked = heads.groupBy("page_id").agg(F.collect_list(F.struct("head_id", "cx", "cy", "space")).alias("heads"))
+    rows = asked.join(runs.groupBy("page_id").agg(F.collect_list(F.struct("fixed", "from", "to")).alias("runs")), "page_id").join(pages.select("page_id", "width", "height"), "page_id")
+    id_type = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fixed, start, stop = (v.to_numpy() for v in batch.column("runs")[i].values.flatten())
+                table = np.pad(integral(mask(fixed, start, stop, 0, 0, batch.column("width")[i].as_py(), batch.column("height")[i].as_py())), ((1, 0), (1, 0)))
+                found = [h["head_id"] for h in batch.column("heads")[i].as_py() if has_dot(table, h["cx"], h["cy"], h["space"])]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("page_id")[i].as_py()] * len(found), batch.column("page_id").type), pa.array(found, pa.int64())], names=["page_id", "head_id"])
+
+    return rows.mapInArrow(run, f"page_id {id_type}, head_id long")

@@ -121,10 +121,13 @@ band AS (SELECT page_id, sum(y * c) / sum(c) AS center, count(*) AS thickness, a
 
 DRAWN = """
 place AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
-drawn AS (SELECT user_id * 1000 + i // 24 AS page_id, i % 24 // 12 AS system, i % 24 // 3 % 4 AS bar, event_id % 2 AS lower, event_id * 5 % 9 AS step, 240 + i % 24 // 3 % 4 * 305 + i % 3 * 85 AS x,
+drawn AS (SELECT i, user_id * 1000 + i // 24 AS page_id, i % 24 // 12 AS system, i % 24 // 3 % 4 AS bar, event_id % 2 AS lower, event_id * 5 % 9 AS step, 240 + i % 24 // 3 % 4 * 305 + i % 3 * 85 AS x,
   [1.0, 2.0, 0.5, 4.0][event_id // 2 % 4 + 1]::DOUBLE AS value, event_id // 2 % 4 = 1 AND event_id % 3 = 0 AS dotted, CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN 0 END AS alter FROM place),
 sung AS (SELECT *, value * CASE WHEN dotted THEN 1.5 ELSE 1 END AS duration, 30 - lower * 12 + step AS diatonic, system * 4 + bar AS measure FROM drawn),
-timed AS (SELECT *, measure * 4 + coalesce(sum(duration) OVER (PARTITION BY page_id, lower, measure ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sung)"""
+-- A flat or natural has the size and fill of a quarter rest as well, and the rules for rests don't pass over accidentals.
+told AS (SELECT page_id, lower, measure, x::DOUBLE AS x, duration, i FROM sung UNION ALL SELECT page_id, lower, measure, x - 30, 1, NULL FROM sung WHERE alter < 1),
+begun AS (SELECT page_id, i, measure * 4 + coalesce(sum(duration) OVER (PARTITION BY page_id, lower, measure ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM told),
+timed AS (SELECT sung.*, start FROM sung JOIN begun USING (page_id, i))"""
 
 # Shapes of the drawn pages: rectangles (left, top, width, height) and ellipses (centre, radii, filled).
 SHAPES = DRAWN + """,
