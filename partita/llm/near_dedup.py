@@ -245,8 +245,8 @@ def _links(members: DataFrame, top: bool) -> DataFrame:
     def run(batches):
         for table in _groups(batches):
             ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-            whole = table.column("whole").combine_chunks()
-            whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+            # Offsets of 64 bits: a node's sets may be more than 2 GB.
+            whole = pa.concat_arrays(table.column("whole").cast(pa.large_binary()).chunks)
             sets = lambda i: np.frombuffer(whole[i].as_buffer(), np.uint64)  # noqa: B023, E731 (a view, no copy)
             path = table.column("path").to_numpy()
             joined: dict[tuple[int, int], tuple[int, int]] = {}
@@ -360,7 +360,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, repeated: bool) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     rows = written(_sketches(docs), "sketches")
-    keys = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"))
+    keys = rows.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     keys = written(keys, "vertices")
     n, distinct = rows.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     repeated = n > distinct
@@ -418,11 +418,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             discard(level, kids, large, links)
             if nodes is None:
                 break
-    out = rows.select("doc_id", "n_shingles", "k1", "k2").join(keys, ["n_shingles", "k1", "k2"], "left")
-    out = out.withColumn("__v", F.coalesce("rep", "doc_id"))
+    # Components are named for each distinct set, and only then handed to its copies, which may be a third of all rows.
     if labels is not None:
-        out = out.join(labels.withColumnRenamed("id", "__v"), "__v", "left").withColumn("__v", F.coalesce("component", "__v"))
-    component = F.when(F.col("doc_id").isNotNull(), F.col("__v"))
+        keys = keys.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep")).drop("component")
+        keys = written(keys, "components-of-sets")
+    out = spread_join(rows.select("doc_id", "n_shingles", "k1", "k2"), keys, ["n_shingles", "k1", "k2"], "copies", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
