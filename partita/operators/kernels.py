@@ -178,12 +178,28 @@ def painted(runs: DataFrame, pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"page_id {id_type}, width int, height int, grey binary")
 
 
-def from_pixels(grey: DataFrame, pages: DataFrame, value: str = "g") -> DataFrame:
-    """Whole pages from a relation of pixels: page_id, width, height, grey."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", F.col(value).alias("v")))), lambda p: F.lpad(F.hex(p["v"].cast("long")), 2, "0"))
+def from_pixels(grey: DataFrame, pages: DataFrame, *values: str) -> DataFrame:
+    """Whole pages from a relation of pixels: page_id, width, height, grey, of one value for each pixel (``g``) or several."""
+    values = values or ("g",)
+    text = lambda p: F.concat(*(F.lpad(F.hex(p[v].cast("long")), 2, "0") for v in values))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("y", "x", *values))), text)
     return pages.join(grey.groupBy("page_id").agg(F.unhex(F.array_join(ordered, "")).alias("grey")), "page_id").select("page_id", "width", "height", "grey")
 
 
+def to_pixels(pages: DataFrame) -> DataFrame:
+    """page_id, x, y, g of every pixel."""
+    id_type = pages.schema["page_id"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            own = batch.schema.field("page_id").type
+            for page_id, grey in _pages(batch):
+                y, x = np.indices(grey.shape, dtype=np.int32).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array([page_id] * grey.size, own), pa.array(x), pa.array(y), pa.array(grey.reshape(-1).astype(np.int32))], names=["page_id", "x", "y", "g"])
+
+    return pages.select("page_id", "width", "height", "grey").mapInArrow(run, f"page_id {id_type}, x int, y int, g int")
+
+
 def turned(pages: DataFrame, degrees: float) -> DataFrame:
     """Pages turned about their middle, each pixel from the nearest one; paper from outside."""
 

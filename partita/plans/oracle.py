@@ -400,3 +400,8 @@ ORACLE["recognize_page"] = f"""WITH {DRAWN} SELECT page_id, (system * 2 + lower)
   (12 * (diatonic // 7 + 1) + [0, 2, 4, 5, 7, 9, 11][diatonic % 7 + 1] + coalesce(alter, 0))::BIGINT AS midi, diatonic::BIGINT AS diatonic, alter::BIGINT AS explicit_alter FROM timed"""
 ORACLE["recognize_scores"] = f"""WITH {DRAWN} SELECT page_id, count(*) AS n_notes, 4::BIGINT AS n_staves, 8::BIGINT AS measures, greatest(32, max(start + duration))::DOUBLE AS length, count(*) >= 8 AS sure,
   '4 staves, 8 measures, ' || count(*) || ' notes.' AS messages FROM timed GROUP BY page_id"""
+ORACLE["level_runs"] = ORACLE["engraved_pages"]
+ORACLE["grey_shear"] = f"""WITH {PIXEL}, t AS (SELECT *, floor(tan(radians((page_id % 9 - 4) * 0.75::DOUBLE)) * (x - 20) + 0.5)::BIGINT AS shift FROM pixel)
+  SELECT t.page_id, t.x::BIGINT AS x, t.y::BIGINT AS y, coalesce(s.g, 255)::BIGINT AS g FROM t LEFT JOIN pixel s ON s.page_id = t.page_id AND s.x = t.x AND s.y = t.y + shift"""
+ORACLE["image_decode"] = f"""WITH {PIXEL} SELECT page_id, x::DOUBLE AS x, y::DOUBLE AS y, round_even(g * 0.299::DOUBLE + (g * 7 + x) % 256 * 0.587::DOUBLE + (255 - g) * 0.114::DOUBLE, 0)::DOUBLE AS g, NULL::VARCHAR AS problem FROM pixel WHERE page_id % 5 <> 0
+  UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'cut short or damaged' FROM supplier WHERE s_suppkey % 5 = 0"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import music
 from ..operators import assembly, components, display, engraver, kernels, noteheads, pixels, score, staves, symbols, synthesis, transport
 from ..operators.tables import written
-from ..sources import library, midi, shorthand
+from ..sources import images, library, midi, shorthand
 from . import views
 from .recognize import recognize_pages
 
@@ -583,6 +583,34 @@ def engraved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(drawn_runs(spark, sf_dir), "fixed", "from", "to", "length")
 
 
+@query
+def level_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of the drawn pages after they were painted, thresholded, cleaned and straightened as whole pages."""
+    found = kernels.opened(kernels.levelled(drawn_grey(spark, sf_dir)), "across")
+    return longs(found.select("page_id", "fixed", "from", "to", "length"), "fixed", "from", "to", "length")
+
+
+@query
+def grey_shear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every small page straightened by an angle of its own, paper coming in from outside."""
+    pages = kernels.from_pixels(views.pixels(spark, sf_dir).select("page_id", "x", "y", "g"), views.page_images(spark, sf_dir))
+    angles = views.page_images(spark, sf_dir).select("page_id", ((F.col("page_id") % 9 - 4) * 0.75).alias("angle"))
+    return longs(kernels.to_pixels(kernels.straightened_grey(pages, angles)), "x", "y", "g")
+
+
+@query
+def image_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every small page as a PNG file in colour, decoded to grey; each fifth file is cut short."""
+    g = F.col("g")
+    colours = views.pixels(spark, sf_dir).select("page_id", "x", "y", g.alias("red"), ((g * 7 + F.col("x")) % 256).alias("green"), (255 - g).alias("blue"))
+    files = images.encoded(kernels.from_pixels(colours, views.page_images(spark, sf_dir), "red", "green", "blue"), 3)
+    cut = F.expr("substring(content, 1, case when page_id % 5 = 0 then 40 else length(content) end)")
+    found = images.decoded(files.withColumn("content", cut))
+    good = kernels.to_pixels(found.where("problem is null"))
+    bad = found.where("problem is not null").select("page_id", *(F.lit(None).cast("int").alias(c) for c in ("x", "y", "g")), "problem")
+    return doubles(good.withColumn("problem", F.lit(None).cast("string")).unionByName(bad), "x", "y", "g")
+
+
 @query
 def recognize_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes read from the drawn pages, from grey pages on."""
