@@ -405,3 +405,4 @@ ORACLE["grey_shear"] = f"""WITH {PIXEL}, t AS (SELECT *, floor(tan(radians((page
   SELECT t.page_id, t.x::BIGINT AS x, t.y::BIGINT AS y, coalesce(s.g, 255)::BIGINT AS g FROM t LEFT JOIN pixel s ON s.page_id = t.page_id AND s.x = t.x AND s.y = t.y + shift"""
 ORACLE["image_decode"] = f"""WITH {PIXEL} SELECT page_id, x::DOUBLE AS x, y::DOUBLE AS y, round_even(g * 0.299::DOUBLE + (g * 7 + x) % 256 * 0.587::DOUBLE + (255 - g) * 0.114::DOUBLE, 0)::DOUBLE AS g, NULL::VARCHAR AS problem FROM pixel WHERE page_id % 5 <> 0
   UNION ALL SELECT s_suppkey, NULL, NULL, NULL, 'cut short or damaged' FROM supplier WHERE s_suppkey % 5 = 0"""
+ORACLE["play_position"] = f"""WITH {NOTE}, p AS (SELECT page_id, id, start + duration / 2 * tempo / 60 AS b FROM note JOIN score USING (page_id)) SELECT page_id, id, round(b, 6)::DOUBLE AS beat, floor(b / 4)::BIGINT AS bar FROM p"""

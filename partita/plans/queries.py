@@ -316,6 +316,14 @@ def schedule_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("page_id", "id", "when", "until", "velocity", "batch"), when=9, until=9)
 
 
+@query
+def play_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where playing is, and its bar, half a note's beats in seconds after each note's start."""
+    n = views.notes(spark, sf_dir).join(views.scores(spark, sf_dir).select("page_id", "tempo"), "page_id")
+    at = transport.position(F.col("start"), F.col("duration") / 2, F.col("tempo"))
+    return n.select("page_id", "id", F.round(at, 6).alias("beat"), F.floor(at / 4).cast("long").alias("bar"))
+
+
 @query
 def metronome(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = views.scores(spark, sf_dir).withColumn("end", (F.col("measures") * 4).cast("double"))
