@@ -27,6 +27,8 @@ from .words import chunks, encode
 SAMPLE = 4000
 THRESHOLD = 0.7
 KINDS = 10
+#: Weight of the transitions' squares against the likelihood.
+PAIR_PENALTY = 0.05
 STEPS = 120
 
 
@@ -91,11 +93,12 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.column_stack([own, before, after, first, last, doc, np.ones(n)]), size, ends
 
 
-def marginals(unary: np.ndarray, ends: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(line is good), expected transitions summed (2 x 2), log partition of each text.
+def marginals(unary: np.ndarray, ends: np.ndarray, pair: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(line is good), expected transitions summed (2 x 2; texts by ``weight``), log partition of each text.
 
     ``unary`` is the score of good over bad. All texts advance together, the longest first."""
     size = np.diff(ends)
+    weight = np.ones(len(size)) if weight is None else weight
     order = np.argsort(-size, kind="stable")
     start, size_ = ends[:-1][order], size[order]
     longest = int(size_[0]) if len(size_) else 0
@@ -117,26 +120,35 @@ def marginals(unary: np.ndarray, ends: np.ndarray, pair: np.ndarray) -> tuple[np
         if k:
             ahead = emit[at[:k] + 1] * beta[at[:k] + 1] / scale[at[:k] + 1, None]
             beta[at[:k]] = ahead @ e.T
-            trans += (alpha[at[:k]].T @ ahead) * e
+            trans += ((alpha[at[:k]] * weight[order[:k], None]).T @ ahead) * e
     return alpha[:, 1] * beta[:, 1], trans, np.add.reduceat(np.log(scale) + top, ends[:-1]) if len(size) else np.empty(0)
 
 
+def objective(w: np.ndarray, pair: np.ndarray, x: np.ndarray, ends: np.ndarray, labels: np.ndarray, penalty: float) -> tuple[float, np.ndarray]:
+    """The penalized mean log likelihood of a text's labels for each line, and its gradient by ``w`` and ``pair``.
+
+    Each text counts alike, however many lines it has: lines and transitions both weigh 1 / its lines. All
+    lines of a text have its label; a label between 0 and 1 is that share of the one and of the other."""
+    n = np.diff(ends)
+    each = 1 / (n * max(len(n), 1))
+    unary = x @ w
+    p, trans, log_z = marginals(unary, ends, pair, each)
+    seen = np.array([[((1 - labels) * (n - 1) * each).sum(), 0], [0, (labels * (n - 1) * each).sum()]])
+    value = (np.add.reduceat(unary, ends[:-1]) * labels * each).sum() + (seen * pair).sum() - (log_z * each).sum()
+    value -= penalty / 2 * (w**2).sum() + PAIR_PENALTY / 2 * (pair**2).sum()
+    return value, np.concatenate([x.T @ ((np.repeat(labels, n) - p) * np.repeat(each, n)) - penalty * w, (seen - trans - PAIR_PENALTY * pair).ravel()])
+
+
 def fit(texts: list[str], labels: np.ndarray, penalty: float = 1e-3, steps: int = STEPS) -> dict:
-    """Weights, transitions and scaling by gradient ascent with adaptive steps."""
+    """Weights, transitions (-2 to 2) and scaling by ascent of ``objective`` with adaptive steps."""
     x, _, ends = features(pa.array(texts, pa.string()))
     mean, dev = x.mean(axis=0), x.std(axis=0)
     dev[dev < 1e-6], mean[-1] = 1, 0
     x = (x - mean) / dev
-    y = np.repeat(labels, np.diff(ends))
-    n = np.diff(ends)
-    # Each text counts alike, however many lines it has; chains of one label see two transitions only.
-    weight = np.repeat(1 / n, n)
     w, pair = np.zeros(x.shape[1]), np.zeros((2, 2))
-    seen = np.array([[((1 - labels) * (n - 1)).sum(), 0], [0, (labels * (n - 1)).sum()]])
     state = [np.zeros(x.shape[1] + 4), np.zeros(x.shape[1] + 4)]
     for step in range(1, steps + 1):
-        p, trans, _ = marginals(x @ w, ends, pair)
-        grad = np.concatenate([x.T @ ((y - p) * weight) / len(n) - penalty * w, ((seen - trans) / max(n.sum(), 1) - 0.05 * pair).ravel()])
+        _, grad = objective(w, pair, x, ends, labels, penalty)
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.99 * state[1] + 0.01 * grad**2
         move = 0.1 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8)

@@ -518,6 +518,15 @@ PAGE = (
 )
 
 
+def test_both_gradients_of_the_line_field_ascend_one_likelihood():
+    rng = np.random.default_rng(4)
+    ends = np.array([0, 1, 6, 8, 20])
+    x, labels, at = rng.normal(size=(20, 3)), np.array([1.0, 0.0, 0.5, 1.0]), rng.normal(size=7)
+    value = lambda z: quality_classifier.objective(z[:3], z[3:].reshape(2, 2), x, ends, labels, 0.01)
+    for i, step in enumerate(np.eye(7) * 1e-5):
+        assert value(at)[1][i] == pytest.approx((value(at + step)[0] - value(at - step)[0]) / 2e-5, abs=1e-7)
+
+
 def page(rng):
     body = [words(rng, rng.randrange(1, 60)) + " &amp; more." for _ in range(rng.randrange(1, 7))]
     title = words(rng, 5)
