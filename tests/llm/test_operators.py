@@ -79,34 +79,61 @@ def test_cuts_follow_a_brute_force_tree(spark):
     got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(frame, 8).collect()}
     size = {r[0]: len(r[1].encode()) + 1 for r in rows}
     total = sum(size.values())
-    order = {d: {} for d in range(3)}
     values = {r[0]: (size[r[0]], (r[2] is not None, r[2] or ""), r[3]) for r in rows}
-    for d in order:
+    scale = [{}, {}, {}]
+    least, most = min(size.values()), max(size.values())
+    for d in range(3):
         at = 0
         for v in sorted({x[d] for x in values.values()}):
             w = sum(size[i] for i, x in values.items() if x[d] == v)
-            order[d][v] = (at / total, w / total)
+            scale[d][v] = math.log(v / least) / math.log(most / least) if d == 0 else (at + w / 2) / total
             at += w
 
+    def width(ids, d):
+        n = sum(size[i] for i in ids)
+        mean = sum(size[i] * scale[d][values[i][d]] for i in ids) / n
+        return sum(size[i] * (scale[d][values[i][d]] - mean) ** 2 for i in ids) / n
+
     def check(ids, first, leaves):
-        """The points of a node are cut across the widest dimension; only ties lie on both sides."""
+        """A node is cut across the dimension of the largest deviation; only points of one value lie on both sides."""
         if leaves == 1:
             return
-        # Extents by the values' parts: a hash within a part moves each end by no more than the part.
-        low = {d: min(order[d][values[i][d]][0] for i in ids) for d in order}
-        high = {d: max(sum(order[d][values[i][d]]) for i in ids) for d in order}
         left, right = [i for i in ids if got[i] < first + leaves // 2], [i for i in ids if got[i] >= first + leaves // 2]
         assert abs(sum(size[i] for i in left) - sum(size[i] for i in ids) / 2) < 0.01 * total / 8 + 700
-        fits = [d for d in order if max(values[i][d] for i in left) <= min(values[i][d] for i in right)]
-        wide = max(high[d] - low[d] for d in order)
-        slack = {d: 2 * max(order[d][values[i][d]][1] for i in ids) for d in order}
-        assert any(high[d] - low[d] + slack[d] >= wide - max(slack.values()) for d in fits)
+        widest = max(range(3), key=lambda d: width(ids, d))
+        assert max(values[i][widest] for i in left) <= min(values[i][widest] for i in right)
         check(left, first, leaves // 2)
         check(right, first + leaves // 2, leaves // 2)
 
     check(sorted(got), 0, 8)
 
 
+def test_heavy_texts_fall_where_the_cut_says(spark):
+    rng = random.Random(3)
+    rows = [(i, words(rng, 1 + int(3 * rng.paretovariate(0.9)) % 4000, 5000), "en", f"s{rng.randrange(200):03}", 0, "", "", "") for i in range(1500)]
+    got = {r["doc_id"]: r["shard"] for r in sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 4).collect()}
+    size, source = {r[0]: len(r[1].encode()) + 1 for r in rows}, {r[0]: r[3] for r in rows}
+    total = sum(size.values())
+    heavy = [i for i, s in size.items() if s > total / 400]
+    assert sum(size[i] for i in heavy) > 0.4 * total
+    load = Counter()
+    for i, s in got.items():
+        load[s] += size[i]
+    assert max(load.values()) - min(load.values()) < 0.03 * total / 4
+    # Of the bytes of heavy texts at the root, nearly all lie on their side of one cut in one dimension.
+    best = max(
+        sum(size[i] for i in heavy if (v[i] < c) == (got[i] < 2)) for v in (size, source) for c in {v[i] for i in heavy}
+    )
+    assert best > 0.95 * sum(size[i] for i in heavy)
+
+
+def test_heavy_points_change_sides_only_where_the_others_are_too_few():
+    assert sharding.heavy_sides([(0.1, 30.0), (0.4, 10.0), (0.6, 20.0)], 0.5, 60.0, 40.0) == ([True, True, False], 20.0)
+    assert sharding.heavy_sides([(0.1, 30.0), (0.4, 10.0), (0.6, 20.0)], 0.5, 30.0, 5.0) == ([True, False, False], 0.0)
+    assert sharding.heavy_sides([(0.1, 30.0), (0.6, 20.0), (0.9, 20.0)], 0.5, 55.0, 5.0) == ([True, True, False], 5.0)
+    assert sharding.heavy_sides([], 0.5, 3.0, 7.0) == ([], 3.0)
+
+
 def test_a_heavy_text_of_few_rows_is_spread_by_rows(spark):
     rows = [(i, "long copy " * 3000, "en", "a", 0, "", "", "") for i in range(6)] + [(10 + i, f"text {i}", "en", "a", 0, "", "", "") for i in range(50)]
     load = Counter(r["shard"] for r in sharding.kd_shards(spark.createDataFrame(rows, SCHEMA), 3).where("doc_id < 10").collect())
