@@ -1,15 +1,22 @@
 """Language-model scoring by a class-based bigram model whose classes come from exchange clustering.
 
-Every word has a class. Units are what the exchange moves: each word with at least EXCHANGED of all
-training tokens alone, every other word with those that share a hash of its last three letters. Starting
-from a deal by hash, each round counts, in Spark and over all training documents, how often each unit
-stands before and after each class, and moves units to the classes that raise the bigram likelihood most.
-P(word | before) = P(class | class before) * P(word | class), both smoothed.
+P(word | before) = P(class | class before) * P(word | class), both smoothed. Every training word gets a class
+of its own by exchange, in two steps:
 
-The number of units has a proven bound (1 / EXCHANGED + SUFFIXES at any corpus size), so their counts by
-class may meet on the driver. Word counts cover every training word and stay in Spark: words with at
-least FREQUENT of the tokens (1 / FREQUENT at most) and the end token travel to the documents; the documents' other words
-are joined with their counts, and as none of them is frequent, no key is hot.
+* Words with at least EXCHANGED of all training tokens (1 / EXCHANGED at most, whatever the corpus) start from
+  a deal at random. Each round counts, in Spark and over all training documents, how often each of them stands before
+  and after each class, and moves words to the classes that raise the bigram likelihood most. All other words
+  are of one further class meanwhile.
+* Then each other word moves from there to the class that raises the likelihood most, by its own neighbours: rows
+  (word, class before, class after, n) that Spark adds up, and a move for each word in the tasks. None of
+  these words is frequent, so no key is hot.
+
+A word that training lacks can stand in any class: every class keeps room for one unknown word, and the
+model adds up over the classes. As a neighbour it is a mixture of the classes by the same room.
+
+Word counts and classes cover every training word and stay in Spark. Words with at least FREQUENT of the tokens
+(1 / FREQUENT at most) and the end token travel to the documents; the documents' other words are joined, one row for
+each, with the classes of their neighbours. Where two such words meet, the one before is joined as well.
 
 Words are known by 64-bit hashes. Defined cases: a null or empty text is the end token alone; repeated
 rows are counted and scored one by one; without training documents all counts are 0; an empty table gives
@@ -19,164 +26,166 @@ an empty result; further columns are ignored; texts of any length are read whole
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, written
+from .common import discard, frugal, written
 from .words import encode, hashes
 
 CLASSES = 64
 EXCHANGED = 2e-5
 FREQUENT = 4e-6
-SUFFIXES = 4096
 ROUNDS = 10
-#: Share of the units that may move in a round: what the others' counts by class say stays true meanwhile.
+#: Share of the words that may move in a round: what the others' counts by class say stays true meanwhile.
 MOVING = 0.5
-#: Parts of a round's units that move one after the other, each seeing the moves before it.
+#: Parts of a round's words that move one after the other, each seeing the moves before it.
 STEPS = 24
 #: Weight of the classes' overall shares in the transition probabilities.
 PRIOR = 20.0
 #: The end token: no word can hold white space.
 END = int(hashes(pa.array(["\n"]))[0])
-ROWS = 256
-
-
-def _suffixes(words: pa.Array) -> np.ndarray:
-    """The suffix bucket of each word."""
-    coded = pc.dictionary_encode(pc.utf8_slice_codeunits(words, -3, 1 << 30))
-    own = hashes(coded.dictionary).view(np.uint64) % np.uint64(SUFFIXES)
-    return own.astype(np.int32)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.empty(0, np.int32)
+#: Tokens that a task looks at together.
+SLICE = 1 << 20
+#: Counts up to this many are looked up in a table of gains.
+TABLED = 16
 
 
 def _word_counts(docs: DataFrame) -> DataFrame:
-    """h, suffix, c of every distinct token of ``docs``."""
+    """h, c of every distinct token of ``docs``."""
 
     def run(batches):
         for batch in batches:
             for part in encode(batch.column(0)):
                 h, n = hashes(part.vocabulary), np.bincount(part.codes, minlength=len(part.vocabulary))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.append(h, END)), pa.array(np.append(_suffixes(part.vocabulary), -1).astype(np.int32)), pa.array(np.append(n, len(part.offsets) - 1).astype(np.int64))],
-                    names=["h", "suffix", "c"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(h, END)), pa.array(np.append(n, len(part.offsets) - 1).astype(np.int64))], names=["h", "c"])
 
-    counted = docs.select("text").mapInArrow(frugal(run), "h long, suffix int, c long")
-    return written(counted.groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c")), "word-counts")
+    counted = docs.select("text").mapInArrow(frugal(run), "h long, c long")
+    return written(counted.groupBy("h").agg(F.sum("c").alias("c")), "word-counts")
 
 
 class Vocabulary:
-    """The frequent words, sorted by hash, and the units of all words."""
+    """The frequent words in the order of their hashes, and which of them are exchanged on their own."""
 
-    def __init__(self, frequent: list[tuple[int, int, int]], tokens: int):
-        own = np.array(sorted(frequent), dtype=np.int64).reshape(-1, 3)
-        self.h, self.c = own[:, 0].copy(), own[:, 2].copy()
-        alone = self.c >= EXCHANGED * tokens
+    def __init__(self, h: np.ndarray, c: np.ndarray, tokens: int):
+        order = np.argsort(h)
+        self.h, self.c = h[order], c[order]
+        alone = (self.c >= EXCHANGED * tokens) & (self.h != END)
         self.alone = int(alone.sum())
-        # Units: 0 is the end token, then words of their own, then suffixes.
-        self.unit = np.where(alone, np.cumsum(alone), 1 + self.alone + own[:, 1]).astype(np.int32)
-        self.units = 1 + self.alone + SUFFIXES
+        # Units: 0 is the end token, then words of their own, then all others together.
+        self.units = self.alone + 2
+        self.unit = np.where(alone, np.cumsum(alone), self.alone + 1).astype(np.int32)
         self.unit[self.h == END] = 0
 
-    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """unit, place among the frequent words (-1: none) and hash of each word."""
-        h = hashes(words)
-        at = np.minimum(np.searchsorted(self.h, h), max(len(self.h) - 1, 0))
-        known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
-        unit = 1 + self.alone + _suffixes(words)
-        if len(self.h):
-            unit = np.where(known, self.unit[at], unit)
-        return unit.astype(np.int32), np.where(known, at, -1), h
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each word among the frequent ones (-1: none)."""
+        if not len(self.h):
+            return np.full(len(h), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        return np.where(self.h[at] == h, at, -1).astype(np.int32)
 
 
 def _encoded(docs: DataFrame, held_out: Column, vocabulary: Vocabulary) -> DataFrame:
-    """rid, doc_id, held_out, units (int32 bytes, without the end), sums over frequent words, the other words' hashes."""
+    """rid, doc_id, held_out, places (int32 bytes, without the end; -1: not frequent), the other words' hashes in order."""
 
     def run(batches):
-        log = np.log10(vocabulary.c + 0.5)
         for batch in batches:
             for part in encode(batch.column(3)):
-                unit, place, h = vocabulary.look_up(part.vocabulary)
-                n = len(part.offsets) - 1
-                code, row = part.codes, np.repeat(np.arange(n), np.diff(part.offsets))
-                known = place[code] >= 0
-                units = unit[code]
+                h = hashes(part.vocabulary)
+                place = vocabulary.places(h)[part.codes]
+                n, rare = len(part.offsets) - 1, place < 0
                 rows = batch.slice(part.start, n)
-                ends, raw = (part.offsets * 4).tolist(), units.tobytes()
-                other = h[code[~known]]
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(row[~known], minlength=n))]).astype(np.int32)
+                ends, raw = (part.offsets * 4).tolist(), place.tobytes()
+                cuts = np.concatenate([[0], np.cumsum(rare)])[part.offsets].astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0), rows.column(1), rows.column(2),
                         pa.array([raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()),
-                        pa.array(np.bincount(row[known], weights=log[place[code[known]]], minlength=n)),
-                        pa.array(np.bincount(row[known], minlength=n).astype(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(other)),
+                        pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[part.codes[rare]])),
                     ],
-                    names=["rid", "doc_id", "held_out", "units", "log_sum", "n_frequent", "other"],
+                    names=["rid", "doc_id", "held_out", "places", "other"],
                 )
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    return written(rows.mapInArrow(frugal(run), "rid long, doc_id long, held_out boolean, units binary, log_sum double, n_frequent long, other array<long>"), "encoded")
+    return written(rows.mapInArrow(frugal(run), "rid long, doc_id long, held_out boolean, places binary, other array<long>"), "encoded")
+
 
+def _slices(places: pa.Array):
+    """First row, rows, and the places of all tokens of those rows, each text between two ends (END_AT)."""
+    n = np.asarray([len(x) for x in places.to_pylist()]) // 4
+    start, ends = 0, np.cumsum(n + 1)
+    while start < len(n):
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE, "right")))
+        mark = END_AT.tobytes()
+        raw = mark + mark.join(x for x in places.slice(start, stop - start).to_pylist()) + mark
+        yield start, n[start:stop], np.frombuffer(raw, np.int32)
+        start = stop
 
-def _neighbours(train: DataFrame, of: np.ndarray, classes: int) -> np.ndarray:
-    """Counts (unit, 0 before / 1 after, class): how often a unit's neighbour is of a class.
 
-    A task adds up its documents in one array and sends it in blocks of ROWS units; the blocks are summed
-    in a shuffle."""
-    units = len(of)
+#: How the end token stands among places.
+END_AT = np.array(-2, np.int32)
+
+
+def _summed(counted: DataFrame, size: int) -> np.ndarray:
+    """An array of ``size`` cells from rows key, n, which Spark adds up."""
+    got = counted.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size, np.int64)
+    out[got.column("key").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def _cells(total: np.ndarray):
+    """Rows key, n of the cells that hold something."""
+    key = np.flatnonzero(total)
+    for at in range(0, len(key), 1 << 16):
+        some = key[at : at + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["key", "n"])
+
+
+def _neighbours(train: DataFrame, vocabulary: Vocabulary, of: np.ndarray, classes: int) -> np.ndarray:
+    """Counts (unit, 0 before / 1 after, class): how often a unit's neighbour is of a class."""
+    units = vocabulary.units
+    unit = np.concatenate([vocabulary.unit, [0, units - 1]]).astype(np.int64)  # the last two: places -2 and -1
 
     def run(batches):
         total = np.zeros(units * 2 * classes, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = [np.frombuffer(x, np.int32) for x in batch.column(0).slice(at, 500).to_pylist()]
-                u = np.concatenate([np.zeros(1, np.int32), *(y for x in part for y in (x, np.zeros(1, np.int32)))])
+            for _, _, place in _slices(batch.column(0)):
+                u = unit[place]
                 c = of[u]
-                total += np.bincount(u[1:].astype(np.int64) * 2 * classes + c[:-1], minlength=len(total))
-                total += np.bincount(u[:-1].astype(np.int64) * 2 * classes + classes + c[1:], minlength=len(total))
-        total = total.reshape(units, -1)
-        for b in range(0, units, ROWS):
-            if total[b : b + ROWS].any():
-                yield pa.RecordBatch.from_arrays([pa.array([b]), pa.array([total[b : b + ROWS].tobytes()], pa.binary())], names=["b", "n"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        n = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("n"))
-        return pa.table({"b": table.column("b")[:1], "n": pa.array([n.tobytes()], pa.binary())})
+                np.add.at(total, u[1:] * (2 * classes) + c[:-1], 1)
+                np.add.at(total, u[:-1] * (2 * classes) + classes + c[1:], 1)
+        yield from _cells(total)
 
-    out = np.zeros((units, 2 * classes), np.int64)
-    for r in train.select("units").mapInArrow(frugal(run), "b long, n binary").groupBy("b").applyInArrow(summed, "b long, n binary").collect():
-        n = np.frombuffer(bytes(r["n"]), np.int64).reshape(-1, 2 * classes)
-        out[r["b"] : r["b"] + len(n)] = n
-    return out.reshape(units, 2, classes)
+    return _summed(train.select("places").mapInArrow(frugal(run), "key long, n long"), units * 2 * classes).reshape(units, 2, classes)
 
 
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def exchange(near: np.ndarray, of: np.ndarray, classes: int, may: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, int]:
-    """Moves the units of ``may`` (never the end, whose class is the last) to the classes that raise the likelihood most."""
+def exchange(near: np.ndarray, of: np.ndarray, classes: int, may: np.ndarray, steps: int = STEPS, fixed: int = 1) -> tuple[np.ndarray, int]:
+    """Moves the units of ``may`` to the classes that raise the likelihood most; no unit enters or leaves the last ``fixed`` ones."""
     before, after = near[:, 0].astype(float), near[:, 1].astype(float)
     n, of, moved = after.sum(axis=1), of.copy(), 0
     pair = np.zeros((classes, classes))
     np.add.at(pair, of, after)
     size = np.bincount(of, weights=n, minlength=classes)
     order = np.argsort(-n, kind="stable")
-    order = order[(order != 0) & (n[order] > 0) & may[order]]
+    order = order[(of[order] < classes - fixed) & (n[order] > 0) & may[order]]
     # Frequent units go in small parts, as each may change what the next ones see.
     bounds = np.unique(np.concatenate([[0], (np.linspace(0, 1, steps + 1)[1:] ** 2 * len(order)).astype(int)]))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         for u in np.array_split(order[a:b], max(1, (b - a) // 64)):
             own, row = of[u], np.arange(len(u))
             gain = np.zeros((len(u), classes))
-            for c in range(classes - 1):  # the last class is the end's alone
+            for c in range(classes - fixed):
                 gain[:, c] = (_f(pair[c] + after[u]) - _f(pair[c])).sum(axis=1) + (_f(pair[:, c] + before[u]) - _f(pair[:, c])).sum(axis=1) - 2 * (_f(size[c] + n[u]) - _f(size[c]))
-            gain[:, classes - 1] = -np.inf
+            gain[:, classes - fixed :] = -np.inf
             left_r, left_c = np.maximum(pair[own] - after[u], 0), np.maximum(pair[:, own].T - before[u], 0)
             stay = (_f(pair[own]) - _f(left_r)).sum(axis=1) + (_f(pair[:, own].T) - _f(left_c)).sum(axis=1) - 2 * (_f(size[own]) - _f(size[own] - n[u]))
             gain[row, own] = stay
@@ -195,66 +204,233 @@ def exchange(near: np.ndarray, of: np.ndarray, classes: int, may: np.ndarray, st
     return of, moved
 
 
-def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, rounds: int = ROUNDS, log: Callable | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row.
+def _own_moves(train: DataFrame, vocabulary: Vocabulary, of: np.ndarray, near: np.ndarray, classes: int) -> DataFrame:
+    """h, class of every word that was not exchanged: where its own neighbours raise the likelihood most.
 
-    The model learns from the rows where ``held_out`` is false; scores are log10 probabilities."""
+    Each such word leaves the class of all others, which is the same loss wherever it goes."""
+    end, rest, total = classes, classes + 1, classes + 2
+    unit = np.concatenate([vocabulary.unit, [0, vocabulary.units - 1]])
+
+    def neighbours(batches):
+        for batch in batches:
+            others = batch.column(1)
+            for start, n, place in _slices(batch.column(0)):
+                c = of[unit[place]]
+                h = np.zeros(len(place), np.int64)
+                h[place >= 0] = vocabulary.h[place[place >= 0]]
+                h[place == -1] = others.slice(start, len(n)).flatten().to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(c == rest)
+                k = c[at - 1] * total + c[at + 1]
+                order = np.lexsort((k, h[at]))
+                own, k = h[at][order], k[order]
+                cut = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (k[1:] != k[:-1])])) if len(k) else np.empty(0, np.int64)
+                n = np.diff(np.append(cut, len(k)))
+                yield pa.RecordBatch.from_arrays([pa.array(own[cut]), pa.array(k[cut].astype(np.int32)), pa.array(n.astype(np.int64))], names=["h", "k", "n"])
+
+    pair = np.zeros((total, total))
+    np.add.at(pair, of, near[:, 1].astype(float))
+    size = np.bincount(of, weights=near[:, 1].sum(axis=1), minlength=total)[:classes]
+    # Cells that a move to a class adds to: after a class (rows below total), then before it.
+    cells = np.concatenate([pair[:, :classes], pair[:classes].T])
+    table = np.stack([_f(cells + n) - _f(cells) for n in range(TABLED + 1)])
+
+    def choose(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found = batch.column(1)
+            k, n = (found.flatten().field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+            starts = found.offsets.to_numpy().astype(np.int64)
+            starts = starts[:-1] - starts[0]
+            gain = -2 * (_f(size + np.add.reduceat(n, starts)[:, None]) - _f(size))
+            for side in (k // total, total + k % total):
+                part = table[np.minimum(n, TABLED), side]
+                many = n > TABLED
+                part[many] = _f(cells[side[many]] + n[many, None]) - _f(cells[side[many]])
+                gain += np.add.reduceat(part, starts, axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gain.argmax(axis=1).astype(np.int32))], names=["h", "class"])
+
+    rows = train.select("places", "other").mapInArrow(frugal(neighbours), "h long, k int, n long").repartition("h")
+    # One key's rows are in one partition: at most total * total of them leave the sum.
+    rows = rows.groupBy("h", "k").agg(F.sum("n").alias("n")).groupBy("h").agg(F.collect_list(F.struct("k", "n")).alias("near"))
+    return rows.mapInArrow(frugal(choose), "h long, class int")
+
+
+class Model(NamedTuple):
+    """What scores need: all words (h, c, class; the end's class is ``classes``), and small arrays of the classes.
+
+    ``step`` holds log10 of a class after a class, and ``emit`` what a word's log10(c + 0.5) loses in its class; index
+    ``classes + 1`` stands for words that training lacks."""
+
+    words: DataFrame
+    vocabulary: Vocabulary
+    place_class: np.ndarray
+    step: np.ndarray
+    emit: np.ndarray
+    tokens: int
+    distinct: int
+    end_count: int
+
+
+def _others(encoded: DataFrame, place_class: np.ndarray, classes: int, words: DataFrame) -> DataFrame:
+    """rid, held_out, c, x, l, r for each word that is not frequent: its count and class, and its neighbours' classes.
+
+    ``r`` is null where the next word isn't frequent either: that word's row has the transition."""
+    unknown, of = classes + 1, np.concatenate([place_class, [classes, -1]])  # the last two: places -2 and -1
+
+    def run(batches):
+        for batch in batches:
+            others = batch.column(3)
+            for start, n, place in _slices(batch.column(2)):
+                at = np.flatnonzero(place == -1)
+                h = others.slice(start, len(n)).flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(start, start + len(n)), n + 1)[at - 1]
+                left, right = of[place[at - 1]], of[place[at + 1]]
+                before = np.concatenate([[0], h[:-1]]) if len(h) else h
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(row), batch.column(1).take(row), pa.array(h),
+                        pa.array(before, mask=left >= 0), pa.array(left.astype(np.int32), mask=left < 0), pa.array(right.astype(np.int32), mask=right < 0),
+                    ],
+                    names=["rid", "held_out", "h", "a", "l", "r"],
+                )
+
+    known = words.select("h", "c", F.col("class").alias("x"))
+    rows = encoded.select("rid", "held_out", "places", "other").mapInArrow(frugal(run), "rid long, held_out boolean, h long, a long, l int, r int")
+    rows = rows.join(known.hint("shuffle_hash"), "h", "left").select("rid", "held_out", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("x", F.lit(unknown)).alias("x"), "a", "l", "r")
+    first = written(rows, "other-words")
+    before = words.select(F.col("h").alias("a"), F.col("class").alias("y"))
+    met = first.where("a is not null").join(before.hint("shuffle_hash"), "a", "left").withColumn("l", F.coalesce("y", F.lit(unknown)))
+    out = written(first.where("a is null").select("rid", "held_out", "c", "x", "l", "r").unionByName(met.select("rid", "held_out", "c", "x", "l", "r")), "transitions")
+    discard(first)
+    return out
+
+
+def train(docs: DataFrame, held_out: Column, classes: int = CLASSES, rounds: int = ROUNDS, log: Callable | None = None) -> tuple[Model, DataFrame, DataFrame]:
+    """The model of the rows where ``held_out`` is false, the encoded documents, and their words that are not frequent."""
     counts = _word_counts(docs.where(~held_out))
-    tokens, words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    frequent = [tuple(r) for r in counts.where((F.col("c") >= max(1.0, FREQUENT * tokens)) | (F.col("h") == END)).select("h", "suffix", "c").collect()]
-    vocabulary = Vocabulary(frequent, tokens)
+    tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    frequent = counts.where((F.col("c") >= max(1.0, FREQUENT * tokens)) | (F.col("h") == END)).select("h", "c").toArrow()
+    vocabulary = Vocabulary(frequent.column("h").to_numpy(), frequent.column("c").to_numpy(), tokens)
     encoded = _encoded(docs, held_out, vocabulary)
-    train = encoded.where(~F.col("held_out"))
-    total = classes + 1
-    of = (np.random.default_rng(3).integers(0, classes, vocabulary.units)).astype(np.int64)
-    of[0] = classes
-    near = _neighbours(train, of, total)
+    seen = encoded.where(~F.col("held_out"))
+    end, total = classes, classes + 2
+    of = np.random.default_rng(3).integers(0, classes, vocabulary.units).astype(np.int64)
+    of[0], of[-1] = end, classes + 1
+    near = _neighbours(seen, vocabulary, of, total)
     rng = np.random.default_rng(1)
     for _ in range(rounds):
-        of, moved = exchange(near, of, total, rng.random(len(of)) < MOVING)
-        near = _neighbours(train, of, total)
+        of, moved = exchange(near, of, total, rng.random(len(of)) < MOVING, fixed=2)
+        near = _neighbours(seen, vocabulary, of, total)
         if log:
             pair = np.zeros((total, total))
             np.add.at(pair, of, near[:, 1].astype(float))
             log(moved, (_f(pair).sum() - 2 * _f(pair.sum(axis=1)).sum()) / max(tokens, 1) / np.log(10))
-        if moved < 0.01 * np.count_nonzero(near[:, 1].any(axis=1)):
+        if moved < 0.01 * vocabulary.alone:
             break
-    pair = np.zeros((total, total))
-    np.add.at(pair, of, near[:, 1].astype(float))
-    size = np.bincount(of, weights=near[:, 1].sum(axis=1), minlength=total)
-    share = (size + 0.5) / (size.sum() + 0.5 * total)
-    step = np.log10((pair + PRIOR * share) / (pair.sum(axis=1, keepdims=True) + PRIOR))
-    # Distinct words of each class: words of their own by unit, the others by suffix.
-    distinct = np.zeros(total)
+    # Classes of all words: those exchanged (bounded, from the driver), the end, and all others.
     alone = vocabulary.unit <= vocabulary.alone
-    np.add.at(distinct, of[vocabulary.unit[alone]], 1)
-    single = counts.where((F.col("c") < EXCHANGED * tokens) & (F.col("suffix") >= 0)).groupBy("suffix").count().collect()
-    for r in single:
-        distinct[of[1 + vocabulary.alone + r["suffix"]]] += r["count"]
-    base_log = np.log10(tokens + 0.5 * (words + 1))
-    emit = np.log10(size + 0.5 * (distinct + 1))
-    emit[classes] = 0.0  # the end's class holds nothing else
+    exchanged = pa.table({"h": vocabulary.h[alone], "class": of[vocabulary.unit[alone]].astype(np.int32)})
+    moves = _own_moves(seen, vocabulary, of, near, classes)
+    moves = moves.unionByName(docs.sparkSession.createDataFrame(exchanged))
+    words = written(counts.join(moves.hint("shuffle_hash"), "h").select("h", "c", "class"), "word-classes")
+    discard(counts)
+    got = words.where((F.col("c") >= max(1.0, FREQUENT * tokens)) | (F.col("h") == END)).select("h", "class").toArrow()
+    place_class = np.zeros(len(vocabulary.h), np.int64)
+    place_class[vocabulary.places(got.column("h").to_numpy())] = got.column("class").to_numpy()
+    others = _others(encoded, place_class, classes, words)
+    pair = _transitions(seen, others.where(~F.col("held_out")), place_class, classes)
+    size = pair.sum(axis=0)
+    members = np.zeros(classes + 1)
+    for r in words.groupBy("class").count().collect():
+        members[r["class"]] = r["count"]
+    step, emit = probabilities(pair, size, members)
     end_count = int(vocabulary.c[vocabulary.h == END].sum())
-    end_log = float(np.log10(end_count + 0.5))
+    return Model(words, vocabulary, place_class, step, emit, tokens, distinct, end_count), encoded, others
+
+
+def probabilities(pair: np.ndarray, size: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """step and emit of a Model, from the counts of class after class, and each class's tokens and distinct words.
+
+    A class gives an unknown word the share 0.5 / (tokens + 0.5 * (words + 1)), so over all words and unknown ones
+    the probabilities after any class add up to one. The end is the only word of the last class."""
+    n = len(size)
+    share = (size + 0.5) / (size.sum() + 0.5 * n)
+    step = (pair + PRIOR * share) / (pair.sum(axis=1, keepdims=True) + PRIOR)
+    whole = size + 0.5 * (members + 1)
+    room = np.append(0.5 / whole[:-1], 0.0)
+    full = np.zeros((n + 1, n + 1))
+    full[:n, :n], full[:n, n] = step, step @ room
+    mixed = share * room / (share * room).sum()
+    full[n] = mixed @ full[:n]
+    # An unknown word's count is 0, so its log10(0 + 0.5) is taken back.
+    return np.log10(full), np.concatenate([np.log10(whole[:-1]), [0.0, np.log10(0.5)]])
+
+
+def _transitions(seen: DataFrame, others: DataFrame, place_class: np.ndarray, classes: int) -> np.ndarray:
+    """How often each class follows each class in the training documents."""
+    total, of = classes + 1, np.concatenate([place_class, [classes, -1]])
+
+    def run(batches):
+        out = np.zeros(total * total, np.int64)
+        for batch in batches:
+            for _, _, place in _slices(batch.column(0)):
+                c = of[place]
+                both = (c[:-1] >= 0) & (c[1:] >= 0)
+                out += np.bincount((c[:-1] * total + c[1:])[both], minlength=len(out))
+        yield from _cells(out)
+
+    local = seen.select("places").mapInArrow(frugal(run), "key long, n long")
+    cells = F.filter(F.array(F.col("l") * total + F.col("x"), F.col("x") * total + F.col("r")), lambda k: k.isNotNull())
+    met = others.select(F.explode(cells.cast("array<long>")).alias("key"), F.lit(1).cast("long").alias("n"))
+    return _summed(local.unionByName(met), total * total).reshape(total, total).astype(float)
+
+
+def score(docs: DataFrame, held_out: Column, classes: int = CLASSES, rounds: int = ROUNDS, log: Callable | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row.
+
+    The model learns from the rows where ``held_out`` is false; scores are log10 probabilities."""
+    return applied(*train(docs, held_out, classes, rounds, log))
+
+
+def applied(model: Model, encoded: DataFrame, others: DataFrame) -> DataFrame:
+    """Scores of the encoded documents (see ``score``)."""
+    step, emit, total = model.step, model.emit, len(model.emit)
+    base_log = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
+    end_log = float(np.log10(model.end_count + 0.5))
+    of = np.concatenate([model.place_class, [total - 2, -1]])
+    own = np.concatenate([np.log10(model.vocabulary.c + 0.5), [end_log, 0.0]])
 
     def run(batches):
         for batch in batches:
-            out = []
-            for x in batch.column("units").to_pylist():
-                c = of[np.concatenate([[0], np.frombuffer(x, np.int32), [0]])]
-                out.append((float(step[c[:-1], c[1:]].sum() - emit[c[1:-1]].sum()), len(c) - 1))
-            path, n = (np.array(c) for c in zip(*out, strict=True)) if out else (np.empty(0), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("rid", "doc_id", "held_out", "log_sum", "n_frequent")), pa.array(path), pa.array(n.astype(np.int64))], names=["rid", "doc_id", "held_out", "log_sum", "n_frequent", "path", "n_tokens"])
-
-    local = encoded.select("rid", "doc_id", "held_out", "log_sum", "n_frequent", "units").mapInArrow(frugal(run), "rid long, doc_id long, held_out boolean, log_sum double, n_frequent long, path double, n_tokens long")
-    others = encoded.select("rid", F.explode("other").alias("h")).join(counts.select("h", "c").hint("shuffle_hash"), "h", "left")
-    others = others.groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("other_log"), F.count("c").alias("n_other"))
-    logs = F.col("log_sum") + F.coalesce("other_log", F.lit(0.0))
-    scored = local.join(others, "rid", "left").select(
+            for start, n, place in _slices(batch.column(3)):
+                c, row = of[place], np.repeat(np.arange(len(n)), n + 1)  # row of each token but the first end
+                both = (c[:-1] >= 0) & (c[1:] >= 0)
+                # The end's class holds nothing else; a word's log is its count's less its class's.
+                lost = np.where((c[1:] >= 0) & (place[1:] != END_AT), emit[c[1:]], 0.0)
+                counted, words = own[place[1:]], place[1:] >= 0
+                path = np.where(both, step[c[:-1], c[1:]], 0.0) - lost
+                path += np.where(words, counted, 0.0)
+                rows = batch.slice(start, len(n))
+                sums = [np.bincount(row, weights=w, minlength=len(n)) for w in (counted, path)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows.column(i) for i in range(3)), pa.array(sums[0]), pa.array(sums[1]), pa.array(np.bincount(row, weights=words, minlength=len(n)).astype(np.int64)), pa.array((n + 1).astype(np.int64))],
+                    names=["rid", "doc_id", "held_out", "log_sum", "path", "n_frequent", "n_tokens"],
+                )
+
+    local = encoded.select("rid", "doc_id", "held_out", "places").mapInArrow(frugal(run), "rid long, doc_id long, held_out boolean, log_sum double, path double, n_frequent long, n_tokens long")
+    steps, emits = F.lit(step.ravel().tolist()), F.lit(emit.tolist())
+    at = lambda a, b: F.get(steps, a * total + b)
+    word = F.log10(F.col("c") + 0.5)
+    sums = others.select("rid", "c", word.alias("word"), (at(F.col("l"), F.col("x")) + F.coalesce(at(F.col("x"), F.col("r")), F.lit(0.0)) + word - F.get(emits, F.col("x"))).alias("step"))
+    sums = sums.groupBy("rid").agg(F.sum("word").alias("other_log"), F.sum("step").alias("other_path"), F.count_if(F.col("c") > 0).alias("n_other"))
+    none = F.lit(0.0)
+    scored = local.join(sums, "rid", "left").select(
         "doc_id", "held_out", "n_tokens",
-        (F.col("n_frequent") + F.coalesce("n_other", F.lit(0)) + int(end_count > 0)).cast("long").alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (logs + end_log - F.col("n_tokens") * float(base_log)).alias("base_score"),
-        (logs + F.col("path")).alias("score"),
+        (F.col("n_frequent") + F.coalesce("n_other", F.lit(0)) + int(model.end_count > 0)).cast("long").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        (F.col("log_sum") + F.coalesce("other_log", none) - F.col("n_tokens") * base_log).alias("base_score"),
+        (F.col("path") + F.coalesce("other_path", none)).alias("score"),
     )
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -156,6 +156,91 @@ def test_language_model_base_is_exact_and_scores_are_proper(docs, none):
     assert lm_scoring.score(none, held).count() == 0
 
 
+@pytest.mark.parametrize("exchanged,frequent", [(2e-5, 4e-6), (0.0025, 0.0024), (1.0, 1.0)])
+def test_class_scores_match_a_brute_force_bigram(docs, monkeypatch, exchanged, frequent):
+    """Whichever words travel or are joined: classes for all training words, and scores from plain counts of them."""
+    monkeypatch.setattr(lm_scoring, "EXCHANGED", exchanged)
+    monkeypatch.setattr(lm_scoring, "FREQUENT", frequent)
+    held, k = quality_classifier.remainder(5) == 1, 4
+    model, encoded, others = lm_scoring.train(docs, held, classes=k, rounds=2)
+    got = lm_scoring.applied(model, encoded, others).collect()
+    code = lambda w: int(lm_scoring.hashes(pa.array([w]))[0])
+    rows = {r["doc_id"]: (r["text"] or "").lower().split() for r in docs.collect()}
+    twice = {r["doc_id"]: n for r, n in Counter(docs.collect()).items()}
+    out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in rows}
+    known = {r["h"]: (r["c"], r["class"]) for r in model.words.collect()}
+    of = {w: known[code(w)][1] if code(w) in known else None for t in rows.values() for w in t}
+    count = Counter(w for i, t in rows.items() if not out[i] for w in t * twice[i])
+    assert {code(w): c for w, c in count.items()} == {h: c for h, (c, x) in known.items() if h != lm_scoring.END}
+    assert all(0 <= of[w] < k for w in count) and (exchanged == 1.0 or len({of[w] for w in count}) > 1)
+    pair, members = np.zeros((k + 1, k + 1)), Counter(of[w] for w in count)
+    for i, t in rows.items():
+        path = [k, *(of[w] for w in t), k]
+        for a, b in zip(path, path[1:]):
+            if not out[i]:
+                pair[a, b] += twice[i]
+    size = pair.sum(axis=0)
+    share = (size + 0.5) / (size.sum() + 0.5 * (k + 1))
+    step = (pair + lm_scoring.PRIOR * share) / (pair.sum(axis=1, keepdims=True) + lm_scoring.PRIOR)
+    room = [0.5 / (size[c] + 0.5 * (members[c] + 1)) for c in range(k)]
+    mixed = [share[c] * room[c] for c in range(k)]
+    unknown = [sum(m * step[c, x] for c, m in enumerate(mixed)) / sum(mixed) for x in range(k + 1)]
+    for r in got:
+        total, before = 0.0, step[k]
+        for w in [*rows[r["doc_id"]], None]:
+            if w is None:
+                total += math.log10(before[k])
+            elif of[w] is None:
+                total += math.log10(sum(before[c] * room[c] for c in range(k)))
+                before = unknown
+            else:
+                c = of[w]
+                total += math.log10(before[c] * (count[w] + 0.5) * room[c] / 0.5)
+                before = step[c]
+        assert r["score"] == pytest.approx(total)
+    # All words and an unknown one share the probability after any class.
+    for before in (*step, unknown):
+        assert before[k] + sum(before[of[w]] * (c + 0.5) * room[of[w]] / 0.5 for w, c in count.items()) + sum(before[c] * room[c] for c in range(k)) == pytest.approx(1.0)
+
+
+def test_words_that_are_not_exchanged_go_where_their_neighbours_say(spark, monkeypatch):
+    """Each single word's class is the argument of the largest likelihood, tried class by class."""
+    monkeypatch.setattr(lm_scoring, "EXCHANGED", 0.01)
+    rng = random.Random(6)
+    text = lambda: " ".join(f"{'ab'[i % 2]}{rng.randrange(8) if rng.random() < 0.9 else rng.randrange(8, 400)}" for i in range(60))
+    texts = [text() for _ in range(40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    k = 3
+    model, _, _ = lm_scoring.train(frame, F.lit(False), classes=k, rounds=3)
+    known = {r["h"]: r["class"] for r in model.words.collect()}
+    count = Counter(w for t in texts for w in t.split())
+    alone = {w for w, c in count.items() if c >= 0.01 * model.tokens}
+    of = {w: known[int(lm_scoring.hashes(pa.array([w]))[0])] for w in count}
+    rest = k + 1
+    paths = [[None, *t.split(), None] for t in texts]
+    now = lambda w: k if w is None else of[w] if w in alone else rest
+    pair = np.zeros((k + 2, k + 2))
+    for p in paths:
+        for a, b in zip(p, p[1:]):
+            pair[now(a), now(b)] += 1
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    single = sorted(set(count) - alone)
+    assert len(alone) >= 10 and len(single) > 50
+    for w in single:
+        gains = []
+        for c in range(k):
+            add, n = Counter(), count[w]
+            for p in paths:
+                for i, x in enumerate(p):
+                    if x == w:
+                        add[0, now(p[i - 1])] += 1
+                        add[1, now(p[i + 1])] += 1
+            cells = sum(f((pair[x, c] if side == 0 else pair[c, x]) + m) - f(pair[x, c] if side == 0 else pair[c, x]) for (side, x), m in add.items())
+            total = sum(count[v] for v in alone if of[v] == c)
+            gains.append(cells - 2 * (f(total + n) - f(total)))
+        assert gains[of[w]] == pytest.approx(max(gains))
+
+
 def test_the_end_counts_after_one_very_long_text(spark):
     frame = spark.createDataFrame([(0, "a b " * 150_000), (1, "a c")], "doc_id long, text string")
     got = lm_scoring.score(frame, F.col("doc_id") == 1, classes=2, rounds=1).where("held_out").first()
