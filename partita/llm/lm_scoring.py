@@ -20,7 +20,8 @@ each, with the classes of their neighbours. Where two such words meet, the one b
 
 Words are known by 64-bit hashes. Defined cases: a null or empty text is the end token alone; repeated
 rows are counted and scored one by one; without training documents all counts are 0; an empty table gives
-an empty result; further columns are ignored; texts of any length are read whole.
+an empty result; rows for which ``held_out`` is null are scored but not learned from; further columns are ignored;
+texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,7 +278,8 @@ def _others(encoded: DataFrame, place_class: np.ndarray, classes: int, words: Da
     """rid, held_out, c, x, l, r for each word that is not frequent: its count and class, and its neighbours' classes.
 
     ``r`` is null where the next word isn't frequent either: that word's row has the transition."""
-    unknown, of = classes + 1, np.concatenate([place_class, [classes, -1]])  # the last two: places -2 and -1
+    unknown, base = classes + 1, classes + 2
+    of = np.concatenate([place_class, [classes, -1]])  # the last two: places -2 and -1
 
     def run(batches):
         for batch in batches:
@@ -288,17 +291,20 @@ def _others(encoded: DataFrame, place_class: np.ndarray, classes: int, words: Da
                 left, right = of[place[at - 1]], of[place[at + 1]]
                 before = np.concatenate([[0], h[:-1]]) if len(h) else h
                 row = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(row), batch.column(1).take(row), pa.array(h),
-                        pa.array(before, mask=left >= 0), pa.array(left.astype(np.int32), mask=left < 0), pa.array(right.astype(np.int32), mask=right < 0),
-                    ],
-                    names=["rid", "held_out", "h", "a", "l", "r"],
-                )
+                out = pc.fill_null(batch.column(1), True).take(row).to_numpy(zero_copy_only=False).astype(np.int64)
+                near = ((left + 1) * base + right + 1) * 2 + out
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(h), pa.array(before, mask=left >= 0), pa.array(near)], names=["rid", "h", "a", "near"])
 
     known = words.select("h", "c", F.col("class").alias("x"))
-    rows = encoded.select("rid", "held_out", "places", "other").mapInArrow(frugal(run), "rid long, held_out boolean, h long, a long, l int, r int")
-    rows = rows.join(known.hint("shuffle_hash"), "h", "left").select("rid", "held_out", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("x", F.lit(unknown)).alias("x"), "a", "l", "r")
+    rows = encoded.select("rid", "held_out", "places", "other").mapInArrow(frugal(run), "rid long, h long, a long, near long")
+    joined = rows.join(known.hint("shuffle_hash"), "h", "left")
+    # ``near`` holds both neighbours' classes (0: not frequent) and whether the row is held out, to shuffle less.
+    side = lambda x: F.nullif(x, F.lit(0)).cast("int") - 1
+    near = F.shiftright("near", 1)
+    rows = joined.select(
+        "rid", (F.col("near") % 2 == 1).alias("held_out"), F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("x", F.lit(unknown)).alias("x"),
+        "a", side(F.floor(near / base)).alias("l"), side(near % base).alias("r"),
+    )
     first = written(rows, "other-words")
     before = words.select(F.col("h").alias("a"), F.col("class").alias("y"))
     met = first.where("a is not null").join(before.hint("shuffle_hash"), "a", "left").withColumn("l", F.coalesce("y", F.lit(unknown)))

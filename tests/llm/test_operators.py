@@ -203,6 +203,14 @@ def test_class_scores_match_a_brute_force_bigram(docs, monkeypatch, exchanged, f
         assert before[k] + sum(before[of[w]] * (c + 0.5) * room[of[w]] / 0.5 for w, c in count.items()) + sum(before[c] * room[c] for c in range(k)) == pytest.approx(1.0)
 
 
+def test_rows_without_an_id_are_scored_but_not_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 0.3)
+    frame = spark.createDataFrame([(0, "a b a c"), (2, "a b"), (None, "a new word")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lm_scoring.score(frame, F.col("doc_id") == 1, classes=2, rounds=1).collect()}
+    assert len(got) == 3 and {r["train_tokens"] for r in got.values()} == {8}
+    assert (got[None]["n_tokens"], got[None]["n_known"], got[None]["held_out"]) == (4, 2, None)
+
+
 def test_words_that_are_not_exchanged_go_where_their_neighbours_say(spark, monkeypatch):
     """Each single word's class is the argument of the largest likelihood, tried class by class."""
     monkeypatch.setattr(lm_scoring, "EXCHANGED", 0.01)
