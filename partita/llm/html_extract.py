@@ -239,7 +239,7 @@ def blocks(page: str) -> list[Block]:
         if tag in BLOCK:
             flush()
             stack.make_room(tag)
-        if tag in VOID or rest.endswith("/"):
+        if tag in VOID:  # a slash at the end closes nothing else
             continue
         if tag == "a":
             links += 1

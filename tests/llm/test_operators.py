@@ -720,6 +720,21 @@ def test_tags_end_at_their_quotes_if_these_close():
     assert [b.text for b in html_extract.blocks("<div>a<p>b<ul><li>c<p>d<li>e</ul><table><tr><td>f<td>g<tr><th>h</table>")] == list("abcdefgh")
 
 
+def test_only_void_elements_are_empty():
+    """A slash that ends a tag, or an unquoted value in it, leaves the element open until its end tag."""
+
+    def tags(block):
+        path, out = block.path, []
+        while path is not None:
+            out.insert(0, path.element[0])
+            path = path.above
+        return out
+
+    got = html_extract.blocks("<article class=x/><p>one</p></article><div id=a/>two<br/>three</div><svg><path d='M0'/><path/></svg>four")
+    assert [b.text for b in got] == ["one", "two three", "four"]
+    assert [tags(b) for b in got] == [["article", "p"], ["div"], []]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1500, 16))
