@@ -596,6 +596,27 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
         assert ids[ends[i] : ends[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids, ascii(t)
 
 
+def test_the_encoder_learns_each_string_once_while_there_is_room(monkeypatch):
+    """A task's many rare words stay remembered from chunk to chunk; with little room the ids are the same."""
+    rng = random.Random(8)
+    some = sorted({"".join(rng.choice("abcdeilnorstu") for _ in range(7)) for _ in range(120_000)}) + ["größe", "l'été", "x1", "Straße,", "a.b"]
+    texts = [" ".join(rng.sample(some, 50_000)) for _ in range(6)] + ["", " ".join(some)]
+    learned, learn = [], packing.Encoder._learn
+    monkeypatch.setattr(packing.Encoder, "_learn", lambda self, words: (learned.append(len(words)), learn(self, words))[1])
+    encoder, small = packing.Encoder(tokenizer_path()), packing.Encoder(tokenizer_path(), keep=1)
+    for t in texts:
+        learned.clear()
+        ids, ends = small.ids(pa.array([t]))
+        assert sum(learned) <= len(t.split()) + 6 and ends.tolist() == [0, len(ids)]
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+        assert np.array_equal(encoder.ids(pa.array([t]))[0], ids)
+    again, learned[:] = packing.Encoder(tokenizer_path()), []
+    for t in texts:
+        again.ids(pa.array([t]))
+    # Each string once: the words, the empty string, and what cuts before punctuation leave.
+    assert sum(learned) <= len(some) + 6
+
+
 def test_line_field_learns_and_holds_out(spark, docs, none):
     rng = random.Random(4)
     rows, labels = [], []
