@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import wraps
 
 import pyarrow as pa
@@ -47,6 +48,19 @@ def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return careful
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Jobs of queries made within delete their shuffle files as they end, not when the driver's memory is next
+    cleaned: what later jobs need of them is in written tables. The session's own setting returns afterwards."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], weight: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``keyed`` (a written table, one row for each key), however hot a key is.
 

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, frugal, written
+from .common import discard, frugal, swept, written
 from .words import encode, hashes
 
 CLASSES = 64
@@ -305,16 +305,21 @@ def _others(encoded: DataFrame, place_class: np.ndarray, classes: int, words: Da
         "rid", (F.col("near") % 2 == 1).alias("held_out"), F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("x", F.lit(unknown)).alias("x"),
         "a", side(F.floor(near / base)).alias("l"), side(near % base).alias("r"),
     )
+    # Rows stay as they are written first; only those that meet another such word are joined and written again.
     first = written(rows, "other-words")
     before = words.select(F.col("h").alias("a"), F.col("class").alias("y"))
     met = first.where("a is not null").join(before.hint("shuffle_hash"), "a", "left").withColumn("l", F.coalesce("y", F.lit(unknown)))
-    out = written(first.where("a is null").select("rid", "held_out", "c", "x", "l", "r").unionByName(met.select("rid", "held_out", "c", "x", "l", "r")), "transitions")
-    discard(first)
-    return out
+    met = written(met.select("rid", "held_out", "c", "x", "l", "r"), "met-words")
+    return first.where("a is null").select("rid", "held_out", "c", "x", "l", "r").unionByName(met)
 
 
 def train(docs: DataFrame, held_out: Column, classes: int = CLASSES, rounds: int = ROUNDS, log: Callable | None = None) -> tuple[Model, DataFrame, DataFrame]:
     """The model of the rows where ``held_out`` is false, the encoded documents, and their words that are not frequent."""
+    with swept(docs.sparkSession):
+        return _train(docs, held_out, classes, rounds, log)
+
+
+def _train(docs: DataFrame, held_out: Column, classes: int, rounds: int, log: Callable | None) -> tuple[Model, DataFrame, DataFrame]:
     counts = _word_counts(docs.where(~held_out))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     frequent = counts.where((F.col("c") >= max(1.0, FREQUENT * tokens)) | (F.col("h") == END)).select("h", "c").toArrow()
@@ -387,9 +392,17 @@ def _transitions(seen: DataFrame, others: DataFrame, place_class: np.ndarray, cl
                 out += np.bincount((c[:-1] * total + c[1:])[both], minlength=len(out))
         yield from _cells(out)
 
+    def joined(batches):
+        out = np.zeros(total * total, np.int64)
+        for batch in batches:
+            l, x, r = (pc.fill_null(c, -1).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns)  # noqa: E741
+            for a, b in ((l, x), (x, r)):
+                both = (a >= 0) & (b >= 0)
+                out += np.bincount((a * total + b)[both], minlength=len(out))
+        yield from _cells(out)
+
     local = seen.select("places").mapInArrow(frugal(run), "key long, n long")
-    cells = F.filter(F.array(F.col("l") * total + F.col("x"), F.col("x") * total + F.col("r")), lambda k: k.isNotNull())
-    met = others.select(F.explode(cells.cast("array<long>")).alias("key"), F.lit(1).cast("long").alias("n"))
+    met = others.select("l", "x", "r").mapInArrow(frugal(joined), "key long, n long")
     return _summed(local.unionByName(met), total * total).reshape(total, total).astype(float)
 
 

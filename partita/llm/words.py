@@ -54,7 +54,7 @@ def encode(texts: pa.Array, lower: bool = True, size: int = CHUNK_BYTES) -> Iter
 def hashes(words: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word, as int64."""
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words.to_pylist()), dtype=np.uint64, count=len(words)).view(np.int64)
+    return np.fromiter(map(digest, words.cast(pa.binary()).to_pylist()), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

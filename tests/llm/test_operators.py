@@ -1,6 +1,7 @@
 """The ten operators on small tables: brute force, round trips, and the cases their docstrings define."""
 
 import math
+import os
 import random
 import re
 import time
@@ -257,6 +258,26 @@ def test_the_end_counts_after_one_very_long_text(spark):
     assert got["base_score"] == pytest.approx(logs - 3 * math.log10(300_001 + 0.5 * 4))
 
 
+def test_training_leaves_no_shuffle_files_and_writes_rows_of_joined_words_once(docs, spark, monkeypatch):
+    """Disk holds one job's shuffle at a time; of the joined words' rows, only those after another one are written again."""
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 0.0024)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    shuffled = lambda: {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+    rows, write = {}, lm_scoring.written
+    monkeypatch.setattr(lm_scoring, "written", lambda df, what: (back := write(df, what), rows.update({what: back.count()}))[0])
+    name, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", shuffled()
+    setting = spark.conf.get(name)
+    _, _, others = lm_scoring.train(docs, quality_classifier.remainder(5) == 1, classes=4, rounds=2)
+    n = others.count()
+    end = time.time() + 20
+    while (left := {f for f in shuffled() - before if f.endswith(".data")}) and time.time() < end:
+        time.sleep(0.2)  # executors delete them in the background
+    # Counts of this test (others) shuffle one row a task.
+    assert len({f.split("_")[1] for f in left}) <= 1 and spark.conf.get(name) == setting
+    again = [m for what, m in rows.items() if what not in ("word-counts", "encoded", "word-classes", "other-words")]
+    assert n == rows["other-words"] > 0 and len(again) == 1 and again[0] < n
+
+
 def test_exchange_finds_classes_that_alternate(spark):
     rng = random.Random(3)
     text = lambda: " ".join(f"{'ab'[i % 2]}{rng.randrange(6)}" for i in range(400))
