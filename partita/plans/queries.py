@@ -571,9 +571,9 @@ def beam_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dot_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    page, pages = F.col("page_id"), views.page_images(spark, sf_dir)
-    heads = pages.select("page_id", page.alias("head_id"), (2.0 + page % 16).alias("cx"), (12 + page * 3 % 20).alias("cy"), F.lit(12.0).alias("space"))
-    return noteheads.dotted(heads, pixels.integral(_bitmap(spark, sf_dir), "ink"), pages)
+    page = F.col("page_id")
+    head = F.struct(page.alias("head_id"), (2.0 + page % 16).alias("cx"), (12 + page * 3 % 20).alias("cy"), F.lit(12.0).alias("space"))
+    return kernels.page_dots(views.page_rows(spark, sf_dir).withColumn("heads", F.array(head)))
 
 
 def drawn_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,11 +6,13 @@ become notes, order lines become symbols on pages, suppliers become small page i
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.music import midi_to_name
-from ..operators import engraver
+from ..operators import engraver, kernels
 
 DURATIONS = [0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 4.0]
 WIDTH, HEIGHT = 40, 48
@@ -111,6 +113,29 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "x", "y", ink.alias("ink"), (250 - 180 * ink - (x * 5 + y * 3 + k) % 20).cast("int").alias("g"))
 
 
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, width, height, ink, grey: the pages of ``pixels`` as a row each, their bytes in row-major order."""
+    x, y = np.arange(WIDTH), np.arange(HEIGHT)[:, None]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, kernels.TOGETHER):
+                part = batch.slice(at, kernels.TOGETHER)
+                k = part.column("page_id").to_numpy()[:, None, None]
+                rest = lambda v, n: np.fmod(v, n)  # noqa: E731  the sign is that of v, as in SQL
+                from_top = y - 8 - rest(k, 3)
+                line = (from_top >= 0) & (from_top <= 24) & (from_top % 6 == 0) & (x >= 2) & (x <= 37)
+                left, top = 5 + rest(k, 20), 10 + rest(k * 7, 20)
+                block = (x >= left) & (x <= left + 6) & (y >= top) & (y <= top + 4)
+                ink = (line | block | (rest(x * 73 + y * 151 + k * 31, 97) < rest(k, 4))).astype(np.uint8)
+                grey = (250 - 180 * ink.astype(np.int64) - rest(x * 5 + y * 3 + k, 20)).astype(np.uint8)
+                whole = lambda pages: pa.array([p.tobytes() for p in pages], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "width", "height")), whole(ink), whole(grey)], names=["page_id", "width", "height", "ink", "grey"])
+
+    pages = kernels.dealt(page_images(spark, sf_dir))
+    return pages.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, width int, height int, ink binary, grey binary")
+
+
 #: Drawn pages: events of a page, its size, its staves' space, and where systems, bars and notes are put.
 PER_PAGE, PAGE_WIDTH, PAGE_HEIGHT, PAGE_SPACE = 24, 1500, 760, 22.0
 PAGE_LEFT, PAGE_RIGHT = 70.0, 1430.0
