@@ -486,8 +486,7 @@ def _staves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 @query
 def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, bands = _staves(spark, sf_dir)
-    return longs(rounded(bands.select("page_id", "center", "thickness", "ink", "left", "right"), center=6, ink=6), "thickness", "left", "right")
+    return longs(rounded(kernels.page_bands(views.page_rows(spark, sf_dir)), center=6, ink=6), "thickness", "left", "right")
 
 
 @query

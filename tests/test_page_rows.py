@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from partita.operators import kernels, noteheads, pixels
+from partita.operators import kernels, noteheads, pixels, staves
 from partita.plans import queries, views
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -48,3 +48,22 @@ def test_dots_of_whole_pages(spark, many):
     want = rows(noteheads.dotted(heads, pixels.integral(views.pixels(spark, many).select("page_id", "x", "y", "ink"), "ink"), pages))
     assert rows(got) == want and 0 < len(want) < PAGES
     assert no_pixels(got)
+
+
+def ink_of(spark, many):
+    bitmap, pages = views.pixels(spark, many).select("page_id", "x", "y", "ink"), views.page_images(spark, many)
+    return bitmap, bitmap.where("ink = 1").drop("ink"), pages
+
+
+def by_pixel(spark, many):
+    bitmap, ink, pages = ink_of(spark, many)
+    scale = pixels.scale(bitmap, pages)
+    return ink, scale, staves.bands(staves.row_projection(ink, scale), pages)
+
+
+def test_bands_of_whole_pages(spark, many):
+    got = queries.QUERIES["line_bands"](spark, many)
+    _, _, bands = by_pixel(spark, many)
+    want = queries.rounded(bands.drop("band"), center=6, ink=6)
+    assert rows(got) == rows(want) and got.count() >= 5 * PAGES - PAGES
+    assert no_pixels(got)
