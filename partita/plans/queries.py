@@ -491,9 +491,8 @@ def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stave_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, scale, bands = _staves(spark, sf_dir)
-    found = staves.systems(staves.five_lines(bands, scale))
-    return longs(rounded(found.select("page_id", "staff", "top", "bottom", "left", "right", "space", "system", "index_in_system"), top=6, bottom=6, space=6), "staff", "left", "right", "system", "index_in_system")
+    found = kernels.page_staves(views.page_rows(spark, sf_dir))
+    return longs(rounded(found, top=6, bottom=6, space=6), "staff", "left", "right", "system", "index_in_system")
 
 
 @query

@@ -67,3 +67,27 @@ def test_bands_of_whole_pages(spark, many):
     want = queries.rounded(bands.drop("band"), center=6, ink=6)
     assert rows(got) == rows(want) and got.count() >= 5 * PAGES - PAGES
     assert no_pixels(got)
+
+
+def test_staves_of_whole_pages(spark, many):
+    got = queries.QUERIES["stave_groups"](spark, many)
+    _, scale, bands = by_pixel(spark, many)
+    want = staves.systems(staves.five_lines(bands, scale)).drop("lines")
+    assert rows(got) == rows(queries.rounded(want, top=6, bottom=6, space=6))
+    assert no_pixels(got)
+
+
+def test_groups_and_systems_of_lines(spark):
+    """Lists of bands as the windows and folds of ``staves`` read them."""
+    evens = lambda top, space, n: [top + space * i for i in range(n)]
+    pages = [
+        [*evens(10, 10, 5), *evens(90, 10, 5)], [*evens(10, 10, 5), *evens(80, 10, 5), *evens(300, 10, 5), *evens(370, 10, 5)], [*evens(10, 10, 7), *evens(300, 10, 6)],
+        [*evens(5, 3, 2), *evens(40, 11, 5), *evens(400, 12, 5)], [*evens(10, 10, 4)], [*evens(10, 10, 5), *evens(80, 10, 5), *evens(150, 10, 5)], [], [*evens(10, 40, 5)],
+    ]
+    flat = [(p, b, float(c), 2, 30.0, 5 + b, 90 + b) for p, centres in enumerate(pages) for b, c in enumerate(centres)]
+    found = spark.createDataFrame(flat, "page_id long, band int, center double, thickness int, ink double, left int, right int")
+    scale = spark.createDataFrame([(p, 2, 9) for p in range(len(pages))], "page_id long, line_thickness int, staff_space int")
+    want = staves.systems(staves.five_lines(found, scale)).collect()
+    names = "staff", "lines", "top", "bottom", "left", "right", "space", "system", "index_in_system"
+    got = {(p, *(repr(s[c]) for c in names)) for p in range(len(pages)) for s in kernels.systems(kernels.five_lines([r[2:] for r in flat if r[0] == p], 9))}
+    assert got == {(r["page_id"], *(repr(r[c]) for c in names)) for r in want} and len(want) == 13
