@@ -497,8 +497,7 @@ def stave_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def line_erase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ink, scale, bands = _staves(spark, sf_dir)
-    return longs(staves.without_lines(ink, staves.five_lines(bands, scale), scale), "x", "y")
+    return longs(kernels.page_without_lines(views.page_rows(spark, sf_dir)), "x", "y")
 
 
 def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,10 @@ def test_groups_and_systems_of_lines(spark):
     names = "staff", "lines", "top", "bottom", "left", "right", "space", "system", "index_in_system"
     got = {(p, *(repr(s[c]) for c in names)) for p in range(len(pages)) for s in kernels.systems(kernels.five_lines([r[2:] for r in flat if r[0] == p], 9))}
     assert got == {(r["page_id"], *(repr(r[c]) for c in names)) for r in want} and len(want) == 13
+
+
+def test_line_erasure_on_whole_pages(spark, many):
+    got = queries.QUERIES["line_erase"](spark, many)
+    ink, scale, bands = by_pixel(spark, many)
+    assert rows(got) == rows(staves.without_lines(ink, staves.five_lines(bands, scale), scale))
+    assert no_pixels(got)
