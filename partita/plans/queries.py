@@ -474,14 +474,7 @@ def deskew(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def deskew_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ink, pages = _ink(spark, sf_dir), views.page_images(spark, sf_dir)
-    return longs(pixels.deskewed(ink, pages, pixels.skew(ink, pages)), "x", "y")
-
-
-def _staves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    ink, pages = _ink(spark, sf_dir), views.page_images(spark, sf_dir)
-    scale = pixels.scale(_bitmap(spark, sf_dir), pages)
-    return ink, scale, staves.bands(staves.row_projection(ink, scale), pages)
+    return longs(kernels.page_straightened(views.page_rows(spark, sf_dir)), "x", "y")
 
 
 @query

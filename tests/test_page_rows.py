@@ -98,3 +98,11 @@ def test_line_erasure_on_whole_pages(spark, many):
     ink, scale, bands = by_pixel(spark, many)
     assert rows(got) == rows(staves.without_lines(ink, staves.five_lines(bands, scale), scale))
     assert no_pixels(got)
+
+
+def test_straightening_of_whole_pages(spark, many):
+    got = queries.QUERIES["deskew_apply"](spark, many)
+    _, ink, pages = ink_of(spark, many)
+    angles = pixels.skew(ink, pages)
+    assert rows(got) == rows(pixels.deskewed(ink, pages, angles)) and angles.where("angle <> 0").count() > 0
+    assert no_pixels(got)
