@@ -523,9 +523,9 @@ def head_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def stem_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = views.page_images(spark, sf_dir)
-    heads = pages.select("page_id", F.col("page_id").alias("head_id"), (8.0 + F.col("page_id") % 20).alias("cx"), (12 + F.col("page_id") * 7 % 20).alias("cy"), F.lit(2.0).alias("space"))
-    return doubles(noteheads.stems(heads, _ink(spark, sf_dir)), "stem_x", "tip")
+    page = F.col("page_id")
+    head = F.struct(page.alias("head_id"), (8.0 + page % 20).alias("cx"), (12 + page * 7 % 20).alias("cy"), F.lit(2.0).alias("space"))
+    return kernels.page_stems(views.page_rows(spark, sf_dir).withColumn("heads", F.array(head)))
 
 
 def _masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -106,3 +106,13 @@ def test_straightening_of_whole_pages(spark, many):
     angles = pixels.skew(ink, pages)
     assert rows(got) == rows(pixels.deskewed(ink, pages, angles)) and angles.where("angle <> 0").count() > 0
     assert no_pixels(got)
+
+
+def test_stems_on_whole_pages(spark, many):
+    got = queries.QUERIES["stem_find"](spark, many)
+    _, ink, pages = ink_of(spark, many)
+    page = F.col("page_id")
+    heads = pages.select("page_id", page.alias("head_id"), (8.0 + page % 20).alias("cx"), (12 + page * 7 % 20).alias("cy"), F.lit(2.0).alias("space"))
+    want = noteheads.stems(heads, ink)
+    assert rows(got) == rows(queries.doubles(want, "stem_x", "tip")) and want.where("stem is not null").count() > 0
+    assert no_pixels(got)
