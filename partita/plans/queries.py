@@ -447,8 +447,7 @@ def integral_image(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def page_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grey, _ = pixels.downscaled(views.pixels(spark, sf_dir).select("page_id", "x", "y", "g"), views.page_images(spark, sf_dir), 24)
-    return longs(grey, "x", "y", "g")
+    return longs(kernels.page_downscaled(views.page_rows(spark, sf_dir), 24), "x", "y", "g")
 
 
 @query

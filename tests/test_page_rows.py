@@ -1,11 +1,12 @@
 """Queries of small pages at sizes where plans by pixel fail: whole pages as rows, and the same results as by pixel."""
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from partita.operators import kernels, noteheads, pixels, staves
+from partita.operators import components, kernels, noteheads, pixels, staves
 from partita.plans import queries, views
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -116,3 +117,18 @@ def test_stems_on_whole_pages(spark, many):
     want = noteheads.stems(heads, ink)
     assert rows(got) == rows(queries.doubles(want, "stem_x", "tip")) and want.where("stem is not null").count() > 0
     assert no_pixels(got)
+
+
+def test_smaller_whole_pages(spark, many):
+    got = queries.QUERIES["page_downscale"](spark, many)
+    want, _ = pixels.downscaled(views.pixels(spark, many).select("page_id", "x", "y", "g"), views.page_images(spark, many), 24)
+    assert rows(got) == rows(want)
+    assert no_pixels(got)
+
+
+@pytest.mark.parametrize(("width", "height", "longest"), [(40, 48, 31), (7, 5, 3), (50, 3, 7), (13, 29, 28), (9, 9, 40)])
+def test_cells_of_odd_sizes(spark, width, height, longest):
+    grey = np.random.default_rng(width).integers(0, 256, (height, width))
+    pixel = spark.createDataFrame([(1, int(x), int(y), int(v)) for (y, x), v in np.ndenumerate(grey)], "page_id long, x int, y int, g int")
+    want, _ = pixels.downscaled(pixel, spark.createDataFrame([(1, width, height)], "page_id long, width int, height int"), longest)
+    assert sorted(zip(*(v.tolist() for v in kernels.downscaled(grey.astype(np.uint8), longest)), strict=True)) == sorted((r["x"], r["y"], r["g"]) for r in want.collect())
