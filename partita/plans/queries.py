@@ -504,12 +504,9 @@ def connected_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def window_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ink of a fixed grid of windows on every page."""
-    totals = pixels.integral(_bitmap(spark, sf_dir), "ink")
-    grid = views.page_images(spark, sf_dir).select("page_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("window_id"))
-    x, y = F.col("window_id") % 5 * 8, F.floor(F.col("window_id") / 5) * 12
-    windows = grid.withColumns({"wx0": x.cast("int"), "wx1": (x + 8).cast("int"), "wy0": y.cast("int"), "wy1": (y + 12).cast("int")})
-    found = components.window_fill(windows, totals)
-    return longs(rounded(found.select("page_id", "window_id", "sum", "area", "fill"), fill=6), "window_id", "sum", "area")
+    grid = [(i, i % 5 * 8, i // 5 * 12, i % 5 * 8 + 8, i // 5 * 12 + 12) for i in range(20)]
+    found = kernels.page_window_fill(views.page_rows(spark, sf_dir), grid)
+    return longs(rounded(found, fill=6), "window_id", "sum", "area")
 
 
 @query

@@ -132,3 +132,14 @@ def test_cells_of_odd_sizes(spark, width, height, longest):
     pixel = spark.createDataFrame([(1, int(x), int(y), int(v)) for (y, x), v in np.ndenumerate(grey)], "page_id long, x int, y int, g int")
     want, _ = pixels.downscaled(pixel, spark.createDataFrame([(1, width, height)], "page_id long, width int, height int"), longest)
     assert sorted(zip(*(v.tolist() for v in kernels.downscaled(grey.astype(np.uint8), longest)), strict=True)) == sorted((r["x"], r["y"], r["g"]) for r in want.collect())
+
+
+def test_windows_on_whole_pages(spark, many):
+    got = queries.QUERIES["window_fill"](spark, many)
+    bitmap, _, pages = ink_of(spark, many)
+    number = F.col("window_id")
+    grid = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("window_id"))
+    box = {"wx0": number % 5 * 8, "wx1": number % 5 * 8 + 8, "wy0": (F.floor(number / 5) * 12).cast("int"), "wy1": (F.floor(number / 5) * 12 + 12).cast("int")}
+    want = components.window_fill(grid.withColumns(box), pixels.integral(bitmap, "ink")).select(*got.columns)
+    assert rows(got) == rows(queries.rounded(want, fill=6))
+    assert no_pixels(got)
