@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from partita.operators import engraver, kernels
@@ -43,3 +44,32 @@ def test_spans_are_merged_without_a_window_or_join(spark):
     """Only the order of a user's events is a window; spans are no rows."""
     text = plan(queries.QUERIES["engraved_pages"](spark, SF_DIR))
     assert text.count("Window") == 1 and "Join" not in text
+
+
+def test_levelling_of_drawn_pages_by_one_task(spark):
+    shapes, pages = shapes_and_pages(spark)
+    grey = kernels.painted(engraver.drawn(shapes, pages), pages)
+    want = kernels.levelled(grey)
+    got = kernels.engraved_levelled(shapes, pages)
+    assert rows(got.select(*want.columns)) == rows(want) and got.count() == pages.count()
+    # No grey page is written, and no run is gathered.
+    text = plan(queries.QUERIES["level_runs"](spark, SF_DIR))
+    assert "grey" not in text and text.count("Window") == 1 and "Join" not in text
+
+
+def test_threshold_and_cleaning_as_written_out():
+    rng = np.random.default_rng(4)
+    for height, width in ((1, 1), (2, 9), (17, 40), (90, 70), (200, 260)):
+        for paper, spread in ((250, 5), (128, 128), (60, 60)):
+            grey = np.clip(paper + rng.integers(-spread, spread + 1, (height, width)), 0, 255).astype(np.uint8)
+            sums, area = kernels.window_sums(grey, max(15, int(min(width, height) / 12 + 0.5) | 1) // 2)
+            ink = kernels.adaptive_threshold(grey)
+            assert (ink == (grey < sums / area - 9)).all()
+            near, _ = kernels.window_sums(ink, 1)
+            odd = ink[1:-1:2, 1:-1:2]
+            noisy = odd.any() and (near[1:-1:2, 1:-1:2][odd] <= 2).mean() >= 0.06
+            want = ink
+            if noisy:
+                want = np.zeros_like(ink)
+                want[1:-1, 1:-1] = near[1:-1, 1:-1] >= 5
+            assert (kernels.denoised(ink) == want).all()
